@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlake.llm import chunked
-from martlake.llm.common import bounded_batches, documents_of, map_batches, texts
+from martlake.llm.common import bounded_batches, documents_of, map_batches, staged, texts
+from martlake.llm.merges import byte_symbols
 
 #: Words in the lexicon at most: a bound on what is collected, compiled and sent to the executors (a few MB).
 LEXICON_WORDS = 1 << 16
+#: Occurrences that make a word frequent.
+LEAST_COUNT = 8
 #: Distinct words that a counting task gathers before it hands them on.
 COUNTER_WORDS = 400_000
 
@@ -130,10 +133,10 @@ class Lexicon:
 
 
 class LexiconMemo(chunked.ChunkMemo):
-    """Looks words up in the lexicon; words that it lacks are merged exactly by the tokenizer's merges."""
+    """Looks words up in the lexicon; words that it lacks are merged exactly, by :mod:`martlake.llm.merges`."""
 
-    def __init__(self, tokenizer, lexicon: Lexicon):
-        super().__init__(tokenizer, chunked.byte_level_chunks, lambda ids: np.array(ids, "<u4").tobytes())
+    def __init__(self, path: str, lexicon: Lexicon):
+        super().__init__(path, "byte_level")
         self.lexicon = lexicon
 
     def learn(self, new: list[str]) -> None:
@@ -143,10 +146,8 @@ class LexiconMemo(chunked.ChunkMemo):
 
 
 def byte_table(tokenizer) -> list[bytes]:
-    """The bytes of each id. Byte-level vocabularies write printable bytes as themselves and the rest from U+0100 on."""
-    printable = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    others = [b for b in range(256) if b not in printable]
-    of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    """The bytes of each id."""
+    of = {c: b for b, c in enumerate(byte_symbols())}
     table = [b""] * (max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
         table[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
@@ -158,8 +159,7 @@ _lexicons: dict[str, Lexicon] = {}
 
 @lru_cache(maxsize=2)
 def _codec(path: str, digest: str) -> tuple[LexiconMemo, list[bytes]]:
-    tokenizer = chunked.load(path)
-    return LexiconMemo(tokenizer, _lexicons[digest]), byte_table(tokenizer)
+    return LexiconMemo(path, _lexicons[digest]), byte_table(chunked.load(path))
 
 
 def _codec_of(path: str, digest: str, lexicon) -> tuple[LexiconMemo, list[bytes]]:
@@ -173,6 +173,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
+        counts.pop("", None)  # what stands before a text's first blank
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
@@ -185,16 +186,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts (ties: in order of the word); the lexicon's size is the only limit."""
+def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> list[str]:
+    """Words of all texts that occur ``least`` times or more: the most frequent, ``limit`` at most.
+
+    The counts are whole. The cut is made on classes of about equal counts (an eighth of a power of two), from a
+    histogram of these, so no task or driver sorts all words and what is collected is never above the limit.
+    """
     bounded_batches(docs.sparkSession)
     counts = documents_of(docs).select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    kept = staged(counts.where(F.col("n") >= least).withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "words")
+    cut, total = None, 0
+    for r in sorted(kept.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        total += r["n"]
+        if total > limit:
+            break
+        cut = r["class"]
+    return [] if cut is None else [r.word for r in kept.where(F.col("class") >= cut).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, limit: int = LEXICON_WORDS) -> bytes:
     words = frequent_words(docs, limit)
-    encoded = chunked.load(tokenizer_path).encode_batch_fast(words, add_special_tokens=False)
+    encoded = chunked.load(tokenizer_path).encode_batch_fast(words, add_special_tokens=False)  # at most the limit
     return compile_lexicon((w.encode(), e.ids) for w, e in zip(words, encoded, strict=True))
 
 
@@ -218,7 +230,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo, _ = _codec_of(tokenizer_path, digest, lexicon)
-        ids = [b"".join(x) for x in memo.of(texts(batch))]
+        ids = memo.of(texts(batch))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return map_batches(documents_of(docs), run, "doc_id long, n_tokens long, ids binary")
@@ -246,7 +258,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICO
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo, table = _codec_of(tokenizer_path, digest, lexicon)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        ids = [b"".join(x) for x in memo.of(texts(batch))]
+        ids = memo.of(texts(batch))
         columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(decode(table, x).encode()) for x in ids], pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

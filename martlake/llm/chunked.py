@@ -10,16 +10,26 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
+
+from martlake.llm.merges import Merges
+
 #: Anything outside this alphabet, or what may be a special token, sends the text to the library.
 _ODD = re.compile("[^\t\n -~À-ÿ]|<\\|")
-#: A blank that follows a blank or precedes other white space: there the byte-level pattern joins runs of white space.
+#: A blank before more white space: there the byte-level pattern joins runs of white space.
 _RUN = re.compile("[ ][ \t\n]")
 
 #: Chunks that a worker keeps; the memo starts anew beyond that, so a worker's memory is bounded.
 MEMO_CHUNKS = 500_000
+#: Longer words are left to the library.
+MERGE_CHARS = 100
+
+#: The pre-tokenizers' patterns, for the plain alphabet.
+_BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\nA-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \t\n]+(?![^ \t\n])|[ \t\n]+")
+_WORD_END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\na-zß-öø-ÿ0-9]+")
 
 
 @lru_cache(maxsize=4)
@@ -34,50 +44,75 @@ def load(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def merges(path: str) -> Merges:
+    return Merges(path)
+
+
 def byte_level_chunks(text: str) -> list[str] | None:
     """Chunks of a text for the byte-level pattern: each begins with the blank before it. None: not separable.
 
     The pattern attaches one blank to the word after it, and a run of white space that precedes such a blank ends
-    before it, at the end of a chunk as at the end of a text. Only a blank next to more white space after it would
-    belong to a longer run.
+    before it, at the end of a chunk as at the end of a text. Only a blank before more white space would belong to a
+    longer run.
     """
     if _ODD.search(text) or _RUN.search(text):
         return None
-    if text.endswith(" "):  # the last blank is a chunk of its own
-        parts = text[:-1].split(" ")
-        return [parts[0], *(" " + x for x in parts[1:]), " "] if text != " " else [" "]
     parts = text.split(" ")
+    if not parts[-1] and len(parts) > 1:  # the last blank is a chunk of its own
+        return [parts[0], *(" " + x for x in parts[1:-1]), " "]
     return [parts[0], *map(" ".__add__, parts[1:])]
 
 
-def blank_chunks(text: str) -> list[str] | None:
-    """Chunks of a text for a pattern that drops white space. None: not separable."""
-    return None if _ODD.search(text) else text.split()
+def word_end_chunks(text: str) -> list[str] | None:
+    """Lower-cased chunks for a pattern that drops white space. None: not separable."""
+    return None if _ODD.search(text) else text.lower().split()
 
 
-class ChunkMemo:
-    """Maps chunks to values that ``value(ids)`` makes of the library's ids."""
+KINDS = {"byte_level": (byte_level_chunks, _BYTE_LEVEL), "word_end": (word_end_chunks, _WORD_END)}
 
-    def __init__(self, tokenizer, chunks: Callable[[str], list[str] | None], value: Callable[[list[int]], object]):
-        self.tokenizer, self.chunks, self.value = tokenizer, chunks, value
-        self.memo: dict[str, object] = {}
 
-    def whole(self, text: str):
-        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+class ChunkMemo:
+    """The ids of texts, as little-endian integers of ``width`` bytes, by way of a memo of chunks."""
+
+    def __init__(self, path: str, kind: str, width: int = 4):
+        self.tokenizer, self.merges, self.width = load(path), merges(path), width
+        self.chunks, self.pattern = KINDS[kind]
+        self.memo: dict[str, bytes] = {}
+
+    def pack(self, ids) -> bytes:
+        return np.asarray(ids, f"<u{self.width}").tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def merge(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that the pre-tokenizer doesn't cut any further."""
+        if not self.merges.usable:
+            return {x: self.pack(e.ids) for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        out = {x: self.whole(x) for x in words if len(x) > MERGE_CHARS}
+        short = [x for x in words if len(x) <= MERGE_CHARS]
+        ids, at = self.merges.encode([x.encode() for x in short])
+        data, at = self.pack(ids), (at * self.width).tolist()
+        out.update((x, data[b:e]) for x, b, e in zip(short, at, at[1:], strict=False))
+        return out
 
     def learn(self, new: list[str]) -> None:
-        """Add the values of chunks that the memo lacks."""
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.memo.update((x, self.value(e.ids)) for x, e in zip(new, encoded, strict=True))
+        """Add chunks that the memo lacks."""
+        cut = [self.pattern.findall(x) for x in new]
+        ids = self.merge(list(set().union(*cut)))
+        self.memo.update((x, ids[c[0]] if len(c) == 1 else b"".join([ids[y] for y in c])) for x, c in zip(new, cut, strict=True))
 
-    def of(self, texts: Iterable[str]) -> list[list]:
-        """For each text the values of its chunks; of a text that isn't separable, the value of the whole."""
+    def of(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text."""
         parts = [self.chunks(x) for x in texts]
         memo = self.memo
-        new = {x for p in parts if p for x in p if x not in memo}
-        if new and len(memo) + len(new) > MEMO_CHUNKS:
+        unique = set().union(*(p for p in parts if p))
+        new = unique.difference(memo)
+        if len(memo) + len(new) > MEMO_CHUNKS:
             memo.clear()
-            new = {x for p in parts if p for x in p}
+            new = unique
         if new:
             self.learn(list(new))
-        return [[self.whole(x)] if p is None else [memo[y] for y in p] for x, p in zip(texts, parts, strict=True)]
+        get = memo.__getitem__
+        return [self.whole(x) if p is None else b"".join(map(get, p)) for x, p in zip(texts, parts, strict=True)]

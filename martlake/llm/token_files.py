@@ -66,8 +66,7 @@ def from_planes(planes: list[bytes], n: int, width: int) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _encoder(path: str, width: int) -> chunked.ChunkMemo:
-    kind = f"<u{width // 8}"
-    return chunked.ChunkMemo(chunked.load(path), chunked.blank_chunks, lambda ids: np.array(ids, kind).tobytes())
+    return chunked.ChunkMemo(path, "word_end", width // 8)
 
 
 def _writer(path: str, width: int, end_id: int, block_ids: int, bits: bool):
@@ -102,8 +101,7 @@ def _writer(path: str, width: int, end_id: int, block_ids: int, bits: bool):
 
         memo = _encoder(path, width)
         for batch in batches:
-            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), memo.of(texts(batch)), strict=True):
-                ids = b"".join(parts)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), memo.of(texts(batch)), strict=True):
                 buffer += ids
                 buffer += end
                 held.append([doc_id, len(ids) // size + 1, False])
@@ -157,17 +155,18 @@ def _reader(batch: pa.RecordBatch) -> pa.RecordBatch:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document in the files: doc_id, start, n_tokens, ids_crc32.
 
-    Blocks are decoded where they're read. Only documents that cross a block's edge (at most two for each block) are
-    shuffled, to join their pieces.
+    Blocks are decoded where they're read. What is shuffled is a short row for each document, with ids only for those
+    that cross a block's edge (at most two for each block), whose pieces are joined.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     pieces = map_batches(spark.read.schema(BLOCKS).parquet(path), _reader, _PIECES)
-    whole = pieces.where("whole").select("part", "doc_id", "at", "n", "crc")
-    ids = F.aggregate(F.array_sort(F.collect_list(F.struct("block", "ids"))), F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    cut = pieces.where("not whole").groupBy("part", "ord").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.crc32(ids).alias("crc"))
+    # An id's row count is that of the blocks it crosses; only documents across an edge carry ids here.
+    ids = F.aggregate(F.array_sort(F.collect_list(F.when(~F.col("whole"), F.struct("block", "ids")))), F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    documents = pieces.groupBy("part", "ord").agg(
+        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.max("crc").alias("whole"), F.crc32(ids).alias("joined")
+    )
     base = read_index(spark, path).select("part", "base").distinct()
     return (
-        whole.unionByName(cut.drop("ord"))
-        .join(F.broadcast(base), "part")  # one row for each part
-        .select("doc_id", (F.col("base") + F.col("at")).cast("long").alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+        documents.join(F.broadcast(base), "part")  # one row for each part
+        .select("doc_id", (F.col("base") + F.col("at")).cast("long").alias("start"), F.col("n").alias("n_tokens"), F.coalesce("whole", "joined").alias("ids_crc32"))
     )

@@ -9,6 +9,7 @@ import pytest
 
 from martlake.llm import bpe, chunked, token_counts, token_files
 from martlake.llm.common import stage_path
+from martlake.llm.merges import byte_symbols
 
 P = pytest.importorskip("public_tokenizers")
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -26,17 +27,31 @@ def frame(spark, texts, ids=None):
 
 
 def test_chunks_give_the_librarys_ids():
-    for path, cut in ((BYTE, chunked.byte_level_chunks), (WORD, chunked.blank_chunks)):
-        memo, texts = chunked.ChunkMemo(chunked.load(path), cut, list), [t or "" for t in some_texts()]
+    for path, kind in ((BYTE, "byte_level"), (WORD, "word_end")):
+        memo, texts = chunked.ChunkMemo(path, kind), [t or "" for t in some_texts()]
+        assert memo.merges.usable
         for text, got in zip(texts, memo.of(texts)):
-            assert sum(got, []) == chunked.load(path).encode(text, add_special_tokens=False).ids, text[:80]
+            assert np.frombuffer(got, "<u4").tolist() == chunked.load(path).encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_merges():
+    random.seed(9)
+    words = ["".join(random.choices("aab ceèrstn=\n", k=random.randint(1, 30))) for _ in range(3000)] + ["a" * 99, "=" * 64, " " * 50]
+    for path in (BYTE, WORD):
+        merges = chunked.merges(path)
+        ids, at = merges.encode([w.encode() for w in words])
+        merge = chunked.load(path).model.tokenize
+        symbols = byte_symbols()
+        for k, w in enumerate(words):
+            assert ids[at[k] : at[k + 1]].tolist() == [t.id for t in merge("".join(symbols[b] for b in w.encode()))], w
+    assert merges.encode([])[0].tolist() == []
 
 
 def test_memo_starts_anew_when_full(monkeypatch):
     monkeypatch.setattr(chunked, "MEMO_CHUNKS", 3)
-    memo = chunked.ChunkMemo(chunked.load(BYTE), chunked.byte_level_chunks, len)
+    memo = chunked.ChunkMemo(BYTE, "byte_level")
     for texts in (["a b c"], ["d e f g h"], ["a b", "x y"]):
-        assert [sum(x) for x in memo.of(texts)] == [len(chunked.load(BYTE).encode(t).ids) for t in texts]
+        assert [len(x) // 4 for x in memo.of(texts)] == [len(chunked.load(BYTE).encode(t).ids) for t in texts]
 
 
 def test_counts(spark, tmp_path):
@@ -101,6 +116,13 @@ def test_lexicon():
     assert bpe.Lexicon(bpe.compile_lexicon([])).find([b"a"]) == [None]
 
 
+def test_frequent_words(spark):
+    docs = frame(spark, ["a b b c c c c c " + "d " * 30, None, "d", "a  b"])
+    assert set(bpe.frequent_words(docs, 10, 1)) == {"a", " b", " c", " d", " ", "d"}
+    assert bpe.frequent_words(docs, 1, 2) == [" d"] and sorted(bpe.frequent_words(docs, 2, 5)) == [" c", " d"]
+    assert bpe.frequent_words(docs, 0, 1) == []
+
+
 @pytest.mark.parametrize("words", [5, 1 << 16])
 def test_codec(spark, words):
     texts, t = some_texts(), chunked.load(BYTE)
