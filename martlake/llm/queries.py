@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlake.llm import bpe, decontamination, language, token_counts, token_files
+from martlake.llm import bpe, decontamination, language, simhash, token_counts, token_files
 from martlake.llm.common import stage_path
 
 
@@ -42,6 +42,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
 }
 
