@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import mmap
 import tempfile
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -22,8 +21,6 @@ from martlake.llm.merges import byte_symbols
 LEXICON_WORDS = 1 << 16
 #: Occurrences that make a word frequent.
 LEAST_COUNT = 8
-#: Distinct words that a counting task gathers before it hands them on.
-COUNTER_WORDS = 400_000
 
 
 # The transducer ------------------------------------------------------------------------------------------------------
@@ -103,46 +100,49 @@ class Lexicon:
         self.keys, self.targets, self.outputs = (take(n_edges, "<u4") for _ in range(3))
         self.offsets, self.ids, self.final = take(n_words + 1, "<u4"), take(n_ids, "<u4"), take(n_states, "u1")
 
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """For each word its ids as little-endian 32-bit integers, or None; all words advance a byte at a time."""
+    def find(self, words: chunked.Words) -> np.ndarray:
+        """The rank of each word, or -1; all words advance a byte at a time."""
         n = len(words)
-        if not n or not len(self.keys):
-            return [None] * n
-        length = np.fromiter(map(len, words), np.int64, n)
-        order = np.argsort(-length, kind="stable")
-        data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length
-        state, rank, alive = np.full(n, self.root, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(int(length.max(initial=0))):
-            order = order[: np.searchsorted(-length[order], -k, "left")]
+        state, rank, alive = np.full(n, self.root, np.int64), np.zeros(n, np.int64), np.full(n, bool(len(self.keys)))
+        order = np.argsort(-words.length, kind="stable")
+        longest = words.length[order]
+        for k in range(int(longest[0]) if n else 0):
+            order = order[: np.searchsorted(-words.length[order], -k, "left")]
             order = order[alive[order]]
             if not len(order):
                 break
-            key = state[order] << 8 | data[start[order] + k]
+            key = state[order] << 8 | words.data[words.begin[order] + k]
             edge = np.searchsorted(self.keys, key.astype(np.uint32))
             hit = self.keys[np.minimum(edge, len(self.keys) - 1)] == key
             alive[order[~hit]] = False
             order, edge = order[hit], edge[hit]
             state[order] = self.targets[edge]
             rank[order] += self.outputs[edge]
-        alive &= self.final[state] == 1
-        begin, end = self.offsets[np.where(alive, rank, 0)].tolist(), self.offsets[np.where(alive, rank + 1, 0)].tolist()
-        return [self.ids[b:e].tobytes() if ok else None for ok, b, e in zip(alive.tolist(), begin, end, strict=True)]
+        return np.where(alive & (self.final[state] == 1), rank, -1)
 
 
 # Encoding and decoding -----------------------------------------------------------------------------------------------
 
 
-class LexiconMemo(chunked.ChunkMemo):
+class LexiconEncoder(chunked.TextEncoder):
     """Looks words up in the lexicon; words that it lacks are merged exactly, by :mod:`martlake.llm.merges`."""
 
     def __init__(self, path: str, lexicon: Lexicon):
         super().__init__(path, "byte_level")
         self.lexicon = lexicon
 
-    def learn(self, new: list[str]) -> None:
-        found = self.lexicon.find([x.encode() for x in new])
-        self.memo.update((x, ids) for x, ids in zip(new, found, strict=True) if ids is not None)
-        super().learn([x for x, ids in zip(new, found, strict=True) if ids is None])
+    def chunk_ids(self, words: chunked.Words) -> tuple[np.ndarray, np.ndarray]:
+        rank = self.lexicon.find(words)
+        known, unseen = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        merged, n_merged = super().chunk_ids(words.take(unseen))
+        begin = self.lexicon.offsets[rank[known]].astype(np.int64)
+        n = np.zeros(len(words), np.int64)
+        n[known], n[unseen] = self.lexicon.offsets[rank[known] + 1] - begin, n_merged
+        at = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), np.int32)
+        ids[chunked.spread(at[known], n[known])] = self.lexicon.ids[chunked.spread(begin, n[known])]
+        ids[chunked.spread(at[unseen], n[unseen])] = merged
+        return ids, n
 
 
 def byte_table(tokenizer) -> list[bytes]:
@@ -158,42 +158,40 @@ _lexicons: dict[str, Lexicon] = {}
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str, digest: str) -> tuple[LexiconMemo, list[bytes]]:
-    return LexiconMemo(path, _lexicons[digest]), byte_table(chunked.load(path))
+def _codec(path: str, digest: str) -> tuple[LexiconEncoder, list[bytes]]:
+    return LexiconEncoder(path, _lexicons[digest]), byte_table(chunked.load(path))
 
 
-def _codec_of(path: str, digest: str, lexicon) -> tuple[LexiconMemo, list[bytes]]:
+def _codec_of(path: str, digest: str, lexicon) -> tuple[LexiconEncoder, list[bytes]]:
     if digest not in _lexicons:
         _lexicons.clear()
         _lexicons[digest] = Lexicon(lexicon.value)
     return _codec(path, digest)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+def _count(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = chunked.TextEncoder(path, "byte_level")
+        for batch in batches:
+            _, words, number, _ = encoder._chunks(texts(batch))
+            n = np.bincount(number, minlength=len(words))
+            used = np.flatnonzero((n > 0) & (words.length > 0))
+            kept = words.take(used)
+            offsets = pa.py_buffer(np.append(kept.begin, len(kept.data)).astype(np.int32).tobytes())
+            word = pa.Array.from_buffers(pa.string(), len(used), [None, offsets, pa.py_buffer(kept.data.tobytes())])
+            yield pa.RecordBatch.from_arrays([word, pa.array(n[used], pa.int64())], ["word", "n"])
 
-    def out() -> pa.RecordBatch:
-        counts.pop("", None)  # what stands before a text's first blank
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+    return run
 
-    for batch in batches:
-        for x in texts(batch):
-            counts.update(chunked.byte_level_chunks(x) or ())
-        if len(counts) > COUNTER_WORDS:
-            yield out()
-            counts.clear()
-    if counts:
-        yield out()
 
-
-def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> list[str]:
+def frequent_words(docs: DataFrame, tokenizer_path: str, limit: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> list[str]:
     """Words of all texts that occur ``least`` times or more: the most frequent, ``limit`` at most.
 
     The counts are whole. The cut is made on classes of about equal counts (an eighth of a power of two), from a
     histogram of these, so no task or driver sorts all words and what is collected is never above the limit.
     """
     bounded_batches(docs.sparkSession)
-    counts = documents_of(docs).select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = documents_of(docs).select("text").mapInArrow(_count(tokenizer_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     kept = staged(counts.where(F.col("n") >= least).withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "words")
     cut, total = None, 0
     for r in sorted(kept.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
@@ -205,7 +203,7 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, least: int = LEA
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, limit: int = LEXICON_WORDS) -> bytes:
-    words = frequent_words(docs, limit)
+    words = frequent_words(docs, tokenizer_path, limit)
     encoded = chunked.load(tokenizer_path).encode_batch_fast(words, add_special_tokens=False)  # at most the limit
     return compile_lexicon((w.encode(), e.ids) for w, e in zip(words, encoded, strict=True))
 
@@ -219,6 +217,11 @@ def decode(table: list[bytes], ids: bytes) -> str:
     return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def _slices(ids: bytes, bounds: np.ndarray) -> list[bytes]:
+    at = (bounds * 4).tolist()
+    return [ids[b:e] for b, e in zip(at, at[1:])]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit).
 
@@ -229,9 +232,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int =
     digest, lexicon = _with_lexicon(docs, tokenizer_path, lexicon_words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, _ = _codec_of(tokenizer_path, digest, lexicon)
-        ids = memo.of(texts(batch))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        encoder, _ = _codec_of(tokenizer_path, digest, lexicon)
+        ids, bounds = encoder.encode(texts(batch))
+        values = _slices(ids.astype("<u4").tobytes(), bounds)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(values, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return map_batches(documents_of(docs), run, "doc_id long, n_tokens long, ids binary")
 
@@ -256,10 +260,11 @@ def round_trip(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICO
     digest, lexicon = _with_lexicon(docs, tokenizer_path, lexicon_words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, table = _codec_of(tokenizer_path, digest, lexicon)
+        encoder, table = _codec_of(tokenizer_path, digest, lexicon)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        ids = memo.of(texts(batch))
-        columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(decode(table, x).encode()) for x in ids], pa.string())]
+        ids, bounds = encoder.encode(texts(batch))
+        values = _slices(ids.astype("<u4").tobytes(), bounds)
+        columns = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(map(sha, values), pa.string()), pa.array([sha(decode(table, x).encode()) for x in values], pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(documents_of(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

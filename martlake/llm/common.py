@@ -8,11 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
-ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -87,6 +88,6 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The batch's texts, null as empty."""
-    return ["" if x is None else x for x in batch.column(column).to_pylist()]
+    return pc.fill_null(batch.column(column), "")

@@ -78,12 +78,11 @@ class Merges:
             todo = todo[~hit & (found != 0)]
         return out
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all (non-empty) words, one word after the other, and where each word's ids begin (one more at the end)."""
-        n = len(words)
-        length = np.fromiter(map(len, words), np.int64, n)
-        begin = np.cumsum(length) - length
-        data = np.frombuffer(b"".join(words), np.uint8)
+    def encode(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all (non-empty) words, which fill ``data`` one after the other, and the bounds of each word's ids."""
+        n = len(length)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         ids = self.first[data]
         ids[begin + length - 1] = self.last[data[begin + length - 1]]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # finished: word, number of ids, ids
@@ -122,8 +121,6 @@ class Merges:
             ranks[here] = self.rank(ids[here], ids[here + 1])
             here = at[at > begin[owner]] - 1
             ranks[here] = self.rank(ids[here], ids[here + 1])
-        if not out:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         word, length = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
         ids = np.concatenate([x[2] for x in out])
         offsets = np.zeros(n + 1, np.int64)

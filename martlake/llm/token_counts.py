@@ -24,14 +24,13 @@ def tokenizer_version(path: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def _counter(path: str) -> chunked.ChunkMemo:
-    return chunked.ChunkMemo(path, "byte_level")
+def _counter(path: str) -> chunked.TextEncoder:
+    return chunked.TextEncoder(path, "byte_level")
 
 
 def _encode(path: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo = _counter(path)
-        counts = [len(x) // memo.width for x in memo.of(texts(batch))]
+        counts = _counter(path).counts(texts(batch))
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return run

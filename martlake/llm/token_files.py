@@ -65,8 +65,8 @@ def from_planes(planes: list[bytes], n: int, width: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str, width: int) -> chunked.ChunkMemo:
-    return chunked.ChunkMemo(path, "word_end", width // 8)
+def _encoder(path: str) -> chunked.TextEncoder:
+    return chunked.TextEncoder(path, "word_end")
 
 
 def _writer(path: str, width: int, end_id: int, block_ids: int, bits: bool):
@@ -99,12 +99,14 @@ def _writer(path: str, width: int, end_id: int, block_ids: int, bits: bool):
             block, first = block + 1, first + n
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
-        memo = _encoder(path, width)
+        encoder = _encoder(path)
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), memo.of(texts(batch)), strict=True):
-                buffer += ids
+            ids, bounds = encoder.encode(texts(batch))
+            ids, bounds = ids.astype(f"<u{size}").tobytes(), (bounds * size).tolist()
+            for doc_id, b, e in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
+                buffer += ids[b:e]
                 buffer += end
-                held.append([doc_id, len(ids) // size + 1, False])
+                held.append([doc_id, (e - b) // size + 1, False])
                 while len(buffer) >= block_ids * size:
                     yield cut(block_ids)
         if buffer:

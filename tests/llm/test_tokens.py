@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from martlake.llm import bpe, chunked, token_counts, token_files
@@ -27,11 +28,26 @@ def frame(spark, texts, ids=None):
 
 
 def test_chunks_give_the_librarys_ids():
+    texts = [t or "" for t in some_texts()]
     for path, kind in ((BYTE, "byte_level"), (WORD, "word_end")):
-        memo, texts = chunked.ChunkMemo(path, kind), [t or "" for t in some_texts()]
-        assert memo.merges.usable
-        for text, got in zip(texts, memo.of(texts)):
-            assert np.frombuffer(got, "<u4").tolist() == chunked.load(path).encode(text, add_special_tokens=False).ids, text[:80]
+        encoder = chunked.TextEncoder(path, kind)
+        assert encoder.merges.usable
+        for batch in (texts, texts[:1], [], ["a"], [" "], [""], ["ж"]):
+            ids, at = encoder.encode(pa.array(batch, pa.string()))
+            want = [chunked.load(path).encode(t, add_special_tokens=False).ids for t in batch]
+            for k, (t, x) in enumerate(zip(batch, want)):
+                assert ids[at[k] : at[k + 1]].tolist() == x, t[:80]
+            assert encoder.counts(pa.array(batch, pa.string())).tolist() == [len(x) for x in want]
+
+
+def test_chunks_of_random_plain_texts():
+    random.seed(8)
+    alphabet = ["a", "B", "é", "×", "÷", "ß", "À", " ", " ", "\n", "\n", "\t", "'", "s", "re", "7", "42", ".", "--", "the", "x" * 120]
+    texts = ["".join(random.choices(alphabet, k=random.randint(0, 25))) for _ in range(6000)]
+    for path, kind in ((BYTE, "byte_level"), (WORD, "word_end")):
+        ids, at = chunked.TextEncoder(path, kind).encode(pa.array(texts))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == chunked.load(path).encode(t, add_special_tokens=False).ids, t
 
 
 def test_merges():
@@ -39,19 +55,11 @@ def test_merges():
     words = ["".join(random.choices("aab ceèrstn=\n", k=random.randint(1, 30))) for _ in range(3000)] + ["a" * 99, "=" * 64, " " * 50]
     for path in (BYTE, WORD):
         merges = chunked.merges(path)
-        ids, at = merges.encode([w.encode() for w in words])
+        ids, at = merges.encode(*vars(chunked.Words.of(pa.array(words))).values())
         merge = chunked.load(path).model.tokenize
         symbols = byte_symbols()
         for k, w in enumerate(words):
             assert ids[at[k] : at[k + 1]].tolist() == [t.id for t in merge("".join(symbols[b] for b in w.encode()))], w
-    assert merges.encode([])[0].tolist() == []
-
-
-def test_memo_starts_anew_when_full(monkeypatch):
-    monkeypatch.setattr(chunked, "MEMO_CHUNKS", 3)
-    memo = chunked.ChunkMemo(BYTE, "byte_level")
-    for texts in (["a b c"], ["d e f g h"], ["a b", "x y"]):
-        assert [len(x) // 4 for x in memo.of(texts)] == [len(chunked.load(BYTE).encode(t).ids) for t in texts]
 
 
 def test_counts(spark, tmp_path):
@@ -108,19 +116,22 @@ def test_lexicon():
     random.seed(5)
     words = {"".join(random.choices("abcé", k=random.randint(0, 7))).encode(): [random.randrange(9) for _ in range(random.randint(0, 4))] for _ in range(500)}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words.items()))
-    for w, got in zip(words, lexicon.find(list(words))):
-        assert np.frombuffer(got, "<u4").tolist() == words[w]
-    others = [w + b"z" for w in words] + [w[:-1] for w in words if w[:-1] not in words] + [b"\xff", b""] * (b"" not in words)
-    assert not any(lexicon.find(others)) and lexicon.find([]) == []
+    find = lambda lexicon, x: lexicon.find(chunked.Words.of(pa.array([w.decode("latin-1") for w in x], pa.string()))).tolist()
+    latin = {w.decode().encode("utf-8").decode("latin-1"): v for w, v in words.items()}
+    lexicon = bpe.Lexicon(bpe.compile_lexicon((w.encode(), v) for w, v in latin.items()))
+    for (w, ids), rank in zip(latin.items(), find(lexicon, words)):
+        assert rank >= 0 and lexicon.ids[lexicon.offsets[rank] : lexicon.offsets[rank + 1]].tolist() == ids, w
+    others = [w + b"z" for w in words] + [w[:-1] for w in words if w[:-1] not in words] + [b"\xff"] + [b""] * (b"" not in words)
+    assert set(find(lexicon, others)) == {-1} and find(lexicon, []) == []
     assert len(lexicon.final) < sum(map(len, words))  # suffixes are shared
-    assert bpe.Lexicon(bpe.compile_lexicon([])).find([b"a"]) == [None]
+    assert find(bpe.Lexicon(bpe.compile_lexicon([])), [b"a", b""]) == [-1, -1]
 
 
 def test_frequent_words(spark):
     docs = frame(spark, ["a b b c c c c c " + "d " * 30, None, "d", "a  b"])
-    assert set(bpe.frequent_words(docs, 10, 1)) == {"a", " b", " c", " d", " ", "d"}
-    assert bpe.frequent_words(docs, 1, 2) == [" d"] and sorted(bpe.frequent_words(docs, 2, 5)) == [" c", " d"]
-    assert bpe.frequent_words(docs, 0, 1) == []
+    assert set(bpe.frequent_words(docs, BYTE, 10, 1)) == {"a", " b", " c", " d", " ", "d"}
+    assert bpe.frequent_words(docs, BYTE, 1, 2) == [" d"] and sorted(bpe.frequent_words(docs, BYTE, 2, 5)) == [" c", " d"]
+    assert bpe.frequent_words(docs, BYTE, 0, 1) == []
 
 
 @pytest.mark.parametrize("words", [5, 1 << 16])
