@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlake.llm import bpe, decontamination, language, pii, simhash, token_counts, token_files
+from martlake.llm import bpe, decontamination, language, order_minhash, pii, simhash, token_counts, token_files
 from martlake.llm.common import stage_path
 
 
@@ -50,6 +50,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_sensitivity(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op8_order_minhash": op8_order_minhash,
     "op9_pii": op9_pii,
 }
 
