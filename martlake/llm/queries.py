@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlake.llm import bpe, decontamination, language, order_minhash, pii, simhash, token_counts, token_files
+from martlake.llm import bpe, decontamination, language, order_minhash, pii, simhash, substrings, token_counts, token_files
 from martlake.llm.common import stage_path
 
 
@@ -32,6 +32,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -61,6 +66,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
+    "op3_substrings": op3_substrings,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
@@ -88,4 +94,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM folded LEFT JOIN words USING (r) LEFT JOIN listed USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (SELECT r, k, array_to_string(w[k : k + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)
+), repeated AS (SELECT r, k FROM windows JOIN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1) USING (g)
+), gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM repeated
+), words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_substrings": OP3_SQL}
