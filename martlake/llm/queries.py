@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlake.llm import bpe, decontamination, language, order_minhash, pii, simhash, substrings, token_counts, token_files
+from martlake.llm import bpe, decontamination, language, language_model, order_minhash, pii, simhash, substrings, token_counts, token_files
 from martlake.llm.common import stage_path
 
 
@@ -63,6 +63,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_order_minhash": op8_order_minhash,
     "op9_pii": op9_pii,
+    "op10_language_model": op10_language_model,
 }
 
 OP1_SQL = r"""

@@ -52,20 +52,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of anything but ASCII white space) and the bounds of each text's words."""
-    lists = pc.ascii_split_whitespace(texts)
-    coded = lists.flatten().dictionary_encode()
-    words, number = Words.of(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
+def hash_words(words: Words) -> np.ndarray:
+    """64-bit hashes of byte strings."""
     place = np.arange(int(words.length.sum())) - np.repeat(np.cumsum(words.length) - words.length, words.length)
     value = _BYTE[words.data[spread(words.begin, words.length)]] * _power(_INNER, int(words.length.max(initial=0)) + 1)[place]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
     end = np.cumsum(words.length)
-    hashes = _mixed(sums[end] - sums[end - words.length])
-    real = words.length[number] > 0  # white space at either end of a text makes empty words
+    return _mixed(sums[end] - sums[end - words.length])
+
+
+def split_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The distinct words (runs of anything but ASCII white space) of a batch, the number of each word, and the bounds
+    of each text's words. White space at either end of a text makes no word, but the empty word may be among the
+    distinct ones."""
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words, number = Words.of(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    real = words.length[number] > 0
     kept = np.concatenate([[0], np.cumsum(real)])
-    return hashes[number[real]], kept[offsets - offsets[0]]
+    return words, number[real], kept[offsets - offsets[0]]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words and the bounds of each text's words."""
+    words, number, bounds = split_words(texts)
+    return hash_words(words)[number], bounds
 
 
 def run_hashes(words: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
