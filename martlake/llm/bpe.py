@@ -240,6 +240,20 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int =
     return map_batches(documents_of(docs), run, "doc_id long, n_tokens long, ids binary")
 
 
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """Like :func:`encode_documents`, with the text that is decoded from the ids: doc_id, n_tokens, ids, text."""
+    digest, lexicon = _with_lexicon(docs, tokenizer_path, lexicon_words)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder, table = _codec_of(tokenizer_path, digest, lexicon)
+        ids, bounds = encoder.encode(texts(batch))
+        values = _slices(ids.astype("<u4").tobytes(), bounds)
+        columns = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(values, pa.binary()), pa.array([decode(table, x) for x in values], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
+
+    return map_batches(documents_of(docs), run, "doc_id long, n_tokens long, ids binary, text string")
+
+
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids give an empty text."""
 

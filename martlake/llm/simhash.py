@@ -6,6 +6,11 @@ every word is within three errors of one codeword, and a word at exactly three i
 segments differ in one bit at most, the nearest codeword of either is among the nearby codewords of the other. So a
 fingerprint files itself, for each pair of segments, under (nearest of one, nearby of the other) and the reverse; any
 two fingerprints in reach share such a key. Keys only nominate; the Hamming distance decides.
+
+Texts that share eight tenths of their five-word shingles differ in about ten of 64 sign bits, beyond that reach. So
+where documents are dropped, near copies of that likeness are linked as well, by the same keys over other bits: one-bit
+minwise hashes of the set of words (a pair of such texts differs in two of 100 bits), verified by 256 one-bit minwise
+hashes of the five-word shingles.
 """
 
 from __future__ import annotations
@@ -16,15 +21,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlake.llm.chunked import spread
 from martlake.llm.common import bounded_batches, shuffle_partitions, staged
+from martlake.llm.substrings import run_hashes, word_hashes
 
 #: Words of a shingle, and the differing bits that still link.
 SHINGLE, REACH = 3, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: Five-word shingles, the likeness that links near copies, what its estimate may lack, and the estimate's bits.
+COPY_SHINGLE, COPY_LIKENESS, COPY_SLACK, COPY_BITS = 5, 0.8, 0.04, 256
 #: (lowest bit, bits) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size compare all their pairs at once; larger ones grow components from member to member.
@@ -109,9 +119,14 @@ def codewords(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the fingerprint, key) for all keys of all fingerprints, each once."""
     prints = prints.astype(np.uint64)
-    parts = [codewords((prints >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)) for low, bits in SEGMENTS]
+    return segment_keys([(prints >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64) for low, bits in SEGMENTS])
+
+
+def segment_keys(segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(index, key) for all keys of rows of segments of 23 bits at most."""
+    parts = [codewords(x) for x in segments]
     out = []
-    for p, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
+    for p, (i, j) in enumerate(combinations(range(len(segments)), 2)):
         (near_i, all_i), (near_j, all_j) = parts[i], parts[j]
         out.append(np.where(all_j >= 0, p << 24 | near_i[:, None] << 12 | all_j, -1))
         out.append(np.where(all_i[:, 1:] >= 0, p << 24 | all_i[:, 1:] << 12 | near_j[:, None], -1))
@@ -236,17 +251,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def _print_rows(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with all columns and a column fp, whose name must be free."""
+def _prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp) of rows (doc_id, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = fingerprints(batch.column("text").to_pylist(), shingle)
-            yield batch.append_column("__fp", pa.array(prints.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, __fp long")
+    return docs.mapInArrow(run, "doc_id long, fp long")
 
 
 def _groups(prints: DataFrame, reach: int) -> DataFrame:
@@ -265,17 +279,152 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH)
     component_id; it's null where a component has no other. Repeated rows give repeated rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = staged(_print_rows(plain, shingle).select("doc_id", F.col("__fp").alias("fp")), "documents")
+    prints = staged(_prints(plain, shingle), "documents")
     rooted = _groups(prints, reach)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = staged(rooted.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(linked, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH) -> DataFrame:
-    """``docs`` with all columns, one document of each component: the one of least id (null last, then by fingerprint)."""
-    rows = staged(_print_rows(docs, shingle), "documents")
-    rooted = _groups(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), reach)
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("fp"))).alias("k")).select(F.col("k.first").alias("__id"), F.col("k.fp").alias("__kept"))
-    one = rows.join(staged(kept, "kept"), (F.col("__fp") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return one.dropDuplicates(["__fp", "doc_id"]).drop("__fp")
+# Near copies ---------------------------------------------------------------------------------------------------------
+
+
+def _one_bit(values: np.ndarray, starts: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """``n`` one-bit minwise hashes of sets of 32-bit values, one set after the other: [set, n]."""
+    factors = np.random.default_rng(seed).integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    out = np.empty((len(starts), n), np.uint8)
+    for k, a in enumerate(factors):
+        least = np.minimum.reduceat(values * a, starts)
+        least ^= least >> np.uint32(15)
+        out[:, k] = (least * np.uint32(0x2C1B3C6D)) >> np.uint32(31)
+    return out
+
+
+def copy_sketches(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of texts with words: their places, three segments of 23 bits over their sets of words, and the sketches (four
+    64-bit integers each) of their five-word shingles (a text of fewer words is one shingle)."""
+    words, bounds = word_hashes(pc.ascii_lower(texts))
+    sizes = np.diff(bounds)
+    place = np.flatnonzero(sizes)
+    if not len(place):
+        return place, [np.zeros(0, np.int64)] * 3, np.zeros((0, COPY_BITS // 64), np.uint64)
+    doc = np.repeat(np.arange(len(place)), sizes[place])
+    order = np.lexsort((words, doc))
+    d, w = doc[order], words[order]
+    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
+    d, w = d[fresh], w[fresh]
+    bits = _one_bit((w >> np.uint64(32)).astype(np.uint32), np.searchsorted(d, np.arange(len(place))), 23, 69)
+    segments = [bits[:, 23 * k : 23 * k + 23].astype(np.int64) @ (1 << np.arange(23)) for k in range(3)]
+    n = np.maximum(sizes[place] - COPY_SHINGLE + 1, 1)
+    starts = spread(bounds[place], n)
+    padded = np.concatenate([words, np.zeros(COPY_SHINGLE, np.uint64)])
+    shingles = run_hashes(padded, COPY_SHINGLE, 2)[starts]
+    first = np.cumsum(n) - n
+    for k in np.flatnonzero(sizes[place] < COPY_SHINGLE).tolist():  # only the text's own words
+        own = np.concatenate([words[bounds[place[k]] : bounds[place[k] + 1]], np.zeros(COPY_SHINGLE, np.uint64)])
+        shingles[first[k]] = run_hashes(own[:COPY_SHINGLE], COPY_SHINGLE, 2)[0]
+    sketch = np.packbits(_one_bit((shingles >> np.uint64(32)).astype(np.uint32), first, 5, COPY_BITS), axis=1)
+    return place, segments, np.ascontiguousarray(sketch).view(np.uint64)
+
+
+def _far(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketches ^ other).sum(-1, dtype=np.int64)
+
+
+def sketch_links(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect all nodes whose sketches differ in ``most`` bits at most within their buckets."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes, sketches = keys[order], nodes[order], sketches[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    size = np.repeat(sizes, sizes)
+    small = np.flatnonzero((size > 1) & (size <= SMALL))
+    a, b = [], []
+    k, p, x = keys[small], nodes[small], sketches[small]
+    for d in range(1, SMALL):
+        same = np.flatnonzero(k[d:] == k[:-d])
+        if not len(same):
+            break
+        same = same[_far(x[same + d], x[same]) <= most]
+        a.append(p[same])
+        b.append(p[same + d])
+    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        left = np.arange(s, s + n)
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                at = front.pop()
+                near = _far(sketches[left], sketches[at]) <= most
+                found, left = left[near], left[~near]
+                a.append(np.full(len(found), nodes[at]))
+                b.append(nodes[found])
+                front.extend(found.tolist())
+    if not a:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return _forest(np.concatenate(a), np.concatenate(b))
+
+
+def _print_and_sketch(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            prints = fingerprints(texts.to_pylist(), shingle)
+            place, segments, sketches = copy_sketches(texts)
+            words = np.zeros(batch.num_rows, object)
+            words[:] = None
+            for k, row in zip(place.tolist(), np.concatenate([np.stack(segments, 1).astype(np.uint64), sketches], axis=1)):
+                words[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(prints.view(np.int64)), pa.array(words.tolist(), pa.binary())], ["doc_id", "k1", "k2", "fp", "sketch"])
+
+    return run
+
+
+def _file_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        row, keys = segment_keys([rows[:, k].astype(np.int64) for k in range(3)])
+        sketch = pa.array([x.tobytes() for x in rows[:, 3:]], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), batch.column("fp").take(pa.array(row)), sketch.take(pa.array(row))], ["key", "fp", "sketch"])
+
+
+def _link_sketches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, sketches = [], [], []
+        for batch in batches:
+            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
+            nodes.append(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            sketches.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+        if keys:
+            a, b = sketch_links(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sketches), most)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return run
+
+
+def copy_links(rows: DataFrame, likeness: float = COPY_LIKENESS) -> DataFrame:
+    """Links (a, b) between the fingerprints of near copies, of rows (fp, sketch)."""
+    most = int(COPY_BITS * (1 - (likeness - COPY_SLACK)) / 2)
+    distinct = rows.where("sketch is not null").select("fp", "sketch").distinct()
+    n = shuffle_partitions(rows.sparkSession)
+    return distinct.mapInArrow(_file_sketches, "key int, fp long, sketch binary").repartition(n, "key").mapInArrow(_link_sketches(most), "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH, likeness: float = COPY_LIKENESS) -> DataFrame:
+    """``docs`` with all columns, one document of each group: the one of least id (null last, then by fingerprint).
+
+    Groups are the components of two kinds of links: fingerprints in reach, and near copies, whose five-word shingles
+    are alike by ``likeness`` or more (estimated within a few hundredths). Wordless texts are near each other only. Of
+    rows that are equal in all but other columns any one stays.
+    """
+    bounded_batches(docs.sparkSession)
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    k1, k2 = F.xxhash64(own, text), F.hash(text, own)
+    plain = docs.select(own.alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+    prints = staged(plain.mapInArrow(_print_and_sketch(shingle), "doc_id long, k1 long, k2 int, fp long, sketch binary"), "documents")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first"))
+    found = components(links(nodes.select("fp"), reach).union(copy_links(prints, likeness)).distinct())
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2"))
+    marked = docs.withColumns({"__a": k1, "__b": k2})
+    one = marked.join(staged(kept, "kept"), (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left_semi")
+    return one.dropDuplicates(["__a", "__b"]).drop("__a", "__b")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -118,11 +119,57 @@ def test_near_duplicates(spark):
             least[classes[p]] = min(i, least.get(classes[p], i))
     want = sorted(map(str, ((i, f"{p:016x}", least.get(classes[p])) for i, p in zip(ids, prints))))
     assert sorted(str(tuple(r)) for r in s.near_duplicates(docs).collect()) == want
+
+
+def likeness(a, b, n=5):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 0.0
+
+
+def near_copies(seed, groups=25):
+    random.seed(seed)
+    word = lambda: "".join(random.choices(["th", "er", "on", "an", "re", "he", "in", "ed"], k=random.randint(1, 4)))
+    texts, group = [], []
+    for g in range(groups):
+        base = [word() for _ in range(random.randint(40, 400))]
+        for c in range(random.choice([1, 1, 2, 4])):
+            own = list(base)
+            for _ in range(0 if c == 0 else max(1, len(own) // 80)):
+                own[random.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+            group.append(g)
+    return texts, group
+
+
+def test_sketches_estimate_likeness():
+    texts, _ = near_copies(1)
+    texts += ["one two", "ONE two", "one", "", "a b c d e", "a b c d e f"]
+    place, segments, sketches = s.copy_sketches(pa.array(texts))
+    assert place.tolist() == [k for k, t in enumerate(texts) if t] and all(len(x) == len(place) and x.max() < 1 << 23 for x in segments)
+    at = {k: i for i, k in enumerate(place.tolist())}
+    errors = [abs(likeness(texts[a], texts[b]) - (1 - 2 * int(s._far(sketches[at[a]], sketches[at[b]])) / s.COPY_BITS)) for a in at for b in at if a < b and likeness(texts[a], texts[b]) > 0.3]
+    assert np.mean(errors) < 0.06 and int(s._far(sketches[at[len(texts) - 6]], sketches[at[len(texts) - 5]])) == 0
+
+
+@pytest.mark.parametrize("small", [1, 16])
+def test_drop_near_duplicates(spark, monkeypatch, small):
+    monkeypatch.setattr(s, "SMALL", small)
+    texts, group = near_copies(2)
+    rows = [(100 + k, t, g) for k, (t, g) in enumerate(zip(texts, group))]
+    rows += [(500 + k, texts[k], group[k]) for k in range(0, len(texts), 3)] + [(None, texts[0], group[0]), (7, None, -1), (8, "", -1), (9, " ", -1), (100, texts[0], group[0]), (3, "only one", -2)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp int, k1 string, root int")
     kept = s.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    rows = kept.collect()
-    assert len(rows) == len(set(classes.values())) == len({classes[brute_print(r.text)] for r in rows})
-    assert all(r.doc_id == least.get(classes[brute_print(r.text)]) for r in rows)
+    out = kept.collect()
+    assert sorted(r.fp for r in out) == sorted(set(group) | {-1, -2})
+    least = {}
+    for i, _, g in rows:
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    assert all(r.doc_id == least[r.fp] for r in out)
 
 
 def test_empty(spark):
