@@ -353,7 +353,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     blocks = keyed.mapInArrow(_probe(window, labels), _ENTRIES).repartition(r, "dest").mapInArrow(_answers("<u4"), _PLACES)
     met = blocks.groupBy("k1", "k2").agg(F.collect_set("at").alias("met"))
-    anchored = keyed.join(met.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "met")
+    anchored = keyed.join(met.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "met")  # with doc_id: both joins then read one exchange
     windows = anchored.mapInArrow(_extend(window, labels), _ENTRIES).repartition(r, "dest").mapInArrow(_answers("<u8"), _PLACES)
     runs = windows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     found = keyed.join(runs.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "runs")
