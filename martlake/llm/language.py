@@ -138,10 +138,28 @@ def viterbi(scores: np.ndarray, sizes: list[int], switch: float = SWITCH) -> np.
     return labels
 
 
-def identify_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-    """Language, score and spans (language, first word, number of words) of each text."""
+#: Characters of texts that are worked on at a time.
+PART_CHARS = 1 << 20
+
+Found = tuple[str, float, list[tuple[str, int, int]]]
+
+
+def identify_texts(model: Model, texts: list[str | None]) -> list[Found]:
+    """Language, score and spans (language, first word, number of words) of each text; in parts of bounded size."""
     if not model.languages:
         return [("und", 0.0, [])] * len(texts)
+    out: list[Found] = []
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= PART_CHARS:
+            out += _identify_part(model, part)
+            part, size = [], 0
+    return out + _identify_part(model, part)
+
+
+def _identify_part(model: Model, texts: list[str | None]) -> list[Found]:
     index: dict[str, int] = {}
     ids: list[int] = []
     sizes = []
