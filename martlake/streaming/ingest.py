@@ -67,7 +67,7 @@ def ingest(spark: SparkSession, landing: str, entity: str, table: Table, state_p
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if with_rescue:
-            files = [r["__file"] for r in batch.select("__file").distinct().collect()]  # the micro-batch's files
+            files = [r["__file"] for r in batch.distinct().collect()]  # the names of the micro-batch's files
             if not files:
                 return
             rows = rescue(spark, files, entity)
@@ -76,8 +76,12 @@ def ingest(spark: SparkSession, landing: str, entity: str, table: Table, state_p
         rows = rows.withColumns({"_ingestion_timestamp": F.current_timestamp(), "_source_file": F.col("__file"), "_batch_id": batch_of(F.col("__file")), "_pipeline_run_id": F.lit(run_id)})
         table.append(rows.select(raw_schema(entity).names), batch_id=batch_id)
 
+    path = f"{landing.rstrip('/')}/{entity}"
+    if with_rescue:  # the stream only finds files; each batch is then read with whatever columns and types it has
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("__file"))
+    else:
+        files = read_stream(spark, path, entity).select("*", F.col("_metadata.file_path").alias("__file"))
     own = options(entity, state_path)
-    files = read_stream(spark, f"{landing.rstrip('/')}/{entity}", entity).select("*", F.col("_metadata.file_path").alias("__file"))
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", own["checkpointLocation"]).trigger(availableNow=True).start()
     query.awaitTermination()
     return table.read().count()
