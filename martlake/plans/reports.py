@@ -120,6 +120,6 @@ def run(spark: SparkSession, name: str, views: Mapping[str, DataFrame]) -> DataF
     return spark.sql(sql)
 
 
-def dashboard(title: str = "Retail lakehouse") -> dict:
+def dashboard(title: str = "Retail marts") -> dict:
     """The dashboard's datasets with their statements, for export."""
     return {"title": title, "datasets": [{"name": n.removeprefix("dashboard_"), "query": " ".join(sql.split())} for n, (_, sql) in REPORTS.items() if n.startswith("dashboard_")]}
