@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import mmap
+import os
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlake.llm import chunked
-from martlake.llm.common import bounded_batches, documents_of, map_batches, staged, texts
+from martlake.llm.common import bounded_batches, documents_of, map_batches, staged, texts, tidy
 from martlake.llm.merges import byte_symbols
 
 #: Words in the lexicon at most: a bound on what is collected, compiled and sent to the executors (a few MB).
@@ -84,7 +85,8 @@ class Lexicon:
     """A compiled lexicon, memory-mapped."""
 
     def __init__(self, data: bytes):
-        with tempfile.TemporaryFile() as f:  # has no name, so nothing stays when the worker ends
+        # a file in memory where the system has them, else one without a name: nothing stays when the worker ends
+        with os.fdopen(os.memfd_create("lexicon"), "w+b") if hasattr(os, "memfd_create") else tempfile.TemporaryFile() as f:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
@@ -191,7 +193,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, limit: int = LEXICON_WO
     histogram of these, so no task or driver sorts all words and what is collected is never above the limit.
     """
     bounded_batches(docs.sparkSession)
-    counts = documents_of(docs).select("text").mapInArrow(_count(tokenizer_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = documents_of(docs).select("text").mapInArrow(tidy(_count(tokenizer_path)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     kept = staged(counts.where(F.col("n") >= least).withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "words")
     cut, total = None, 0
     for r in sorted(kept.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlake.llm.common import bounded_batches, documents_of
+from martlake.llm.common import bounded_batches, documents_of, tidy
 
 #: Consecutive words of a window.
 WINDOW = 13
@@ -151,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     plain = documents_of(docs)
     shards = [_broadcast(x, window) for x in _shards(benchmark, shard_bytes)]
     if len(shards) == 1:
-        return plain.mapInArrow(_scanner(shards[0]), f"doc_id long, {_RESULT}")
+        return plain.mapInArrow(tidy(_scanner(shards[0])), f"doc_id long, {_RESULT}")
     return _united(plain, shards)
 
 
@@ -183,7 +183,7 @@ def _united(plain: DataFrame, shards: list) -> DataFrame:
                     pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())), ("copies", pa.int64())]),
                 )
 
-        return keyed.mapInArrow(run, "doc_id long, digest long, n_words long, spans array<long>, items array<long>, copies long")
+        return keyed.mapInArrow(tidy(run), "doc_id long, digest long, n_words long, spans array<long>, items array<long>, copies long")
 
     parts = hits(shards[0], True)
     for shard in shards[1:]:
@@ -207,7 +207,7 @@ def _united(plain: DataFrame, shards: list) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return grouped.mapInArrow(unite, f"doc_id long, {_RESULT}")
+    return grouped.mapInArrow(tidy(unite), f"doc_id long, {_RESULT}")
 
 
 #: A word in the original text, before A-Z are lower-cased, for cutting spans; the same words as those of words_of.
@@ -245,5 +245,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                             texts[k] = texts[k][: at[b][0]] + texts[k][at[e - 1][1] :]
                 yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
     return out

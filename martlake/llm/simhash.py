@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlake.llm.chunked import spread
-from martlake.llm.common import bounded_batches, shuffle_partitions, staged
+from martlake.llm.common import bounded_batches, shuffle_partitions, staged, tidy
 from martlake.llm.substrings import run_hashes, word_hashes
 
 #: Words of a shingle, and the differing bits that still link.
@@ -229,7 +229,7 @@ def links(prints: DataFrame, reach: int = REACH) -> DataFrame:
     if reach > REACH:
         raise ValueError(f"the keys cover {REACH} differing bits at most, not {reach}")
     n = shuffle_partitions(prints.sparkSession)
-    return prints.mapInArrow(_file, "key int, fp long").repartition(n, "key").mapInArrow(_link(reach), "a long, b long").distinct()
+    return prints.mapInArrow(tidy(_file), "key int, fp long").repartition(n, "key").mapInArrow(tidy(_link(reach)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
             prints = fingerprints(batch.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _groups(prints: DataFrame, reach: int) -> DataFrame:
@@ -406,7 +406,7 @@ def copy_links(rows: DataFrame, likeness: float = COPY_LIKENESS) -> DataFrame:
     most = int(COPY_BITS * (1 - (likeness - COPY_SLACK)) / 2)
     distinct = rows.where("sketch is not null").select("fp", "sketch").distinct()
     n = shuffle_partitions(rows.sparkSession)
-    return distinct.mapInArrow(_file_sketches, "key int, fp long, sketch binary").repartition(n, "key").mapInArrow(_link_sketches(most), "a long, b long").distinct()
+    return distinct.mapInArrow(tidy(_file_sketches), "key int, fp long, sketch binary").repartition(n, "key").mapInArrow(tidy(_link_sketches(most)), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH, likeness: float = COPY_LIKENESS) -> DataFrame:
@@ -420,7 +420,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = R
     text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     k1, k2 = F.xxhash64(own, text), F.hash(text, own)
     plain = docs.select(own.alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
-    prints = staged(plain.mapInArrow(_print_and_sketch(shingle), "doc_id long, k1 long, k2 int, fp long, sketch binary"), "documents")
+    prints = staged(plain.mapInArrow(tidy(_print_and_sketch(shingle)), "doc_id long, k1 long, k2 int, fp long, sketch binary"), "documents")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first"))
     found = components(links(nodes.select("fp"), reach).union(copy_links(prints, likeness)).distinct())
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")

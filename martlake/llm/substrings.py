@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlake.llm.chunked import Words, spread
-from martlake.llm.common import bounded_batches, shuffle_partitions
+from martlake.llm.common import bounded_batches, shuffle_partitions, tidy
 
 #: Words of a window.
 WINDOW = 35
@@ -351,10 +351,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     keyed = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
 
-    blocks = keyed.mapInArrow(_probe(window, labels), _ENTRIES).repartition(r, "dest").mapInArrow(_answers("<u4"), _PLACES)
+    blocks = keyed.mapInArrow(tidy(_probe(window, labels)), _ENTRIES).repartition(r, "dest").mapInArrow(tidy(_answers("<u4")), _PLACES)
     met = blocks.groupBy("k1", "k2").agg(F.collect_set("at").alias("met"))
     anchored = keyed.join(met.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "met")  # with doc_id: both joins then read one exchange
-    windows = anchored.mapInArrow(_extend(window, labels), _ENTRIES).repartition(r, "dest").mapInArrow(_answers("<u8"), _PLACES)
+    windows = anchored.mapInArrow(tidy(_extend(window, labels)), _ENTRIES).repartition(r, "dest").mapInArrow(tidy(_answers("<u8")), _PLACES)
     runs = windows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     found = keyed.join(runs.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "runs")
-    return found.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, text string")
+    return found.mapInArrow(tidy(_remove(window)), "doc_id long, n_words long, n_removed long, text string")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from martlake.llm import chunked
-from martlake.llm.common import bounded_batches, documents_of, map_batches, shuffle_partitions, texts
+from martlake.llm.common import bounded_batches, documents_of, map_batches, shuffle_partitions, texts, tidy
 
 BLOCK_IDS = 1 << 16
 BLOCKS = (
@@ -124,7 +124,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
     bounded_batches(docs.sparkSession)
     width = 16 if max(chunked.load(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 32
     parts = documents_of(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    parts.mapInArrow(_writer(tokenizer_path, width, end_id, block_ids, bits), BLOCKS).write.parquet(path)
+    parts.mapInArrow(tidy(_writer(tokenizer_path, width, end_id, block_ids, bits)), BLOCKS).write.parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
