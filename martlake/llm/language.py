@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlake.llm.common import bounded_batches
+from martlake.llm.common import bounded_batches, tidy
 
 #: Rows with text, for each language, that the n-gram counts are fitted on: all if there are fewer, else about so many
 #: chosen by a hash of the id. It bounds the fit, not what is predicted.
 TRAIN_DOCS = 4000
-#: Slots of the hashed n-gram table, and the longest n-gram.
-SLOTS, ORDERS = 1 << 18, 4
+#: Languages that are learnt at most: those with most documents (ties: in order of name).
+LANGUAGES = 256
+#: Bits of a slot's number in the hashed n-gram table while there are 16 languages or fewer (with more, so many fewer
+#: that the table's size stays), and the longest n-gram.
+SLOT_BITS, ORDERS = 18, 4
 #: Log-likelihood that a switch of language costs.
 SWITCH = 12.0
 #: What a language that doesn't use a word's script loses against the others, for each of the word's n-grams.
@@ -67,7 +70,11 @@ def words_of(text: str | None) -> list[str]:
     return words if any(map(str.isalpha, words)) else []
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slot_bits(languages: int) -> int:
+    return SLOT_BITS - max(0, (languages - 1).bit_length() - 4)
+
+
+def _grams(words: list[str], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the n-grams of all words, the first slot of each word, and the script of each word's first letter."""
     codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     border = codes == 32
@@ -81,7 +88,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = inner[at + k] - border[at + k] == inner[at]
         if k == 0:
             ok &= ~border
-        slots.append((code[ok] >> np.uint64(64 - 18)).astype(np.int64))
+        slots.append((code[ok] >> np.uint64(64 - bits)).astype(np.int64))
         words_at.append(first[ok])
     slots, words_at = np.concatenate(slots), np.concatenate(words_at)
     order = np.argsort(words_at, kind="stable")
@@ -94,7 +101,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     """Scores [word, language]; a script that no language uses says nothing."""
     if not words:
         return np.zeros((0, len(model.languages)), np.float32)
-    slots, starts, script = _grams(words)
+    slots, starts, script = _grams(words, slot_bits(len(model.languages)))
     out = np.add.reduceat(model.scores[slots], starts, axis=0)
     uses = model.scripts[script]
     known = uses.any(1)
@@ -139,7 +146,7 @@ def viterbi(scores: np.ndarray, sizes: list[int], switch: float = SWITCH) -> np.
 
 
 #: Characters of texts that are worked on at a time.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 22
 
 Found = tuple[str, float, list[tuple[str, int, int]]]
 
@@ -191,16 +198,16 @@ def held_out(doc_id="doc_id"):
 
 
 def _count(languages: list[str]):
-    place = {x: k for k, x in enumerate(languages)}
+    place, bits = {x: k for k, x in enumerate(languages)}, slot_bits(len(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = {}, np.zeros((len(languages), len(_NAMES)), np.int64)
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if words := words_of(text):
-                    slots, _, script = _grams(words)
+                    slots, _, script = _grams(words, bits)
                     k = place[lang]
-                    grams.setdefault(k, np.zeros(SLOTS, np.int64))
+                    grams.setdefault(k, np.zeros(1 << bits, np.int64))
                     np.add.at(grams[k], slots, 1)
                     scripts[k] += np.bincount(script, minlength=len(_NAMES))
         for k, x in grams.items():
@@ -217,18 +224,18 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
+        return Model([], np.zeros((1 << SLOT_BITS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
     keep = F.lit(False)
     for x in languages:
         keep = keep | ((F.col("lang") == x) & (draw < int(min(1.0, train_docs / sizes[x]) * (1 << 20))))
-    counts = rows.where(keep).select("text", "lang").mapInArrow(_count(languages), "k int, slot int, n long")
+    counts = rows.where(keep).select("text", "lang").mapInArrow(tidy(_count(languages)), "k int, slot int, n long")
     counts = counts.groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most the table's size
     k, slot, n = (counts.column(x).to_numpy() for x in ("k", "slot", "n"))
-    grams, scripts = np.zeros((SLOTS, len(languages))), np.zeros((len(_NAMES), len(languages)))
+    grams, scripts = np.zeros((1 << slot_bits(len(languages)), len(languages))), np.zeros((len(_NAMES), len(languages)))
     grams[slot[slot >= 0], k[slot >= 0]] = n[slot >= 0]
     scripts[-1 - slot[slot < 0], k[slot < 0]] = n[slot < 0]
     smooth = grams + 0.5
@@ -249,7 +256,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     empty result.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS scores for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its table has a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())]))
@@ -259,7 +266,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {_SPANS}")
+    return plain.mapInArrow(tidy(run), f"doc_id long, lang_pred string, score double, spans {_SPANS}")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -272,4 +279,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFr
             found = identify_texts(shared.value, batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -72,3 +72,12 @@ def test_empty(spark):
     model = l.train(docs)
     assert [tuple(r) for r in l.identify(docs, model).collect()] == [(1, "und", 0.0, [])]
     assert l.identify(docs.limit(0), model).count() == 0
+
+
+def test_many_languages(spark, monkeypatch):
+    rows, _ = corpus()
+    docs = spark.createDataFrame([(i, t, f"{k}{i % 9}") for i, t, k in rows], "doc_id long, text string, lang string")
+    model = l.train(docs)
+    assert len(model.languages) == 27 and model.scores.shape == (1 << 17, 27)
+    monkeypatch.setattr(l, "LANGUAGES", 2)
+    assert len(l.train(docs).languages) == 2 and l.identify(docs, l.train(docs)).count() == len(rows)
