@@ -35,10 +35,12 @@ def with_entries(df: DataFrame, text: str, name: str, shingle: int = SHINGLE) ->
     kmers = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(at(i).alias("k"), i.alias("p")))
     df = df.withColumn(c("s"), F.when(n > 0, F.sort_array(kmers)).otherwise(F.array().cast("array<struct<k:bigint,p:int>>")))
     size = F.size(col("s"))
+    # most texts repeat no k-mer: then all numbers are zero, and the runs of equal ones needn't be found
+    df = df.withColumn(c("d"), F.size(F.array_distinct(col("s")["k"])) < size)
     starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(col("s"), i)["k"] != F.get(col("s"), i - 1)["k"]))
-    df = df.withColumn(c("r"), F.when(size > 0, F.array_append(starts, size)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(c("r"), F.when(col("d"), F.array_append(starts, size)))
     runs = F.transform(F.sequence(F.lit(0), F.size(col("r")) - 2), lambda j: F.sequence(F.lit(0), F.get(col("r"), j + 1) - F.get(col("r"), j) - 1))
-    df = df.withColumn(c("o"), F.when(size > 0, F.flatten(runs)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(c("o"), F.when(col("d"), F.flatten(runs)).otherwise(F.array_repeat(F.lit(0), size)))
 
     def numbered(s: Column, o: Column) -> Column:
         g = F.xxhash64(s["k"], o)
@@ -54,7 +56,7 @@ def with_entries(df: DataFrame, text: str, name: str, shingle: int = SHINGLE) ->
         return F.when((i == 0) | (F.get(col("t"), i - 1)["b"] != x["b"]), F.shiftleft(x["b"], 18) + F.shiftrightunsigned(ordered, 46).cast("int"))
 
     df = df.withColumn(name, F.array_compact(F.transform(col("t"), signature)))
-    return df.drop(*map(c, "wsroet"))
+    return df.drop(*map(c, "wsdroet"))
 
 
 def as_string(entries: Column) -> Column:
