@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -63,7 +65,11 @@ def _drop_staged() -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker is handed at once, in rows and bytes."""
+    """Bound what a Python worker is handed at once, in rows and bytes, and let workers on this machine import the
+    package from where the driver has it (on other machines it's installed or shipped)."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH")]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
