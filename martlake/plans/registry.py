@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from martlake.functions import cleaning
 from martlake.operators import churn, history, marts, quality
-from martlake.operators.upsert import latest, replace_where, retract, update_where, upsert
+from martlake.operators.upsert import replace_where, retract, update_where, upsert
 from martlake.plans import adapters as a
 from martlake.plans import reports
 from martlake.plans.oracles import with_views
