@@ -27,6 +27,8 @@ SHAPES = {
     "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?<ds>[./])[0-9]{2}\k<ds>[0-9]{4})(?![0-9\-/])",
     "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "foreign_phone": r"(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{2,5}){2,4}(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?<cs>[ -])[0-9]{4}\k<cs>[0-9]{4}\k<cs>[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
 }
 PATTERN = "|".join(f"(?:{x})" for x in SHAPES.values())
@@ -90,14 +92,59 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _permuted_digits(d: Column, shape: str, key: str, inverse: bool) -> Column:
+    """Up to 18 digits, moved among all numbers of as many digits."""
+    n = F.length(d)
+    low = F.floor(n / 2).cast("int")
+    size_b = _long(F.pow(F.lit(10), low))
+    size_a = _long(F.pow(F.lit(10), n - low))
+    moved = permute(_long(d.substr(F.lit(1), n - low)), _long(d.substr(n - low + 1, low)), size_a, size_b, F.concat(F.lit(shape), n.cast("string")), key, inverse)
+    return _with(moved, lambda p: F.concat(_padded(p["a"], n - low), _padded(p["b"], low)))
+
+
+def _foreign_phone(m: Column, key: str, inverse: bool) -> Column:
+    """Eight to fifteen digits; the first two, with the country's code, stay."""
+
+    def of(d: Column) -> Column:
+        moved = F.concat(F.substring(d, 1, 2), _permuted_digits(F.substring(d, 3, 13), "phone", key, inverse))
+        return F.when((F.length(d) >= 8) & (F.length(d) <= 15), fill(m, moved)).otherwise(m)
+
+    return _with(_digits(m), of)
+
+
+def _mod97(x: Column) -> Column:
+    """Of an account number in its check's order, with letters as numbers from 10 on."""
+
+    def step(r: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (r * 100 + code - 55) % 97).otherwise((r * 10 + code - 48) % 97)
+
+    return F.aggregate(F.split(x, ""), F.lit(0), lambda r, c: step(r, c).cast("int"))
+
+
+def _iban(m: Column, key: str, inverse: bool) -> Column:
+    """The last digits of the account (18 at most) are moved and the check digits follow; country and letters stay."""
+
+    def of(x: Column) -> Column:
+        account = F.substring(x, 5, 30)
+        digits = _digits(account)
+        kept = F.greatest(F.length(digits) - 18, F.lit(0))
+        moved = F.concat(digits.substr(F.lit(1), kept), _permuted_digits(digits.substr(kept + 1, F.lit(18)), "iban", key, inverse))
+
+        def checked(new: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(new, F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+            return fill(m, F.concat(check, _digits(new)))
+
+        valid = (F.length(x) >= 15) & (F.length(x) <= 34) & (F.length(digits) >= 4) & (_mod97(F.concat(account, F.substring(x, 1, 4))) == 1)
+        return F.when(valid, _with(fill(account, moved), checked)).otherwise(m)
+
+    return _with(F.regexp_replace(m, " ", ""), of)
+
+
 def _card(m: Column, key: str, inverse: bool) -> Column:
     def of(d: Column) -> Column:
         n = F.length(d) - 1  # without the check digit
-        low = F.floor(n / 2).cast("int")
-        size_b = _long(F.pow(F.lit(10), low))
-        size_a = _long(F.pow(F.lit(10), n - low))
-        moved = permute(_long(d.substr(F.lit(1), n - low)), _long(d.substr(n - low + 1, low)), size_a, size_b, F.concat(F.lit("card"), n.cast("string")), key, inverse)
-        whole = _with(moved, lambda p: F.concat(_padded(p["a"], n - low), _padded(p["b"], low)))
+        whole = _permuted_digits(d.substr(F.lit(1), n), "card", key, inverse)
         return _with(whole, lambda w: F.concat(w, F.filter(F.array(*(F.lit(str(k)) for k in range(10))), lambda c: _luhn(F.concat(w, c)))[0]))
 
     return _with(_digits(m), lambda d: F.when(_luhn(d), fill(m, of(d))).otherwise(m))
@@ -185,7 +232,7 @@ def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
     """The pseudonym of a value of one of the shapes; the value itself if it isn't valid. The inverse undoes numbers and
     dates; mail and secrets stay as they are then."""
     out = F.when(_is(value, "email"), value if inverse else _email(value, key)).when(_is(value, "secret"), value if inverse else _secret(value, key))
-    for shape, move in (("ip", _ip), ("date", _date), ("phone", _phone), ("ssn", _ssn), ("card", _card)):
+    for shape, move in (("ip", _ip), ("date", _date), ("phone", _phone), ("ssn", _ssn), ("foreign_phone", _foreign_phone), ("iban", _iban), ("card", _card)):
         out = out.when(_is(value, shape), move(value, key, inverse))
     return out.otherwise(value)
 

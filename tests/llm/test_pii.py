@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from martlake.llm import pii
 
 KEY = "k"
-VALUES = ["4223782374973051", "4223 7823 7497 3051", "4223-7823-7497-3051", "+1 (464) 555-9887", "464-555-9887", "(999) 999-9999", "123-45-6789", "899-99-9999", "001-01-0001", "14.207.121.153", "0.0.0.0", "255.255.255.255", "2024-02-29", "31/12/1999", "01.01.1800", "2199-12-31", "378282246310005"]
-INVALID = ["4223782374973052", "666-45-6789", "000-45-6789", "14.207.121.256", "14.07.1.1", "2023-02-29", "31/02/1999", "1799-12-31", "1.2.3", "12345", "+1 (164) 555-9887", "plain", "", "a@b", "3.14"]
+VALUES = ["4223782374973051", "4223 7823 7497 3051", "4223-7823-7497-3051", "+1 (464) 555-9887", "464-555-9887", "(999) 999-9999", "123-45-6789", "899-99-9999", "001-01-0001", "14.207.121.153", "0.0.0.0", "255.255.255.255", "2024-02-29", "31/12/1999", "01.01.1800", "2199-12-31", "378282246310005", "+44 20 7946 0958", "+49 (30) 901820", "+5215512345678", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606"]
+INVALID = ["4223782374973052", "666-45-6789", "000-45-6789", "14.207.121.256", "14.07.1.1", "2023-02-29", "31/02/1999", "1799-12-31", "1.2.3", "12345", "+1 (164) 555-9887", "plain", "", "a@b", "3.14", "DE89370400440532013001", "+44 20", "AB12 CDEF GHIJ"]
 
 
 def permute(a, b, size_a, size_b, tweak):
@@ -30,6 +30,12 @@ def fill(template, digits):
     return "".join(next(it) if c.isdigit() else c for c in template)
 
 
+def digits_moved(d, shape):
+    n, low = len(d), len(d) // 2
+    a, b = permute(int(d[: n - low]), int(d[n - low :]), 10 ** (n - low), 10**low, f"{shape}{n}")
+    return f"{a:0{n - low}}{b:0{low}}"
+
+
 def luhn(d):
     return sum((int(c) * (1 + k % 2) - 9 * (k % 2 and int(c) > 4)) for k, c in enumerate(reversed(d))) % 10 == 0
 
@@ -46,6 +52,15 @@ def brute(v):
         a, b = permute(n // 773, n % 773, 189, 773, "date")
         t = (datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)).strftime("%Y%m%d")
         return fill(v, t if "-" in v else t[6:] + t[4:6] + t[:4])
+    if v[:2].isalpha():
+        x = v.replace(" ", "")
+        own = re.sub("[^0-9]", "", x[4:])
+        kept = max(len(own) - 18, 0)
+        account = fill(x[4:], own[:kept] + digits_moved(own[kept:], "iban"))
+        check = 98 - int("".join(str(int(c, 36)) for c in account + x[:2] + "00")) % 97
+        return fill(v, f"{check:02}" + re.sub("[^0-9]", "", account))
+    if v[0] == "+" and v[1] != "1":
+        return fill(v, d[:2] + digits_moved(d[2:], "phone"))
     if len(d) in (10, 11):
         x = ((int(d[-10:-7]) - 200) * 800 + int(d[-7:-4]) - 200) * 10000 + int(d[-4:])
         a, b = permute(x // 80000, x % 80000, 80000, 80000, "phone")
@@ -56,10 +71,7 @@ def brute(v):
         a, b = permute((area - 1 - (area > 666)) * 99 + int(d[3:5]) - 1, int(d[5:]) - 1, 898 * 99, 9999, "ssn")
         k = a // 99
         return fill(v, f"{k + 2 if k >= 665 else k + 1:03}{a % 99 + 1:02}{b + 1:04}")
-    n = len(d) - 1
-    low = n // 2
-    a, b = permute(int(d[: n - low]), int(d[n - low : n]), 10 ** (n - low), 10**low, f"card{n}")
-    w = f"{a:0{n - low}}{b:0{low}}"
+    w = digits_moved(d[:-1], "card")
     return fill(v, next(w + str(c) for c in range(10) if luhn(w + str(c))))
 
 
@@ -90,7 +102,8 @@ def test_texts(spark):
     words = ["the", "é", "end.", "3.", "2.0.", "x\n", "tökên", "v1"]
     texts, want, counts = [], [], []
     for _ in range(60):
-        parts = [random.choice(VALUES + INVALID[:8] + words * 3) for _ in range(random.randint(0, 30))]
+        # a foreign phone number may take a number after it for its next group, so these stand in test_values alone
+        parts = [random.choice([v for v in VALUES if not re.match(r"\+[2-9]", v)] + INVALID[:8] + words * 3) for _ in range(random.randint(0, 30))]
         gap = random.choice([" ", "\n", ", "])
         texts.append(gap.join(parts))
         want.append(gap.join(brute(x) if x in VALUES else x for x in parts))
