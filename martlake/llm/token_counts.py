@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlake.llm import chunked
-from martlake.llm.common import documents_of, map_batches, stage_path, texts
+from martlake.llm.common import documents_of, map_batches, stage_path, staged, texts
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -64,5 +64,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
     sized = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # written first, so that the join stands on plain exchanges and a digest that many rows share can be split
+    return sized.join(staged(stored(), "counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
