@@ -27,6 +27,8 @@ from martlake.llm.common import bounded_batches, shuffle_partitions, tidy
 
 #: Words of a window.
 WINDOW = 35
+#: Documents whose words are worked on at a time; what bounds a worker's memory besides a batch's bytes.
+PART_DOCS = 500
 
 _BYTE = np.random.default_rng(35).integers(1, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
 _INNER, _OUTER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -209,6 +211,12 @@ def _runs(hit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner[start], start - first[owner[start]], size
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, PART_DOCS):
+            yield batch.slice(k, PART_DOCS)
+
+
 # The two rounds ------------------------------------------------------------------------------------------------------
 
 
@@ -221,7 +229,7 @@ def _probe(window: int, labels: np.ndarray):
     block, r = (window + 1) // 2, len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             words, bounds = word_hashes(batch.column("text"))
             sizes = np.diff(bounds)
             long = np.flatnonzero(sizes >= window)
@@ -264,7 +272,7 @@ def _extend(window: int, labels: np.ndarray):
     block, r = (window + 1) // 2, len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             words, bounds = word_hashes(batch.column("text"))
             sizes = np.diff(bounds)
             met = batch.column("met")

@@ -38,7 +38,7 @@ def texts_of(seed, window):
 
 @pytest.mark.parametrize("seed,window,rows", [(1, 35, 4000), (2, 7, 4000), (3, 8, 5), (4, 35, 3), (5, 2, 7)])
 def test_remove_repeats(spark, monkeypatch, seed, window, rows):
-    monkeypatch.setattr("martlake.llm.common.ARROW_ROWS", rows)
+    monkeypatch.setattr("martlake.llm.substrings.PART_DOCS", rows)
     texts = texts_of(seed, window)
     ids = [None if k % 11 == 10 else k // 2 for k in range(len(texts))]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in zip(ids, texts)], "doc_id long, text string, k1 int, runs string")
