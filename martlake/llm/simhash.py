@@ -8,9 +8,9 @@ fingerprint files itself, for each pair of segments, under (nearest of one, near
 two fingerprints in reach share such a key. Keys only nominate; the Hamming distance decides.
 
 Texts that share eight tenths of their five-word shingles differ in about ten of 64 sign bits, beyond that reach. So
-where documents are dropped, near copies of that likeness are linked as well, by the same keys over other bits: one-bit
-minwise hashes of the set of words (a pair of such texts differs in two of 100 bits), verified by 256 one-bit minwise
-hashes of the five-word shingles.
+where documents are dropped, near copies of that likeness are linked as well: 20 tables, keyed by four minwise hashes of
+the five-word shingles each, nominate them (a pair of likeness 0.8 misses all tables in 3 of 100 000 cases, wherever the
+texts differ), verified by 256 one-bit minwise hashes of the same shingles.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from martlake.llm.chunked import spread
 from martlake.llm.common import bounded_batches, shuffle_partitions, staged, tidy
-from martlake.llm.substrings import run_hashes, word_hashes
+from martlake.llm.substrings import _OUTER, _mixed, run_hashes, word_hashes
 
 #: Words of a shingle, and the differing bits that still link.
 SHINGLE, REACH = 3, 3
@@ -35,6 +35,8 @@ SHINGLE, REACH = 3, 3
 GENERATOR = 0b110001110101
 #: Five-word shingles, the likeness that links near copies, what its estimate may lack, and the estimate's bits.
 COPY_SHINGLE, COPY_LIKENESS, COPY_SLACK, COPY_BITS = 5, 0.8, 0.04, 256
+#: Tables that nominate near copies, and the minwise hashes of a key: 1 - (1 - 0.8^4)^20 of pairs of 0.8 share a key.
+COPY_TABLES, COPY_ROWS = 20, 4
 #: (lowest bit, bits) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size compare all their pairs at once; larger ones grow components from member to member.
@@ -289,42 +291,52 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH)
 # Near copies ---------------------------------------------------------------------------------------------------------
 
 
-def _one_bit(values: np.ndarray, starts: np.ndarray, seed: int, n: int) -> np.ndarray:
-    """``n`` one-bit minwise hashes of sets of 32-bit values, one set after the other: [set, n]."""
+def _minwise(values: np.ndarray, starts: np.ndarray, seed: int, n: int, bits: int) -> np.ndarray:
+    """``n`` minwise hashes of ``bits`` bits of sets of 32-bit values, one set after the other: [set, n]."""
     factors = np.random.default_rng(seed).integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    out = np.empty((len(starts), n), np.uint8)
+    out = np.empty((len(starts), n), np.uint8 if bits <= 8 else np.uint32)
     for k, a in enumerate(factors):
         least = np.minimum.reduceat(values * a, starts)
         least ^= least >> np.uint32(15)
-        out[:, k] = (least * np.uint32(0x2C1B3C6D)) >> np.uint32(31)
+        out[:, k] = (least * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
     return out
 
 
-def copy_sketches(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of texts with words: their places, three segments of 23 bits over their sets of words, and the sketches (four
-    64-bit integers each) of their five-word shingles (a text of fewer words is one shingle)."""
+def copy_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with words: their places, the 64-bit hashes of their five-word shingles (repeats included; a text of
+    fewer words is one shingle), one text after the other, and where each begins."""
     words, bounds = word_hashes(pc.ascii_lower(texts))
     sizes = np.diff(bounds)
     place = np.flatnonzero(sizes)
-    if not len(place):
-        return place, [np.zeros(0, np.int64)] * 3, np.zeros((0, COPY_BITS // 64), np.uint64)
-    doc = np.repeat(np.arange(len(place)), sizes[place])
-    order = np.lexsort((words, doc))
-    d, w = doc[order], words[order]
-    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
-    d, w = d[fresh], w[fresh]
-    bits = _one_bit((w >> np.uint64(32)).astype(np.uint32), np.searchsorted(d, np.arange(len(place))), 23, 69)
-    segments = [bits[:, 23 * k : 23 * k + 23].astype(np.int64) @ (1 << np.arange(23)) for k in range(3)]
     n = np.maximum(sizes[place] - COPY_SHINGLE + 1, 1)
-    starts = spread(bounds[place], n)
-    padded = np.concatenate([words, np.zeros(COPY_SHINGLE, np.uint64)])
-    shingles = run_hashes(padded, COPY_SHINGLE, 2)[starts]
     first = np.cumsum(n) - n
+    padded = np.concatenate([words, np.zeros(COPY_SHINGLE, np.uint64)])
+    shingles = run_hashes(padded, COPY_SHINGLE, 2)[spread(bounds[place], n)]
     for k in np.flatnonzero(sizes[place] < COPY_SHINGLE).tolist():  # only the text's own words
         own = np.concatenate([words[bounds[place[k]] : bounds[place[k] + 1]], np.zeros(COPY_SHINGLE, np.uint64)])
         shingles[first[k]] = run_hashes(own[:COPY_SHINGLE], COPY_SHINGLE, 2)[0]
-    sketch = np.packbits(_one_bit((shingles >> np.uint64(32)).astype(np.uint32), first, 5, COPY_BITS), axis=1)
-    return place, segments, np.ascontiguousarray(sketch).view(np.uint64)
+    return place, shingles, first
+
+
+def copy_sketches(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of texts with words: their places, and of their five-word shingles (a text of fewer words is one shingle) the
+    minwise hashes of 23 bits that make the keys, and the sketches (four 64-bit integers each)."""
+    place, shingles, first = copy_shingles(texts)
+    if not len(place):
+        return place, [np.zeros(0, np.int64)] * (COPY_TABLES * COPY_ROWS), np.zeros((0, COPY_BITS // 64), np.uint64)
+    values = (shingles >> np.uint64(32)).astype(np.uint32)
+    hashes = _minwise(values, first, 23, COPY_TABLES * COPY_ROWS, 23)
+    sketch = np.packbits(_minwise(values, first, 5, COPY_BITS, 1), axis=1)
+    return place, list(hashes.T.astype(np.int64)), np.ascontiguousarray(sketch).view(np.uint64)
+
+
+def copy_keys(hashes: list[np.ndarray]) -> np.ndarray:
+    """The key of each table from the minwise hashes of its own: [text, table]."""
+    rows = np.stack(hashes, 1).astype(np.uint64).reshape(-1, COPY_TABLES, COPY_ROWS)
+    keys = np.broadcast_to(np.arange(COPY_TABLES, dtype=np.uint64), rows.shape[:2])
+    for k in range(COPY_ROWS):
+        keys = _mixed(keys * np.uint64(_OUTER) + rows[:, :, k])
+    return keys
 
 
 def _far(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -369,10 +381,10 @@ def _print_and_sketch(shingle: int):
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             prints = fingerprints(texts.to_pylist(), shingle)
-            place, segments, sketches = copy_sketches(texts)
+            place, hashes, sketches = copy_sketches(texts)
             words = np.zeros(batch.num_rows, object)
             words[:] = None
-            for k, row in zip(place.tolist(), np.concatenate([np.stack(segments, 1).astype(np.uint64), sketches], axis=1)):
+            for k, row in zip(place.tolist(), np.concatenate([copy_keys(hashes), sketches], axis=1)):
                 words[k] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(prints.view(np.int64)), pa.array(words.tolist(), pa.binary())], ["doc_id", "k1", "k2", "fp", "sketch"])
 
@@ -382,9 +394,10 @@ def _print_and_sketch(shingle: int):
 def _file_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        row, keys = segment_keys([rows[:, k].astype(np.int64) for k in range(3)])
-        sketch = pa.array([x.tobytes() for x in rows[:, 3:]], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), batch.column("fp").take(pa.array(row)), sketch.take(pa.array(row))], ["key", "fp", "sketch"])
+        row = np.repeat(np.arange(len(rows)), COPY_TABLES)
+        keys = np.ascontiguousarray(rows[:, :COPY_TABLES]).view(np.int64).ravel()
+        sketch = pa.array([x.tobytes() for x in rows[:, COPY_TABLES:]], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("fp").take(pa.array(row)), sketch.take(pa.array(row))], ["key", "fp", "sketch"])
 
 
 def _link_sketches(most: int):
@@ -406,7 +419,7 @@ def copy_links(rows: DataFrame, likeness: float = COPY_LIKENESS) -> DataFrame:
     most = int(COPY_BITS * (1 - (likeness - COPY_SLACK)) / 2)
     distinct = rows.where("sketch is not null").select("fp", "sketch").distinct()
     n = shuffle_partitions(rows.sparkSession)
-    return distinct.mapInArrow(tidy(_file_sketches), "key int, fp long, sketch binary").repartition(n, "key").mapInArrow(tidy(_link_sketches(most)), "a long, b long").distinct()
+    return distinct.mapInArrow(tidy(_file_sketches), "key long, fp long, sketch binary").repartition(n, "key").mapInArrow(tidy(_link_sketches(most)), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH, likeness: float = COPY_LIKENESS) -> DataFrame:

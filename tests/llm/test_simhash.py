@@ -154,6 +154,32 @@ def test_sketches_estimate_likeness():
     assert np.mean(errors) < 0.06 and int(s._far(sketches[at[len(texts) - 6]], sketches[at[len(texts) - 5]])) == 0
 
 
+def passages(seed, pairs, low=0.8, high=0.84):
+    """Pairs of texts of 60 to 600 words, likeness from ``low`` to ``high``: by turns a passage appended, one put in and
+    one replaced by as many words."""
+    random.seed(seed)
+    word = lambda: "".join(random.choices(["th", "er", "on", "an", "re", "he", "in", "ed"], k=random.randint(2, 5)))
+    out = []
+    while len(out) < pairs:
+        base = [word() for _ in range(random.randint(60, 600))]
+        n = len(base)
+        put, gone = ((n // 4, 0), (n // 4, 0), (n // 9, n // 9))[len(out) % 3]
+        at = n if len(out) % 3 == 0 else random.randint(5, n - gone - 5)
+        for cut in range(put):  # the longest passage that leaves the likeness asked for
+            own = base[:at] + [word() for _ in range(put - cut)] + base[at + max(gone - cut, 0) :]
+            if likeness(" ".join(base), " ".join(own)) >= low:
+                break
+        if low <= likeness(" ".join(base), " ".join(own)) <= high:
+            out.append((" ".join(base), " ".join(own)))
+    return out
+
+
+def test_keys_nominate_passages():
+    pairs = passages(6, 450)
+    keys = [s.copy_keys(s.copy_sketches(pa.array([p[k] for p in pairs]))[1]) for k in (0, 1)]
+    assert (keys[0] == keys[1]).any(1).all()
+
+
 @pytest.mark.parametrize("small", [1, 16])
 def test_drop_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(s, "SMALL", small)
