@@ -10,7 +10,8 @@ two fingerprints in reach share such a key. Keys only nominate; the Hamming dist
 Texts that share eight tenths of their five-word shingles differ in about ten of 64 sign bits, beyond that reach. So
 where documents are dropped, near copies of that likeness are linked as well: 20 tables, keyed by four minwise hashes of
 the five-word shingles each, nominate them (a pair of likeness 0.8 misses all tables in 3 of 100 000 cases, wherever the
-texts differ), verified by 256 one-bit minwise hashes of the same shingles.
+texts differ). Sketches of 256 one-bit minwise hashes drop nominations that are far off; what they leave is grouped, and within
+the groups the sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from martlake.llm.substrings import _OUTER, _mixed, run_hashes, word_hashes
 SHINGLE, REACH = 3, 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Five-word shingles, the likeness that links near copies, what its estimate may lack, and the estimate's bits.
-COPY_SHINGLE, COPY_LIKENESS, COPY_SLACK, COPY_BITS = 5, 0.8, 0.04, 256
+#: Five-word shingles, the likeness that links near copies, the sketch's bits, and how many more than expected may differ
+#: (25 on top of 25: five standard deviations).
+COPY_SHINGLE, COPY_LIKENESS, COPY_BITS, COPY_SPARE = 5, 0.8, 256, 25
 #: Tables that nominate near copies, and the minwise hashes of a key: 1 - (1 - 0.8^4)^20 of pairs of 0.8 share a key.
 COPY_TABLES, COPY_ROWS = 20, 4
 #: (lowest bit, bits) of the segments.
@@ -381,12 +383,15 @@ def _print_and_sketch(shingle: int):
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             prints = fingerprints(texts.to_pylist(), shingle)
-            place, hashes, sketches = copy_sketches(texts)
+            place, shingles, first = copy_shingles(texts)
+            digests = np.zeros(batch.num_rows, np.uint64)  # equal of texts with the same shingles
+            digests[place] = np.add.reduceat(_mixed(shingles), first) if len(place) else 0
+            _, hashes, sketches = copy_sketches(texts)
             words = np.zeros(batch.num_rows, object)
             words[:] = None
             for k, row in zip(place.tolist(), np.concatenate([copy_keys(hashes), sketches], axis=1)):
                 words[k] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(prints.view(np.int64)), pa.array(words.tolist(), pa.binary())], ["doc_id", "k1", "k2", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(prints.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(words.tolist(), pa.binary())], ["doc_id", "k1", "k2", "fp", "digest", "sketch"])
 
     return run
 
@@ -414,28 +419,100 @@ def _link_sketches(most: int):
     return run
 
 
-def copy_links(rows: DataFrame, likeness: float = COPY_LIKENESS) -> DataFrame:
-    """Links (a, b) between the fingerprints of near copies, of rows (fp, sketch)."""
-    most = int(COPY_BITS * (1 - (likeness - COPY_SLACK)) / 2)
+def exact_links(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], most: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect all nodes whose sets (sorted, without repeats) are alike by ``likeness`` or more. Pairs whose
+    sketches differ in more than ``most`` bits aren't compared."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    left, a, b = np.arange(len(sets)), [], []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            own, near = sets[at], np.zeros(len(left), bool)
+            maybe = np.flatnonzero(_far(sketches[left], sketches[at]) <= most)
+            for k in range(0, len(maybe), 1000):
+                other = left[maybe[k : k + 1000]]
+                values = np.concatenate([sets[x] for x in other.tolist()])
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                shared = np.add.reduceat(hit, np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
+                near[maybe[k : k + 1000]] = shared >= likeness * (len(own) + sizes[other] - shared) - 1e-9
+            found, left = left[near], left[~near]
+            a.append(np.full(len(found), nodes[at]))
+            b.append(nodes[found])
+            front.extend(found.tolist())
+    if not a:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return _forest(np.concatenate(a), np.concatenate(b))
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place, shingles, first = copy_shingles(batch.column("text"))
+        sets = [np.unique(x).tobytes() for x in np.split(shingles, first[1:])] if len(place) else []
+        kept = batch.take(pa.array(place))
+        yield pa.RecordBatch.from_arrays([kept.column("root"), kept.column("fp"), kept.column("sketch"), pa.array(sets, pa.binary())], ["root", "fp", "sketch", "shingles"])
+
+
+def _verify(most: int, likeness: float):
+    """Exact links of groups that come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            nodes = np.array([r[1] for r in group], np.int64).view(np.uint64)
+            sketches = np.frombuffer(b"".join(r[2] for r in group), np.uint64).reshape(len(group), -1)
+            return exact_links(nodes, sketches, [np.frombuffer(r[3], np.uint64) for r in group], most, likeness)
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][0] != row[0]:
+                    out.append(settled())
+                    group.clear()
+                group.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out, strict=True)], ["a", "b"])
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in settled()], ["a", "b"])
+
+    return run
+
+
+def copy_links(docs: DataFrame, rows: DataFrame, likeness: float = COPY_LIKENESS) -> DataFrame:
+    """Links (a, b) between the fingerprints of near copies, of ``docs`` (k1, k2, text) and their ``rows`` (k1, k2, fp,
+    digest, sketch).
+
+    Nominations whose sketches aren't far off are joined to groups; the sets of shingles of a group's distinct members
+    then meet in one task, and only pairs that share ``likeness`` or more of them are linked.
+    """
+    most = int(COPY_BITS * (1 - likeness) / 2) + COPY_SPARE
     distinct = rows.where("sketch is not null").select("fp", "sketch").distinct()
     n = shuffle_partitions(rows.sparkSession)
-    return distinct.mapInArrow(tidy(_file_sketches), "key long, fp long, sketch binary").repartition(n, "key").mapInArrow(tidy(_link_sketches(most)), "a long, b long").distinct()
+    filed = distinct.mapInArrow(tidy(_file_sketches), "key long, fp long, sketch binary").repartition(n, "key")
+    groups = components(filed.mapInArrow(tidy(_link_sketches(most)), "a long, b long").distinct())
+    members = rows.where("sketch is not null").join(groups, F.col("fp") == F.col("node"))
+    sketch = F.substring("sketch", 8 * COPY_TABLES + 1, COPY_BITS // 8)
+    one = members.groupBy("root", "fp", "digest").agg(F.min(F.struct("k1", "k2", sketch.alias("sketch"))).alias("k"))
+    texts = docs.join(staged(one.select("root", "fp", "k.k1", "k.k2", "k.sketch"), "members"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    sets = texts.select("root", "fp", "sketch", "text").mapInArrow(tidy(_shingle_sets), "root long, fp long, sketch binary, shingles binary")
+    return sets.repartition(n, "root").sortWithinPartitions("root").mapInArrow(tidy(_verify(most, likeness)), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH, likeness: float = COPY_LIKENESS) -> DataFrame:
     """``docs`` with all columns, one document of each group: the one of least id (null last, then by fingerprint).
 
     Groups are the components of two kinds of links: fingerprints in reach, and near copies, whose five-word shingles
-    are alike by ``likeness`` or more (estimated within a few hundredths). Wordless texts are near each other only. Of
+    are alike by ``likeness`` or more. Wordless texts are near each other only. Of
     rows that are equal in all but other columns any one stays.
     """
     bounded_batches(docs.sparkSession)
     text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     k1, k2 = F.xxhash64(own, text), F.hash(text, own)
     plain = docs.select(own.alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
-    prints = staged(plain.mapInArrow(tidy(_print_and_sketch(shingle)), "doc_id long, k1 long, k2 int, fp long, sketch binary"), "documents")
+    prints = staged(plain.mapInArrow(tidy(_print_and_sketch(shingle)), "doc_id long, k1 long, k2 int, fp long, digest long, sketch binary"), "documents")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first"))
-    found = components(links(nodes.select("fp"), reach).union(copy_links(prints, likeness)).distinct())
+    found = components(links(nodes.select("fp"), reach).union(copy_links(plain, prints, likeness)).distinct())
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2"))
     marked = docs.withColumns({"__a": k1, "__b": k2})

@@ -180,6 +180,25 @@ def test_keys_nominate_passages():
     assert (keys[0] == keys[1]).any(1).all()
 
 
+def test_only_copies_of_the_likeness_are_linked(spark):
+    pairs = passages(7, 60, 0.8, 0.81) + passages(8, 60, 0.7, 0.799)
+    texts = [t for p in pairs for t in p]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # no two are within the fingerprint's reach but those alike
+    prints = s.fingerprints(texts)
+    alike = [likeness(*p) >= 0.8 or int(np.bitwise_count(prints[2 * k] ^ prints[2 * k + 1])) <= s.REACH for k, p in enumerate(pairs)]
+    want = [i for i in range(len(texts)) if i % 2 == 0 or not alike[i // 2]]
+    assert 60 <= sum(alike) < 100 and sorted(r.doc_id for r in s.drop_near_duplicates(docs).collect()) == want
+
+
+def test_exact_links():
+    sets = [np.arange(k, k + 9, dtype=np.uint64) for k in (0, 1, 2, 30, 32)] + [np.arange(8, dtype=np.uint64)]
+    far = np.zeros((len(sets), 4), np.uint64)
+    a, b = s.exact_links(np.arange(10, 16, dtype=np.uint64), far, sets, 50, 0.8)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(11, 10), (12, 10), (15, 10)]
+    assert len(s.exact_links(np.arange(2, dtype=np.uint64), far[:2], [sets[0], sets[1]], 50, 0.81)[0]) == 0
+
+
 @pytest.mark.parametrize("small", [1, 16])
 def test_drop_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(s, "SMALL", small)
