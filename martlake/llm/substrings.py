@@ -125,7 +125,7 @@ def _sorted_unpack(data: bytes, kind: str) -> np.ndarray:
 #: key and position (and, of windows, how many follow each other). known: places that the batch has settled.
 _FIELDS = ("once", "twice", "asking", "k1", "k2", "at", "n", "known_k1", "known_k2", "known_at", "known_n")
 _ENTRIES = "dest int, " + ", ".join(f"{x} binary" for x in _FIELDS)
-_KINDS = {"k1": "<i8", "k2": "<i4", "at": "<u4", "n": "<u2", "known_k1": "<i8", "known_k2": "<i4", "known_at": "<u4", "known_n": "<u2"}
+_KINDS = {"k1": "<i8", "k2": "<i4", "at": "<u4", "n": "<u4", "known_k1": "<i8", "known_k2": "<i4", "known_at": "<u4", "known_n": "<u4"}
 
 
 def _by_dest(dest: np.ndarray, n: int, *arrays: np.ndarray) -> list[list[np.ndarray]]:

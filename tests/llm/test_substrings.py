@@ -54,6 +54,25 @@ def test_repeated_rows_and_empty(spark):
     assert s.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("line", ["w", "one short line"])
+def test_long_texts_of_one_line(spark, line):
+    n = 65_700
+    docs = spark.createDataFrame([(1, " ".join([line] * n)), (2, "other " + " ".join(map(str, range(40))))], "doc_id long, text string")
+    got = sorted(map(tuple, s.remove_repeats(docs).collect()))
+    assert got[0] == (1, n * len(line.split()), n * len(line.split()), "") and got[1][2] == 0
+
+
+def test_long_copies_in_one_partition(spark, monkeypatch):
+    monkeypatch.setattr("martlake.llm.substrings.PART_DOCS", 1)
+    before, text = spark.conf.get("spark.sql.shuffle.partitions"), " ".join(map(str, range(65_700)))
+    docs = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert sorted(map(tuple, s.remove_repeats(docs).collect())) == [(1, 65_700, 65_700, ""), (2, 65_701, 65_700, "end")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_hashes():
     texts = pa.array([" a bb  a\n", "", "bb a", "\t"])
     h, at = s.word_hashes(texts)
