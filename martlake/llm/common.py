@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,12 @@ _staged: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session doesn't name one (tests, a laptop) a local temporary folder is taken, and set.
+    Only on one machine (tests, a laptop), where the session names none, a local temporary folder is taken, and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="martlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -52,7 +55,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.staged_at
+        drop_path(df.sparkSession, path)
+        _staged[:] = [x for x in _staged if x[1] != path]
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` written as by :func:`staged`; what was written on the way to it is deleted."""
+    before = len(_staged)
+    out = staged(make(), name)
+    for spark, path in _staged[before:]:
+        if path != out.staged_at:
+            drop_path(spark, path)
+    _staged[before:] = [x for x in _staged[before:] if x[1] == out.staged_at]
+    return out
 
 
 @atexit.register
@@ -102,6 +126,39 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(tidy(run), schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``key``, joined and cut so that no group is split; of about ``rows`` rows, more for one group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        whole = pa.concat_batches(held)
+        keys = whole.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+        if cut:
+            yield whole.slice(0, cut)
+        held, size = [whole.slice(cut)], whole.num_rows - cut
+    if size:
+        yield pa.concat_batches(held)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
