@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlake.llm.chunked import spread
-from martlake.llm.common import bounded_batches, shuffle_partitions, staged, tidy
+from martlake.llm.common import bounded_batches, fresh, shuffle_partitions, staged, tidy, whole_groups
 from martlake.llm.substrings import _OUTER, _mixed, run_hashes, word_hashes
 
 #: Words of a shingle, and the differing bits that still link.
@@ -43,6 +43,8 @@ COPY_TABLES, COPY_ROWS = 20, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size compare all their pairs at once; larger ones grow components from member to member.
 SMALL = 16
+#: Links that a task holds before it folds them into stars, and bytes of shingles that a task compares others with.
+FOLD, LEADER_BYTES = 1 << 20, 32 << 20
 
 
 # Fingerprints --------------------------------------------------------------------------------------------------------
@@ -215,17 +217,35 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(prints[row], pa.int64())], ["key", "fp"])
 
 
+def _folded(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as the stars of their components, a bounded number at a time."""
+    a, b, size = [], [], 0
+    for x, y in parts:
+        a.append(x)
+        b.append(y)
+        size += len(x)
+        if size >= FOLD:
+            star = _forest(np.concatenate(a), np.concatenate(b))
+            a, b, size = [star[0]], [star[1]], len(star[0])
+            if size >= FOLD // 2:
+                yield _link_batch(*star)
+                a, b, size = [], [], 0
+    if size:
+        yield _link_batch(*_forest(np.concatenate(a), np.concatenate(b)))
+
+
+def _link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
 def _link(reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints = [], []
-        for batch in batches:
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-            prints.append(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-        if keys:
-            a, b = bucket_links(np.concatenate(keys), np.concatenate(prints), reach)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    """Links of buckets that come one after the other."""
 
-    return run
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+        return bucket_links(keys, prints.view(np.uint64), reach)
+
+    return lambda batches: _folded(map(of, whole_groups(batches, "key")))
 
 
 def links(prints: DataFrame, reach: int = REACH) -> DataFrame:
@@ -233,26 +253,36 @@ def links(prints: DataFrame, reach: int = REACH) -> DataFrame:
     if reach > REACH:
         raise ValueError(f"the keys cover {REACH} differing bits at most, not {reach}")
     n = shuffle_partitions(prints.sparkSession)
-    return prints.mapInArrow(tidy(_file), "key int, fp long").repartition(n, "key").mapInArrow(tidy(_link(reach)), "a long, b long").distinct()
+    filed = prints.mapInArrow(tidy(_file), "key int, fp long").repartition(n, "key").sortWithinPartitions("key")
+    return filed.mapInArrow(tidy(_link(reach)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the links; root is the same for all nodes of a component.
 
-    Each round takes the least label among a node's neighbours and then the label of that label, on written tables, so
-    paths halve and a lost executor costs one round at most.
+    The graph is contracted: each round every node points to the first of its neighbours and itself in a hashed order,
+    and on to where that one points; links become those between the nodes pointed to, each once. A star or a clique is a
+    single node after one round, long paths shrink by a constant factor, so rounds after the first are small. Tables
+    are written, so a lost executor costs one step at most. Labels are composed at the end.
     """
-    both = staged(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), "links")
-    labels = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), "other")
-        least = seen.groupBy("node").agg(F.min("near").alias("near"))
-        new = labels.join(least, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = staged(new.join(up, "root").select("node", "old", F.least("root", "top").alias("root")), "labels")
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    left = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+        both = left.select(F.inline(ends))
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
+        up = both.groupBy("node").agg(F.min(order("other")).alias("o")).select("node", F.least(order("node"), "o")["x"].alias("up"))
+        top = up.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        steps.append(staged(up.join(top, "up").select("node", "root"), "labels"))
+        of = lambda c: steps[-1].select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        moved = left.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+        left = staged(moved.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = steps[0]
+    for step in steps[1:]:
+        found = found.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return found
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -320,16 +350,15 @@ def copy_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, shingles, first
 
 
-def copy_sketches(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of texts with words: their places, and of their five-word shingles (a text of fewer words is one shingle) the
-    minwise hashes of 23 bits that make the keys, and the sketches (four 64-bit integers each)."""
-    place, shingles, first = copy_shingles(texts)
-    if not len(place):
-        return place, [np.zeros(0, np.int64)] * (COPY_TABLES * COPY_ROWS), np.zeros((0, COPY_BITS // 64), np.uint64)
+def copy_sketches(shingles: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of the five-word shingles of texts that begin at ``first``: the minwise hashes of 23 bits that make the keys, and
+    the sketches (four 64-bit integers each)."""
+    if not len(first):
+        return [np.zeros(0, np.int64)] * (COPY_TABLES * COPY_ROWS), np.zeros((0, COPY_BITS // 64), np.uint64)
     values = (shingles >> np.uint64(32)).astype(np.uint32)
     hashes = _minwise(values, first, 23, COPY_TABLES * COPY_ROWS, 23)
     sketch = np.packbits(_minwise(values, first, 5, COPY_BITS, 1), axis=1)
-    return place, list(hashes.T.astype(np.int64)), np.ascontiguousarray(sketch).view(np.uint64)
+    return list(hashes.T.astype(np.int64)), np.ascontiguousarray(sketch).view(np.uint64)
 
 
 def copy_keys(hashes: list[np.ndarray]) -> np.ndarray:
@@ -386,7 +415,7 @@ def _print_and_sketch(shingle: int):
             place, shingles, first = copy_shingles(texts)
             digests = np.zeros(batch.num_rows, np.uint64)  # equal of texts with the same shingles
             digests[place] = np.add.reduceat(_mixed(shingles), first) if len(place) else 0
-            _, hashes, sketches = copy_sketches(texts)
+            hashes, sketches = copy_sketches(shingles, first)
             words = np.zeros(batch.num_rows, object)
             words[:] = None
             for k, row in zip(place.tolist(), np.concatenate([copy_keys(hashes), sketches], axis=1)):
@@ -405,44 +434,70 @@ def _file_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("fp").take(pa.array(row)), sketch.take(pa.array(row))], ["key", "fp", "sketch"])
 
 
-def _link_sketches(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, sketches = [], [], []
-        for batch in batches:
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-            nodes.append(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-            sketches.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-        if keys:
-            a, b = sketch_links(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sketches), most)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    return run
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of 64-bit integers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def exact_links(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], most: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect all nodes whose sets (sorted, without repeats) are alike by ``likeness`` or more. Pairs whose
-    sketches differ in more than ``most`` bits aren't compared."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    left, a, b = np.arange(len(sets)), [], []
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            at = front.pop()
-            own, near = sets[at], np.zeros(len(left), bool)
-            maybe = np.flatnonzero(_far(sketches[left], sketches[at]) <= most)
-            for k in range(0, len(maybe), 1000):
-                other = left[maybe[k : k + 1000]]
-                values = np.concatenate([sets[x] for x in other.tolist()])
-                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-                shared = np.add.reduceat(hit, np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
-                near[maybe[k : k + 1000]] = shared >= likeness * (len(own) + sizes[other] - shared) - 1e-9
-            found, left = left[near], left[~near]
-            a.append(np.full(len(found), nodes[at]))
-            b.append(nodes[found])
-            front.extend(found.tolist())
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _forest(np.concatenate(a), np.concatenate(b))
+def _link_sketches(most: int):
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+        return sketch_links(keys, nodes.view(np.uint64), _rows_of(batch.column("sketch")), most)
+
+    return lambda batches: _folded(map(of, whole_groups(batches, "key")))
+
+
+class Sets:
+    """Sets of shingles (sorted, without repeats) with their nodes and sketches."""
+
+    def __init__(self, nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]):
+        self.nodes, self.sketches, self.sets = nodes, sketches, sets
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def alike(self, own: np.ndarray, sketch: np.ndarray, places: np.ndarray, most: int, likeness: float) -> np.ndarray:
+        """Which of the sets at ``places`` are alike another by ``likeness`` or more. Those whose sketch differs in more
+        than ``most`` bits aren't compared."""
+        near = np.zeros(len(places), bool)
+        maybe = np.flatnonzero(_far(self.sketches[places], sketch) <= most)
+        for k in range(0, len(maybe), 1000):
+            other = places[maybe[k : k + 1000]]
+            values = np.concatenate([self.sets[x] for x in other.tolist()])
+            hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+            shared = np.add.reduceat(hit, np.cumsum(self.sizes[other]) - self.sizes[other], dtype=np.int64)
+            near[maybe[k : k + 1000]] = shared >= likeness * (len(own) + self.sizes[other] - shared) - 1e-9
+        return near
+
+    def links(self, most: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+        """Stars that connect all sets that are alike."""
+        left, a, b = np.arange(len(self.sets)), [], []
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                at = front.pop()
+                near = self.alike(self.sets[at], self.sketches[at], left, most, likeness)
+                found, left = left[near], left[~near]
+                a.append(np.full(len(found), self.nodes[at]))
+                b.append(self.nodes[found])
+                front.extend(found.tolist())
+        if not a:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return _forest(np.concatenate(a), np.concatenate(b))
+
+    def links_to(self, leaders: Sets, groups: np.ndarray, most: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+        """Links from leaders that connect each set to all groups of leaders that it's alike a member of."""
+        own = np.full(len(self.sets), -1)
+        groups, a, b = groups.copy(), [], []
+        for k in range(len(leaders.sets)):
+            other = np.flatnonzero(own != groups[k])
+            found = other[self.alike(leaders.sets[k], leaders.sketches[k], other, most, likeness)]
+            if len(found):
+                a.append(np.full(len(found), leaders.nodes[k]))
+                b.append(self.nodes[found])
+                for joined in set(own[found].tolist()) - {-1}:
+                    own[own == joined] = groups[k]
+                    groups[groups == joined] = groups[k]
+                own[found] = groups[k]
+        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,33 +505,86 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         place, shingles, first = copy_shingles(batch.column("text"))
         sets = [np.unique(x).tobytes() for x in np.split(shingles, first[1:])] if len(place) else []
         kept = batch.take(pa.array(place))
-        yield pa.RecordBatch.from_arrays([kept.column("root"), kept.column("fp"), kept.column("sketch"), pa.array(sets, pa.binary())], ["root", "fp", "sketch", "shingles"])
+        size = pa.array(list(map(len, sets)), pa.int64())
+        yield pa.RecordBatch.from_arrays([kept.column("root"), kept.column("fp"), kept.column("sketch"), pa.array(sets, pa.binary()), size], ["root", "fp", "sketch", "shingles", "bytes"])
 
 
 def _verify(most: int, likeness: float):
-    """Exact links of groups that come one after the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            nodes = np.array([r[1] for r in group], np.int64).view(np.uint64)
-            sketches = np.frombuffer(b"".join(r[2] for r in group), np.uint64).reshape(len(group), -1)
-            return exact_links(nodes, sketches, [np.frombuffer(r[3], np.uint64) for r in group], most, likeness)
+    """Exact links of parts (root, part) that come one after the other, each with its leaders first."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, Sets]]:
+        """Each part's leaders as one, then its others piece by piece."""
+        held: list[tuple] = []
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][0] != row[0]:
-                    out.append(settled())
-                    group.clear()
-                group.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out, strict=True)], ["a", "b"])
-        if group:
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in settled()], ["a", "b"])
-
-    return run
+            for row in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "other", "fp", "sketch", "shingles")), strict=True):
+                if held and (row[:3] != held[-1][:3] or held[-1][2] and len(held) >= 2000):
+                    yield held[0][:2], bool(held[0][2]), of(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield held[0][:2], bool(held[0][2]), of(held)
+
+    def of(rows: list[tuple]) -> Sets:
+        sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        return Sets(np.array([r[3] for r in rows], np.int64).view(np.uint64), sketches, [np.frombuffer(r[5], np.uint64) for r in rows])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        part, leaders, groups = None, None, None
+        for own, other, sets in parts(batches):
+            if not other:
+                a, b = sets.links(most, likeness)
+                part, leaders, star = own, sets, dict(zip(a.tolist(), b.tolist()))
+                groups = np.unique([star.get(x, x) for x in sets.nodes.tolist()], return_inverse=True)[1]
+                yield a, b
+            elif own == part:
+                yield sets.links_to(leaders, groups, most, likeness)
+
+    return lambda batches: _folded(found(batches))
+
+
+def exact_links(sets: DataFrame, most: int, likeness: float, leader_bytes: int = LEADER_BYTES) -> DataFrame:
+    """Links (a, b) that connect all nodes of the same group whose sets are alike, of (root, fp, sketch, shingles, bytes).
+
+    A group of up to ``leader_bytes`` is compared in one task. Of a larger one about so many bytes, drawn by a hash, are
+    leaders; the group is dealt out in parts, each of which compares its members with all leaders. Rounds go on with
+    members that were no leaders yet until all but the largest component were, so every pair is compared whose members
+    may still be apart, and no task holds more than the leaders and one batch.
+    """
+    n = shuffle_partitions(sets.sparkSession)
+    sizes = staged(sets.groupBy("root").agg(F.sum("bytes").alias("all")), "sizes").withColumn("parts", F.ceil(F.col("all") / leader_bytes))
+    own = sets.join(sizes, "root")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    columns = ["root", "part", "other", "fp", "sketch", "shingles"]
+
+    def compared(leaders: DataFrame, others: DataFrame | None) -> DataFrame:
+        every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        rows = leaders.withColumns({"part": F.explode(every), "other": F.lit(0)}).select(columns)
+        if others is not None:
+            rows = rows.union(others.withColumns({"part": part, "other": F.lit(1)}).select(columns))
+        return rows.repartition(n, "root", "part").sortWithinPartitions("root", "part", "other").mapInArrow(tidy(_verify(most, likeness)), "a long, b long")
+
+    small = compared(own.where("parts = 1"), None)
+    if sizes.where("parts > 1").isEmpty():
+        return small
+    large = staged(own.where("parts > 1"), "large")
+    links, left, turn = None, large.select("root", "fp", "bytes"), 0
+    done = None
+    while True:
+        turn += 1
+        open_bytes = left.groupBy("root").agg(F.sum("bytes").alias("open"))
+        draw = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+        leaders = staged(left.join(open_bytes, "root").where(draw < leader_bytes / F.col("open")).select("root", "fp").distinct(), "leaders")
+        done = leaders if done is None else staged(done.union(leaders), "leaders")
+        mine = large.join(leaders, ["root", "fp"], "left_semi")
+        active = large.join(leaders.select("root").distinct(), "root", "left_semi")
+        more = compared(mine, active.join(leaders, ["root", "fp"], "left_anti"))
+        links = staged(more if links is None else links.union(more), "compared")
+        tops = components(links)
+        placed = staged(large.join(tops, F.col("fp") == F.col("node"), "left").select(large["root"], "fp", "bytes", F.coalesce(tops["root"], F.col("fp")).alias("top")), "placed")
+        most_of = placed.groupBy("root", "top").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "top")).alias("m")).select("root", F.col("m.top").alias("top"))
+        left = staged(placed.join(most_of, ["root", "top"], "left_anti").join(done, ["root", "fp"], "left_anti").select("root", "fp", "bytes"), "left")
+        if left.isEmpty():
+            return small.union(links)
 
 
 def copy_links(docs: DataFrame, rows: DataFrame, likeness: float = COPY_LIKENESS) -> DataFrame:
@@ -484,27 +592,27 @@ def copy_links(docs: DataFrame, rows: DataFrame, likeness: float = COPY_LIKENESS
     digest, sketch).
 
     Nominations whose sketches aren't far off are joined to groups; the sets of shingles of a group's distinct members
-    then meet in one task, and only pairs that share ``likeness`` or more of them are linked.
+    are compared then, and only pairs that share ``likeness`` or more of them are linked.
     """
     most = int(COPY_BITS * (1 - likeness) / 2) + COPY_SPARE
     distinct = rows.where("sketch is not null").select("fp", "sketch").distinct()
     n = shuffle_partitions(rows.sparkSession)
-    filed = distinct.mapInArrow(tidy(_file_sketches), "key long, fp long, sketch binary").repartition(n, "key")
-    groups = components(filed.mapInArrow(tidy(_link_sketches(most)), "a long, b long").distinct())
+    filed = distinct.mapInArrow(tidy(_file_sketches), "key long, fp long, sketch binary").repartition(n, "key").sortWithinPartitions("key")
+    groups = components(filed.mapInArrow(tidy(_link_sketches(most)), "a long, b long"))
     members = rows.where("sketch is not null").join(groups, F.col("fp") == F.col("node"))
     sketch = F.substring("sketch", 8 * COPY_TABLES + 1, COPY_BITS // 8)
     one = members.groupBy("root", "fp", "digest").agg(F.min(F.struct("k1", "k2", sketch.alias("sketch"))).alias("k"))
     texts = docs.join(staged(one.select("root", "fp", "k.k1", "k.k2", "k.sketch"), "members"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    sets = texts.select("root", "fp", "sketch", "text").mapInArrow(tidy(_shingle_sets), "root long, fp long, sketch binary, shingles binary")
-    return sets.repartition(n, "root").sortWithinPartitions("root").mapInArrow(tidy(_verify(most, likeness)), "a long, b long")
+    sets = texts.select("root", "fp", "sketch", "text").mapInArrow(tidy(_shingle_sets), "root long, fp long, sketch binary, shingles binary, bytes long")
+    return exact_links(staged(sets, "sets"), most, likeness)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = REACH, likeness: float = COPY_LIKENESS) -> DataFrame:
     """``docs`` with all columns, one document of each group: the one of least id (null last, then by fingerprint).
 
     Groups are the components of two kinds of links: fingerprints in reach, and near copies, whose five-word shingles
-    are alike by ``likeness`` or more. Wordless texts are near each other only. Of
-    rows that are equal in all but other columns any one stays.
+    are alike by ``likeness`` or more. Wordless texts are near each other only. Of rows that are equal in all but other
+    columns any one stays. Null ids and texts are kept apart from others by their hashes; an empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
     text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
@@ -512,9 +620,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = R
     plain = docs.select(own.alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
     prints = staged(plain.mapInArrow(tidy(_print_and_sketch(shingle)), "doc_id long, k1 long, k2 int, fp long, digest long, sketch binary"), "documents")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first"))
-    found = components(links(nodes.select("fp"), reach).union(copy_links(plain, prints, likeness)).distinct())
+    found = components(links(nodes.select("fp"), reach).union(copy_links(plain, prints, likeness)))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2"))
-    marked = docs.withColumns({"__a": k1, "__b": k2})
-    one = marked.join(staged(kept, "kept"), (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left_semi")
-    return one.dropDuplicates(["__a", "__b"]).drop("__a", "__b")
+    a, b, x, y = fresh(docs, "key_a", "key_b", "kept_a", "kept_b")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.k1").alias(x), F.col("k.k2").alias(y))
+    marked = docs.withColumns({a: k1, b: k2})
+    one = marked.join(staged(kept, "kept"), (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_semi")
+    return one.dropDuplicates([a, b]).drop(a, b)

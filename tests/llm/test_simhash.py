@@ -147,7 +147,8 @@ def near_copies(seed, groups=25):
 def test_sketches_estimate_likeness():
     texts, _ = near_copies(1)
     texts += ["one two", "ONE two", "one", "", "a b c d e", "a b c d e f"]
-    place, segments, sketches = s.copy_sketches(pa.array(texts))
+    place, shingles, first = s.copy_shingles(pa.array(texts))
+    segments, sketches = s.copy_sketches(shingles, first)
     assert place.tolist() == [k for k, t in enumerate(texts) if t] and all(len(x) == len(place) and x.max() < 1 << 23 for x in segments)
     at = {k: i for i, k in enumerate(place.tolist())}
     errors = [abs(likeness(texts[a], texts[b]) - (1 - 2 * int(s._far(sketches[at[a]], sketches[at[b]])) / s.COPY_BITS)) for a in at for b in at if a < b and likeness(texts[a], texts[b]) > 0.3]
@@ -176,7 +177,7 @@ def passages(seed, pairs, low=0.8, high=0.84):
 
 def test_keys_nominate_passages():
     pairs = passages(6, 450)
-    keys = [s.copy_keys(s.copy_sketches(pa.array([p[k] for p in pairs]))[1]) for k in (0, 1)]
+    keys = [s.copy_keys(s.copy_sketches(*s.copy_shingles(pa.array([p[k] for p in pairs]))[1:])[0]) for k in (0, 1)]
     assert (keys[0] == keys[1]).any(1).all()
 
 
@@ -191,12 +192,78 @@ def test_only_copies_of_the_likeness_are_linked(spark):
     assert 60 <= sum(alike) < 100 and sorted(r.doc_id for r in s.drop_near_duplicates(docs).collect()) == want
 
 
-def test_exact_links():
+def test_sets_link():
     sets = [np.arange(k, k + 9, dtype=np.uint64) for k in (0, 1, 2, 30, 32)] + [np.arange(8, dtype=np.uint64)]
     far = np.zeros((len(sets), 4), np.uint64)
-    a, b = s.exact_links(np.arange(10, 16, dtype=np.uint64), far, sets, 50, 0.8)
+    a, b = s.Sets(np.arange(10, 16, dtype=np.uint64), far, sets).links(50, 0.8)
     assert sorted(zip(a.tolist(), b.tolist())) == [(11, 10), (12, 10), (15, 10)]
-    assert len(s.exact_links(np.arange(2, dtype=np.uint64), far[:2], [sets[0], sets[1]], 50, 0.81)[0]) == 0
+    assert len(s.Sets(np.arange(2, dtype=np.uint64), far[:2], [sets[0], sets[1]]).links(50, 0.81)[0]) == 0
+
+
+def test_large_groups_are_dealt_out(spark):
+    """Chains and loners of a group, compared by leaders in several parts and rounds: as by brute force."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for c in range(30):
+        at = int(c * 1000)
+        for _ in range(rng.integers(1, 25)):
+            sets.append((c % 2, np.arange(at, at + 40, dtype=np.uint64)))
+            at += int(rng.integers(1, 8))
+    order = rng.permutation(len(sets))
+    rows = [(sets[k][0], int(i), b"\0" * 32, sets[k][1].tobytes(), 320) for i, k in enumerate(order.tolist())]
+    rows += [(7, 10_000, b"\0" * 32, sets[0][1].tobytes(), 320)]  # a small group
+    frame = spark.createDataFrame(rows, "root long, fp long, sketch binary, shingles binary, bytes long")
+    got = {r.node: r.root for r in s.components(s.exact_links(frame, 50, 0.8, 320 * 40)).collect()}
+    root = list(range(len(order)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    own = [(g, set(v.tolist())) for g, v in (sets[k] for k in order.tolist())]
+    for i, (g, x) in enumerate(own):
+        for j in range(i):
+            if g == own[j][0] and len(x & own[j][1]) >= 0.8 * len(x | own[j][1]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    classes = {}
+    for i in range(len(order)):
+        assert classes.setdefault(find(i), got.get(i, i)) == got.get(i, i)
+    assert len(set(classes.values())) == len(classes) > 60 and 10_000 not in got
+
+
+def test_components_of_a_large_group(spark, monkeypatch):
+    """1000 near copies met in buckets of 64 tasks: the links that are joined stay few for each member."""
+    rng = np.random.default_rng(4)
+    prints = np.full(1000, 0x0123456789ABCDEF, np.uint64)
+    for _ in range(2):
+        prints ^= np.uint64(1) << rng.integers(0, 64, len(prints)).astype(np.uint64)
+    prints = np.unique(np.concatenate([prints, rng.integers(0, 1 << 63, 50, np.uint64)]))
+    joined, inner = [], s.staged
+
+    def counted(df, name):
+        out = inner(df, name)
+        joined.append(out.count() if name == "links" else 0)
+        return out
+
+    monkeypatch.setattr(s, "staged", counted)
+    monkeypatch.setattr(s, "shuffle_partitions", lambda spark: 64)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    got = {int(np.int64(r.node).view(np.uint64)): r.root for r in s.components(s.links(frame)).collect()}
+    classes, roots = brute_classes(prints.tolist()), {}
+    for p in prints.tolist():
+        if p in got:
+            assert roots.setdefault(classes[p], got[p]) == got[p]
+    assert len(set(roots.values())) == len(roots) and len(got) == sum(list(classes.values()).count(c) for c in roots)
+    assert sum(joined) < 10 * len(got)
+
+
+def test_paths(spark):
+    """A path in order of its nodes is contracted in few rounds, links to itself don't count."""
+    frame = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1000), (2000, 2001)], "a long, b long")
+    got = {r.node: r.root for r in s.components(frame).collect()}
+    assert set(got) == set(range(301)) | {2000, 2001} and len({got[k] for k in range(301)}) == 1 and got[2000] == got[2001] != got[0]
 
 
 @pytest.mark.parametrize("small", [1, 16])
@@ -205,7 +272,7 @@ def test_drop_near_duplicates(spark, monkeypatch, small):
     texts, group = near_copies(2)
     rows = [(100 + k, t, g) for k, (t, g) in enumerate(zip(texts, group))]
     rows += [(500 + k, texts[k], group[k]) for k in range(0, len(texts), 3)] + [(None, texts[0], group[0]), (7, None, -1), (8, "", -1), (9, " ", -1), (100, texts[0], group[0]), (3, "only one", -2)]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp int, k1 string, root int")
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3, 4) for r in rows], "doc_id long, text string, fp int, k1 string, root int, key_a int, Key_B int, kept_a int")
     kept = s.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     out = kept.collect()
