@@ -11,22 +11,29 @@ keyed SHA-256 of the round, the shape and the other half. Each step is invertibl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlake.llm.common import fresh
+
 #: Steps of the permutation, five for each half.
 ROUNDS = 10
-#: The key that queries use. Pass a secret one for real data.
-KEY = "martlake demonstration key"
+#: The setting of the session that holds the key; by its name Spark blanks it out in its own pages.
+KEY_SETTING = "spark.martlake.pii.secret"
+_drawn: dict[str, str] = {}
 
-#: The shapes, in the order in which they're tried at a place.
+#: The shapes, in the order in which they're tried at a place. Repeated groups are possessive or bounded, so that no text
+#: makes the matcher recurse.
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)\s?[=:]\s?[\"']?[A-Za-z0-9_+/-]{8,}+[\"']?",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?!\.?[0-9])",
-    "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?<ds>[./])[0-9]{2}\k<ds>[0-9]{4})(?![0-9\-/])",
-    "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+\-\p{L}\p{N}])[A-Za-z0-9_\p{L}\p{N}][A-Za-z0-9._%+\-\p{L}\p{N}\p{M}]*+@[A-Za-z0-9\-\p{L}\p{N}\p{M}]++(?:\.[A-Za-z0-9\-\p{L}\p{N}\p{M}]++)++",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)\s?[=:]\s?[\"']?[A-Za-z0-9_+/!@#$%^&*-]{8,}+[\"']?",
+    "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?!\.?[0-9])",
+    "date": r"(?<![0-9.\-/])(?:[0-9]{4}(?<dy>[./-])[0-9]{2}\k<dy>[0-9]{2}|[0-9]{2}(?<ds>[./-])[0-9]{2}\k<ds>[0-9]{4})(?![0-9\-/])",
+    "phone": r"(?<![0-9+])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+    r"|(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|(?:1[ .-]?)?\([0-9]{3}\) ?)[0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[Ss][Ss][Nn][ :#]{1,3}[0-9]{9}(?![0-9-])",
     "foreign_phone": r"(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{2,5}){2,4}(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?<cs>[ -])[0-9]{4}\k<cs>[0-9]{4}\k<cs>[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
@@ -35,6 +42,15 @@ PATTERN = "|".join(f"(?:{x})" for x in SHAPES.values())
 
 #: Days of the 400-year Gregorian cycle from 1800-01-01, 146097 = 189 * 773; and its first day.
 CYCLE, CYCLE_A, CYCLE_B, CYCLE_START = 146097, 189, 773, "1800-01-01"
+#: Days of the cycle after the twelfth of their month, 146097 - 12 * 4800 = 88497 = 9 * 9833.
+LATE_A, LATE_B = 9, 9833
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's key. Where none is set, one is drawn that lasts as long as the session: equal values are linked in
+    all its documents, but nobody can undo the pseudonyms later, or link them to those of another session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def _long(x: Column) -> Column:
@@ -151,18 +167,32 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
-    """Ten digits: area and exchange from 200 to 999, line from 0 to 9999; the country code stays."""
+    """Ten digits; the country code stays. Numbers of the plan (area and exchange from 200 to 999) are moved among each
+    other, and so are all others."""
 
     def of(d: Column) -> Column:
         part = lambda k, n: _long(F.substring(d, k, n))
-        x = ((part(-10, 3) - 200) * 800 + (part(-7, 3) - 200)) * 10000 + part(-4, 4)
-        moved = permute(F.floor(x / 80000), x % 80000, F.lit(80000), F.lit(80000), F.lit("phone"), key, inverse)
+        area, exchange, line = part(-10, 3), part(-7, 3), part(-4, 4)
+        plan = (area >= 200) & (exchange >= 200)
+        ten = lambda a, e, n: F.concat(_padded(a, 3), _padded(e, 3), _padded(n, 4))
 
-        def text(p: Column) -> Column:
+        def planned(p: Column) -> Column:
             y = p["a"] * 80000 + p["b"]
-            return F.concat(_padded(F.floor(y / 8_000_000) + 200, 3), _padded(F.floor(y / 10000) % 800 + 200, 3), _padded(y % 10000, 4))
+            return ten(F.floor(y / 8_000_000) + 200, F.floor(y / 10000) % 800 + 200, y % 10000)
+
+        def other(p: Column) -> Column:  # areas below 200 with any exchange, then the other areas with exchanges below 200
+            y = p["a"] * 60000 + p["b"]
+            rest = F.floor(y / 10000) - 200_000
+            low = y < 2_000_000_000
+            return ten(F.when(low, F.floor(y / 10_000_000)).otherwise(F.floor(rest / 200) + 200), F.when(low, F.floor(y / 10000) % 1000).otherwise(rest % 200), y % 10000)
 
-        return F.concat(F.substring(d, 1, 1).substr(F.lit(1), F.length(d) - 10), _with(moved, text))
+        def moved(x: Column, size: int, tweak: str, text) -> Column:
+            return _with(x, lambda v: _with(permute(F.floor(v / size), v % size, F.lit(size), F.lit(size), F.lit(tweak), key, inverse), text))
+
+        ordinary = ((area - 200) * 800 + exchange - 200) * 10000 + line
+        odd = F.when(area < 200, (area * 1000 + exchange) * 10000 + line).otherwise(2_000_000_000 + ((area - 200) * 200 + exchange) * 10000 + line)
+        whole = F.when(plan, moved(ordinary, 80000, "phone", planned)).otherwise(moved(odd, 60000, "other phone", other))
+        return F.concat(F.substring(d, 1, 1).substr(F.lit(1), F.length(d) - 10), whole)
 
     return _with(_digits(m), lambda d: fill(m, of(d)))
 
@@ -195,18 +225,38 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    """A day of the Gregorian cycle from 1800 to 2199; day before month where the year comes last."""
-    iso = F.substring(m, 5, 1) == "-"
-    day = F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.regexp_replace(m, "[./]", "-"), F.lit("dd-MM-yyyy"))).cast("date")
-    start = F.lit(CYCLE_START).cast("date")
+    """A day of the Gregorian cycle from 1800 to 2199. Where the year comes last, the day is before the month; if that
+    makes no date, the month is before the day. These have days after the twelfth, and are moved among each other."""
+    plain, start = F.translate(m, "./-", "---"), F.lit(CYCLE_START).cast("date")
+    year_first = F.substring(plain, 5, 1) == "-"
+    parsed = lambda form: F.try_to_timestamp(plain, F.lit(form)).cast("date")
+    first = F.when(year_first, parsed("yyyy-MM-dd")).otherwise(parsed("dd-MM-yyyy"))
+    second = F.when(~year_first, parsed("MM-dd-yyyy"))
+    written = lambda day, form: fill(m, F.date_format(day, form))
 
     def of(n: Column) -> Column:
         moved = permute(F.floor(n / CYCLE_B), n % CYCLE_B, F.lit(CYCLE_A), F.lit(CYCLE_B), F.lit("date"), key, inverse)
-        text = lambda p: F.date_format(F.date_add(start, (p["a"] * CYCLE_B + p["b"]).cast("int")), "yyyyMMdd")
-        ordered = lambda t: F.when(iso, t).otherwise(F.concat(F.substring(t, 7, 2), F.substring(t, 5, 2), F.substring(t, 1, 4)))
-        return F.when((n >= 0) & (n < CYCLE), fill(m, _with(_with(moved, text), ordered))).otherwise(m)
+        day = lambda p: F.date_add(start, (p["a"] * CYCLE_B + p["b"]).cast("int"))
+        text = lambda p: F.when(year_first, written(day(p), "yyyyMMdd")).otherwise(written(day(p), "ddMMyyyy"))
+        return F.when((n >= 0) & (n < CYCLE), _with(moved, text)).otherwise(m)
+
+    month = lambda q: F.add_months(start, q.cast("int"))
+    late_before = lambda q: _long(F.datediff(month(q), start)) - 12 * q  # noqa: E731  days after the twelfth in q months
+
+    def late(day: Column) -> Column:
+        months = _long((F.year(day) - 1800) * 12 + F.month(day) - 1)
+        index = _long(F.datediff(day, start)) - 12 * (months + 1)
+        moved = permute(F.floor(index / LATE_B), index % LATE_B, F.lit(LATE_A), F.lit(LATE_B), F.lit("late date"), key, inverse)
+
+        def text(i: Column) -> Column:
+            near = F.floor(i * 4800 / (LATE_A * LATE_B))
+            at = F.array_max(F.filter(F.sequence(near - 3, near + 3), lambda q: (q >= 0) & (late_before(q) <= i)))
+            return _with(at, lambda q: written(F.date_add(month(q), (12 + i - late_before(q)).cast("int")), "MMddyyyy"))
+
+        inside = (F.year(day) >= 1800) & (F.year(day) < 2200)
+        return F.when(inside, _with(moved, lambda p: _with(p["a"] * LATE_B + p["b"], text))).otherwise(m)
 
-    return _with(_long(F.datediff(day, start)), of)
+    return F.when(first.isNotNull(), _with(_long(F.datediff(first, start)), of)).when(second.isNotNull(), _with(second, late)).otherwise(m)
 
 
 def _letters(digest: Column) -> Column:
@@ -228,7 +278,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(label, F.when(label == "AKIA", F.upper(own)).otherwise(own), end)
 
 
-def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of a value of one of the shapes; the value itself if it isn't valid. The inverse undoes numbers and
     dates; mail and secrets stay as they are then."""
     out = F.when(_is(value, "email"), value if inverse else _email(value, key)).when(_is(value, "secret"), value if inverse else _secret(value, key))
@@ -237,32 +287,35 @@ def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
     return out.otherwise(value)
 
 
-def _replaced(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with its text replaced and the column __n, the number of values that changed."""
-    found = docs.withColumn("__found", F.regexp_extract_all(F.col("text").cast("string"), F.lit(PATTERN), F.lit(0)))
-    moved = found.withColumn("__moved", F.transform("__found", lambda m: pseudonym(m, key)))
-    between = F.split(F.col("text").cast("string"), PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.array_append("__moved", F.lit("")), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__moved", lambda a, b: a != b), lambda x: x))
-    hit = F.size("__found") > 0
-    counted = moved.withColumn("__n", F.when(hit, changed).otherwise(0).cast("long"))
-    return counted.withColumn("text", F.when(hit, joined).otherwise(F.col("text"))).drop("__found", "__moved")
+def _replaced(docs: DataFrame, key: str, count: str) -> DataFrame:
+    """``docs`` with its text replaced and a column of the number of values that changed."""
+    found, moved = fresh(docs, "found", "moved")
+    text = F.col("text").cast("string")
+    out = docs.withColumn(found, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    out = out.withColumn(moved, F.transform(found, lambda m: pseudonym(m, key)))
+    between = F.split(text, PATTERN, -1)
+    joined = F.array_join(F.zip_with(between, F.array_append(moved, F.lit("")), lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.zip_with(found, moved, lambda a, b: a != b), lambda x: x))
+    hit = F.size(found) > 0
+    counted = out.withColumn(count, F.when(hit, changed).otherwise(0).cast("long"))
+    return counted.withColumn("text", F.when(hit, joined).otherwise(F.col("text"))).drop(found, moved)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with all columns; personal data in ``text`` are replaced and ``n_chars``, if there, follows the text.
 
     A null text stays null, a text without valid values stays as it is. Rows are independent: there is no shuffle, and
-    repeated rows, empty tables and null ids need no care. Values that fail validation (a wrong check digit, the 30th
-    of February, an octet of 256) are left alone.
+    repeated rows, empty tables, null ids and further columns of any name need no care. Values that fail validation (a
+    wrong check digit, the 30th of February, an octet of 256) are left alone.
     """
-    out = _replaced(docs, key)
+    (count,) = fresh(docs, "changed")
+    out = _replaced(docs, key, count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text (null stays null), n_pii (values replaced; 0 for a null text)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _replaced(plain, key).select("doc_id", "text", F.col("__n").alias("n_pii"))
+    return _replaced(plain, key, "n_pii").select("doc_id", "text", "n_pii")

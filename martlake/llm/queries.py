@@ -63,7 +63,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
