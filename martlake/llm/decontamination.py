@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlake.llm.common import bounded_batches, documents_of, tidy
+from martlake.llm.common import bounded_batches, documents_of, fresh, staged, tidy
 
 #: Consecutive words of a window.
 WINDOW = 13
 #: A document is contaminated if it has a hit and this many times its hit words reach its words.
 SHARE = 20
-#: UTF-8 bytes of benchmark text that one broadcast holds. A larger benchmark is scanned in so many shards.
-SHARD_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text that one broadcast is built from; a larger benchmark is scanned in shards, one after the
+#: other. A window takes 60 bytes of the built set, so that a shard has 80 MB at six bytes a word (240 MB at two).
+SHARD_BYTES = 8 << 20
 
 #: A-Z to a-z; what isn't a letter or digit of ASCII, or above ASCII, becomes a blank.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -31,13 +33,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+@dataclass
+class Windows:
+    """The distinct windows of one length, by hash."""
+
+    hashes: np.ndarray
+    words: np.ndarray  # int32 [window, word]
+    first: np.ndarray  # where the items of each window begin, and the end
+    items: np.ndarray
+
+    def of(self, window: int) -> list[int]:
+        return self.items[self.first[window] : self.first[window + 1]].tolist()
+
+
 @dataclass
 class NGrams:
     """The windows of a benchmark: a vocabulary, and for each window length a sorted hash set."""
 
     vocabulary: dict[bytes, int]
     codes: np.ndarray  # a 64-bit code of each word id; 0 is any other word
-    sets: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]]  # length: hashes, word ids of windows, their items
+    sets: dict[int, Windows]
     _powers: list = field(default_factory=list)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,24 +75,24 @@ class NGrams:
 
 def ngrams(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> NGrams:
     """The n-gram sets of benchmark items. An item with fewer words than the window, but some, is one window."""
-    worded = [(i, w) for i, t in items if (w := words_of(t))]
     vocabulary: dict[bytes, int] = {}
-    for _, words in worded:
-        for w in words:
-            vocabulary.setdefault(w, len(vocabulary) + 1)
+    rows: dict[int, list[tuple[int | None, np.ndarray]]] = {}
+    for item, text in items:
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
+        if len(ids):
+            length = min(window, len(ids))
+            rows.setdefault(length, []).append((item, np.lib.stride_tricks.sliding_window_view(ids, length)))
     found = NGrams(vocabulary, np.random.default_rng(13).integers(1, 1 << 63, len(vocabulary) + 1, np.uint64), {})
-    by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
-    for item, words in worded:
-        ids = [vocabulary[w] for w in words]
-        length = min(window, len(ids))
-        for k in range(len(ids) - length + 1):
-            by_length.setdefault(length, {}).setdefault(tuple(ids[k : k + length]), set()).update([] if item is None else [item])
-    for length, windows in by_length.items():
-        table = np.array(list(windows), np.int64).reshape(len(windows), length)
-        hashes = np.array([found.windows(row, length)[1][0] for row in table], np.uint64)
+    for length, own in rows.items():
+        table, place = np.unique(np.concatenate([x for _, x in own]), axis=0, return_inverse=True)
+        known = np.repeat([i is not None for i, _ in own], [len(x) for _, x in own])
+        named = np.repeat(np.array([i or 0 for i, _ in own], np.int64), [len(x) for _, x in own])
+        hashes = (found.codes[table] * found.powers(length)[0][:length]).sum(1, dtype=np.uint64)
         order = np.argsort(hashes, kind="stable")
-        of = list(windows.values())
-        found.sets[length] = hashes[order], table[order], [sorted(of[k]) for k in order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([rank[place.ravel()[known]], named[known]], axis=1), axis=0)
+        found.sets[length] = Windows(hashes[order], table[order], np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)), pairs[:, 1])
     return found
 
 
@@ -92,7 +107,8 @@ def scan(grams: NGrams, texts: list[str | None]) -> list[tuple[int, list[tuple[i
     codes = np.array(ids, np.int64)
     starts = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
     edges, items = np.zeros(len(codes) + 1, np.int64), [set() for _ in texts]
-    for length, (hashes, table, of) in grams.sets.items():
+    for length, own in grams.sets.items():
+        hashes, table = own.hashes, own.words
         at, probe = grams.windows(codes, length)
         slot = np.searchsorted(hashes, probe)
         slot[slot == len(hashes)] = 0
@@ -103,7 +119,7 @@ def scan(grams: NGrams, texts: list[str | None]) -> list[tuple[int, list[tuple[i
             np.add.at(edges, at[true] + length, -1)
             seen = np.unique(np.stack([np.searchsorted(starts, at[true], "right") - 1, slot[true]]), axis=1)
             for doc, window in seen.T.tolist():
-                items[doc].update(of[window])
+                items[doc].update(own.of(window))
             slot = slot + 1
             more = ~true & (slot < len(hashes))
             more &= hashes[np.minimum(slot, len(hashes) - 1)] == probe
@@ -135,6 +151,12 @@ def _broadcast(items: DataFrame, window: int):
 
 
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+
+def _results(ids: pa.Array, found: list[tuple[int, list[tuple[int, int]], list[int]]]) -> pa.RecordBatch:
+    columns = list(zip(*(_row(*x) for x in found))) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, _KINDS))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -145,105 +167,116 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     empty benchmark leaves all clean. Repeated rows give repeated rows.
 
     The n-gram set is broadcast after its size is measured. A benchmark beyond ``shard_bytes`` is scanned in shards of
-    that size at most, each by a scan of its own, and the hits of all shards are united for each document.
+    about that size, one after the other; the hits of all shards are united for each text.
     """
     bounded_batches(docs.sparkSession)
     plain = documents_of(docs)
-    shards = [_broadcast(x, window) for x in _shards(benchmark, shard_bytes)]
-    if len(shards) == 1:
-        return plain.mapInArrow(tidy(_scanner(shards[0])), f"doc_id long, {_RESULT}")
-    return _united(plain, shards)
-
+    shards = _shards(benchmark, shard_bytes)
+    if len(shards) > 1:
+        return _united(plain, shards, window).mapInArrow(tidy(_result_of_hits), f"doc_id long, {_RESULT}")
+    grams = _broadcast(shards[0], window)
 
-def _scanner(grams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_row(*x) for x in scan(grams.value, batch.column("text").to_pylist())]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield _results(batch.column("doc_id"), scan(grams.value, batch.column("text").to_pylist()))
 
-    return run
+    return plain.mapInArrow(tidy(run), f"doc_id long, {_RESULT}")
 
 
-def _united(plain: DataFrame, shards: list) -> DataFrame:
-    """The result over several shards: equal rows are scanned once for each shard and take the same result."""
-    keyed = plain.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+def _result_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [len(words_of(t)) for t in batch.column("text").to_pylist()]
+        hits = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
+        yield _results(batch.column("doc_id"), [(n, _merged(s), sorted({i for x in i or [] for i in x})) for n, (s, i) in zip(sizes, hits)])
 
-    def hits(grams, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _merged(spans: list[list[int]] | None) -> list[tuple[int, int]]:
+    """Overlapping and touching spans, each a flat list of (first word, word after the last), as one each."""
+    out: list[list[int]] = []
+    for b, e in sorted((b, e) for x in spans or [] for b, e in zip(x[::2], x[1::2])):
+        if out and b <= out[-1][1]:
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([b, e])
+    return [(b, e) for b, e in out]
+
+
+def _united(docs: DataFrame, shards: list[DataFrame], window: int) -> DataFrame:
+    """``docs`` with the columns spans and items: the hits of every shard in the row's text; null where there are none.
+
+    Shards are broadcast and scanned one after the other; only texts with hits are written, under two digests of the
+    text, so that equal texts share their hits and rows need no ids. Shards find their hits in the same words.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = [F.xxhash64(text), F.hash(text, F.lit(1))]
+    keyed = docs.select(text.alias("text"), keys[0].alias("a"), keys[1].alias("b"))
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    parts = None
+    for shard in shards:
+        grams = _broadcast(shard, window)
+
+        def run(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = scan(grams.value, batch.column("text").to_pylist())
-                keep = [k for k, x in enumerate(found) if first or x[1]]
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {"doc_id": batch["doc_id"][k].as_py(), "digest": batch["digest"][k].as_py(), "n_words": found[k][0], "spans": [y for x in found[k][1] for y in x], "items": found[k][2], "copies": int(first)}
-                        for k in keep
-                    ],
-                    pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())), ("copies", pa.int64())]),
-                )
-
-        return keyed.mapInArrow(tidy(run), "doc_id long, digest long, n_words long, spans array<long>, items array<long>, copies long")
-
-    parts = hits(shards[0], True)
-    for shard in shards[1:]:
-        parts = parts.unionByName(hits(shard, False))
-    grouped = parts.groupBy("doc_id", "digest").agg(
-        F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"), F.sum("copies").alias("copies")
-    )
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                hit = set()
-                for s in r["spans"]:
-                    for b, e in zip(s[::2], s[1::2]):
-                        hit.update(range(b, e))
-                items = sorted({i for x in r["items"] for i in x})
-                n_words, n_hit, *rest = _row(r["n_words"], [(i, i + 1) for i in hit], items)
-                rows += [(r["doc_id"], n_words, n_hit, *rest)] * r["copies"]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return grouped.mapInArrow(tidy(unite), f"doc_id long, {_RESULT}")
+                hit = [k for k, x in enumerate(found) if x[1]]
+                rows = batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
+                spans, items = [[y for x in found[k][1] for y in x] for k in hit], [found[k][2] for k in hit]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(spans, kinds[2]), pa.array(items, kinds[3])], ["a", "b", "spans", "items"])
+
+        own = staged(keyed.mapInArrow(tidy(run), "a long, b int, spans array<long>, items array<long>").dropDuplicates(["a", "b"]), "hits")
+        grams.destroy()
+        parts = own if parts is None else parts.union(own)
+    a, b, c, d = fresh(docs, "text_a", "text_b", "hit_a", "hit_b")
+    hits = parts.groupBy(F.col("a").alias(c), F.col("b").alias(d)).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return docs.withColumns({a: keys[0], b: keys[1]}).join(hits, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left").drop(a, b, c, d)
 
 
 #: A word in the original text, before A-Z are lower-cased, for cutting spans; the same words as those of words_of.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _without(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The batch with the spans of words cut out of its texts."""
+    texts, place = batch.column("text").to_pylist(), batch.schema.get_field_index("text")
+    for k, own in enumerate(spans):
+        if own:
+            at = [m.span() for m in _WORD.finditer(texts[k])]
+            for b, e in reversed(own):
+                texts[k] = texts[k][: at[b][0]] + texts[k][at[e - 1][1] :]
+    return batch.set_column(place, batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
+
+
+def _left(batch: pa.RecordBatch, found: list[tuple[int, list[tuple[int, int]], list[int]]], remove: str) -> pa.RecordBatch:
+    if remove == "spans":
+        return _without(batch, [x[1] for x in found])
+    return batch.filter(pa.array([not _row(*x)[-1] for x in found], pa.bool_()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with all its columns, without its contaminated documents (``remove="documents"``) or with every hit
-    span cut out of the texts (``remove="spans"``). Other documents are unchanged; null texts stay null."""
+    span cut out of the texts (``remove="spans"``). Other documents are unchanged; null texts stay null.
+
+    Each row is judged by its own text, whatever its id or the number of shards; all spans are found before any is cut.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
-    import re
-
     bounded_batches(docs.sparkSession)
-    out = docs
-    word = re.compile(_WORD)
     shards = _shards(benchmark, shard_bytes)
-    if remove == "documents" and len(shards) > 1:  # shares add up over shards
-        spoiled = contamination(docs, benchmark, window, shard_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(spoiled, docs["doc_id"].eqNullSafe(spoiled["doc_id"]), "left_anti")
-    for shard in shards:
-        grams = _broadcast(shard, window)
+    if len(shards) > 1:
+        names = dict(zip(("spans", "items"), fresh(docs, "hit_spans", "hit_items")))
+        renamed = docs.select([F.col(f"`{c}`").alias(f"{names.get(c.lower(), '')}_{c}" if c.lower() in names else c) for c in docs.columns])
 
-        def run(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                found = scan(grams.value, texts)
-                if remove == "documents":
-                    yield batch.filter(pa.array([not _row(*x)[-1] for x in found], pa.bool_()))
-                    continue
-                for k, (_, spans, _) in enumerate(found):
-                    if spans:
-                        at = [m.span() for m in word.finditer(texts[k])]
-                        for b, e in reversed(spans):
-                            texts[k] = texts[k][: at[b][0]] + texts[k][at[e - 1][1] :]
-                yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
-
-        out = out.mapInArrow(tidy(run), docs.schema)
-    return out
+                sizes = [len(words_of(t)) for t in batch.column("text").to_pylist()]
+                found = [(n, _merged(s), []) for n, s in zip(sizes, batch.column("spans").to_pylist())]
+                yield _left(batch.select(list(range(batch.num_columns - 2))), found, remove)
+
+        return _united(renamed, shards, window).mapInArrow(tidy(cut), renamed.schema).toDF(*docs.columns)
+    grams = _broadcast(shards[0], window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _left(batch, scan(grams.value, batch.column("text").to_pylist()), remove)
+
+    return docs.mapInArrow(tidy(run), docs.schema)
