@@ -21,11 +21,11 @@ from martlake.llm.common import bounded_batches, tidy
 #: Rows with text, for each language, that the n-gram counts are fitted on: all if there are fewer, else about so many
 #: chosen by a hash of the id. It bounds the fit, not what is predicted.
 TRAIN_DOCS = 4000
-#: Languages that are learnt at most: those with most documents (ties: in order of name).
-LANGUAGES = 256
-#: Bits of a slot's number in the hashed n-gram table while there are 16 languages or fewer (with more, so many fewer
-#: that the table's size stays), and the longest n-gram.
+#: Bits of a slot's number in the hashed n-gram table, and the longest n-gram.
 SLOT_BITS, ORDERS = 18, 4
+#: Bits of (slot, language) that the broadcast table has at most, two bytes each: with over 1024 languages there are
+#: fewer slots, and still all languages.
+TABLE_BITS = 28
 #: Log-likelihood that a switch of language costs.
 SWITCH = 12.0
 #: What a language that doesn't use a word's script loses against the others, for each of the word's n-grams.
@@ -60,18 +60,20 @@ class Model:
     """Languages in order, their scores of each slot, and which scripts each of them uses."""
 
     languages: list[str]
-    scores: np.ndarray  # float32 [slot, language]
+    scores: np.ndarray  # float16 [slot, language]
     scripts: np.ndarray  # bool [script, language]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; none if the text has no letter."""
+    """Lower-cased runs of letters; superscripts, fractions and the like are none."""
     words = _WORD.findall((text or "").lower())
-    return words if any(map(str.isalpha, words)) else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [own for w in words for own in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split()]
 
 
 def slot_bits(languages: int) -> int:
-    return SLOT_BITS - max(0, (languages - 1).bit_length() - 4)
+    return min(SLOT_BITS, TABLE_BITS - max(0, languages - 1).bit_length())
 
 
 def _grams(words: list[str], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +103,11 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     """Scores [word, language]; a script that no language uses says nothing."""
     if not words:
         return np.zeros((0, len(model.languages)), np.float32)
+    part = max(64, PART_SCORES // len(model.languages))
+    if len(words) > part:
+        return np.concatenate([word_scores(model, words[k : k + part]) for k in range(0, len(words), part)])
     slots, starts, script = _grams(words, slot_bits(len(model.languages)))
-    out = np.add.reduceat(model.scores[slots], starts, axis=0)
+    out = np.add.reduceat(model.scores[slots].astype(np.float32), starts, axis=0)
     uses = model.scripts[script]
     known = uses.any(1)
     out[~known] = 0
@@ -145,8 +150,8 @@ def viterbi(scores: np.ndarray, sizes: list[int], switch: float = SWITCH) -> np.
     return labels
 
 
-#: Characters of texts that are worked on at a time.
-PART_CHARS = 1 << 22
+#: Characters of texts that are worked on at a time, with up to 24 languages; and words times languages that are scored.
+PART_CHARS, PART_SCORES = 1 << 22, 400_000
 
 Found = tuple[str, float, list[tuple[str, int, int]]]
 
@@ -156,11 +161,11 @@ def identify_texts(model: Model, texts: list[str | None]) -> list[Found]:
     if not model.languages:
         return [("und", 0.0, [])] * len(texts)
     out: list[Found] = []
-    part, size = [], 0
+    part, size, most = [], 0, PART_CHARS * 24 // max(24, len(model.languages))
     for t in texts:
         part.append(t)
         size += len(t or "")
-        if size >= PART_CHARS:
+        if size >= most:
             out += _identify_part(model, part)
             part, size = [], 0
     return out + _identify_part(model, part)
@@ -201,20 +206,25 @@ def _count(languages: list[str]):
     place, bits = {x: k for k, x in enumerate(languages)}, slot_bits(len(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, scripts = {}, np.zeros((len(languages), len(_NAMES)), np.int64)
+        table = np.zeros(1 << bits, np.int64)  # of one language at a time
         for batch in batches:
+            texts: dict[str, list] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if words := words_of(text):
+                texts.setdefault(lang, []).append(text)
+            k, slot, n = [], [], []
+            for lang, own in texts.items():
+                scripts = np.zeros(len(_NAMES), np.int64)
+                for words in filter(None, map(words_of, own)):
                     slots, _, script = _grams(words, bits)
-                    k = place[lang]
-                    grams.setdefault(k, np.zeros(1 << bits, np.int64))
-                    np.add.at(grams[k], slots, 1)
-                    scripts[k] += np.bincount(script, minlength=len(_NAMES))
-        for k, x in grams.items():
-            at = np.flatnonzero(x)
-            own = np.flatnonzero(scripts[k])
-            slot, n = np.concatenate([at, -1 - own]), np.concatenate([x[at], scripts[k][own]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), k), pa.int32()), pa.array(slot, pa.int32()), pa.array(n, pa.int64())], ["k", "slot", "n"])
+                    np.add.at(table, slots, 1)
+                    scripts += np.bincount(script, minlength=len(_NAMES))
+                used, used_scripts = np.flatnonzero(table), np.flatnonzero(scripts)
+                slot += [used, -1 - used_scripts]  # scripts below zero
+                n += [table[used], scripts[used_scripts]]
+                k.append(np.full(len(used) + len(used_scripts), place[lang]))
+                table[used] = 0
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k), pa.int32()), pa.array(np.concatenate(slot), pa.int32()), pa.array(np.concatenate(n), pa.int64())], ["k", "slot", "n"])
 
     return run
 
@@ -224,24 +234,23 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((1 << SLOT_BITS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
+        return Model([], np.zeros((1 << SLOT_BITS, 0), np.float16), np.zeros((len(_NAMES), 0), bool))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    keep = F.lit(False)
-    for x in languages:
-        keep = keep | ((F.col("lang") == x) & (draw < int(min(1.0, train_docs / sizes[x]) * (1 << 20))))
+    bound = F.create_map([x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, train_docs / sizes[lang]) * (1 << 20))))])
+    keep = draw < F.element_at(bound, F.col("lang"))
     counts = rows.where(keep).select("text", "lang").mapInArrow(tidy(_count(languages)), "k int, slot int, n long")
     counts = counts.groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most the table's size
     k, slot, n = (counts.column(x).to_numpy() for x in ("k", "slot", "n"))
-    grams, scripts = np.zeros((1 << slot_bits(len(languages)), len(languages))), np.zeros((len(_NAMES), len(languages)))
+    grams, scripts = np.zeros((1 << slot_bits(len(languages)), len(languages)), np.float32), np.zeros((len(_NAMES), len(languages)))
     grams[slot[slot >= 0], k[slot >= 0]] = n[slot >= 0]
     scripts[-1 - slot[slot < 0], k[slot < 0]] = n[slot < 0]
     smooth = grams + 0.5
     scores = np.log(smooth / smooth.sum(0)) / ORDERS  # overlapping n-grams repeat each other
     scores -= scores.mean(1, keepdims=True)
-    return Model(languages, scores.astype(np.float32), scripts >= 0.01 * np.maximum(scripts.sum(0), 1))
+    return Model(languages, scores.astype(np.float16), scripts >= 0.01 * np.maximum(scripts.sum(0), 1))
 
 
 _SPANS = "array<struct<lang:string,first:long,words:long>>"
@@ -269,14 +278,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return plain.mapInArrow(tidy(run), f"doc_id long, lang_pred string, score double, spans {_SPANS}")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """``docs`` with all columns, without documents that are ``und`` or whose language holds under ``least`` of the letters."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all columns, without documents that are ``und``: null texts and texts without a letter. Documents of
+    several languages stay. If nothing could be learnt, texts with letters stay too."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = identify_texts(shared.value, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            if shared.value.languages:
+                known = [lang != "und" for lang, _, _ in identify_texts(shared.value, texts)]
+            else:
+                known = [bool(words_of(t)) for t in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
