@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as c
 from martlake.llm import chunked, language, queries
+from martlake.llm.common import staged
 
 
 def corpus(spark, folder):
@@ -32,7 +33,7 @@ def test_pipeline(spark, tmp_path):
     gone = [{202, 203}, {200, 201}, {204}, set()]
     for (_, stage), lost in zip(c.STAGES[:-1], gone):
         columns = docs.columns
-        docs = c.staged(stage(spark, docs, str(tmp_path)), "stage")
+        docs = staged(stage(spark, docs, str(tmp_path)), "stage")
         ids -= lost
         assert docs.columns == columns and {r.doc_id for r in docs.collect()} == ids
     assert docs.count() == len(ids)
