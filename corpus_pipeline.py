@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from martlake.llm import bpe, decontamination, language, pii, simhash
-from martlake.llm.common import staged
+from martlake.llm.common import release, settled
 from martlake.llm.queries import table, tokenizer
 
 
@@ -33,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.key_of(spark))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; the result of each is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to the documents; the result of each is written and read again, and deleted once the next is."""
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        release(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
