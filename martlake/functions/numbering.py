@@ -12,11 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a local one only where one machine is all there is."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or "file://" + tempfile.mkdtemp(prefix="martlake-")).rstrip("/")
+
+
 def fixed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the session names (a local one only where it names none)."""
+    """``df`` written to the checkpoint folder."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="martlake-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 
@@ -49,6 +57,6 @@ def percent_rank(df: DataFrame, name: str, value: str, descending: bool = False)
     """``df`` with SQL's percent_rank of a column over all rows: ties share the rank of their first."""
     order = F.desc(value) if descending else F.asc(value)
     whole = _with_total(with_row_number(df, "__n", order))
-    first = Window.partitionBy(value)
-    rank = F.min("__n").over(first)
-    return whole.withColumn(name, F.when(F.col("__total") > 1, (rank - 1) / (F.col("__total") - 1)).otherwise(0.0)).drop("__n", "__total")
+    first = whole.groupBy(F.col(value).alias("__value")).agg(F.min("__n").alias("__first"))  # ties meet as partial minima only
+    rank = F.when(F.col("__total") > 1, (F.col("__first") - 1) / (F.col("__total") - 1)).otherwise(0.0)
+    return whole.join(first, F.col(value).eqNullSafe(F.col("__value"))).withColumn(name, rank).drop("__n", "__total", "__value", "__first")

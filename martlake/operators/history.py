@@ -45,23 +45,30 @@ def apply_history(history: DataFrame, source: DataFrame, key: str, effective: st
     """The history after a batch of versions.
 
     A version that isn't newer than the key's current one is ignored, so a second run changes nothing. With
-    ``keep_late`` it's put in its place instead, as a replay of everything would. Only keys of the batch are rebuilt.
+    ``keep_late`` it's put in its place instead, as a replay of everything would. Only keys of the batch are rebuilt;
+    closed versions pass through otherwise. History and batch are read once and dealt out once, by the key; the plan of
+    many batches in a row grows by a constant for each.
     """
     own = _attributes(source, key, effective, attributes)
-    batch = latest(source.where(F.col(key).isNotNull() & F.col(effective).isNotNull()), [key, effective], effective)
-    batch = batch.select(key, *own, F.col(effective).alias("valid_from"))
-    touched = batch.select(key).distinct()
+    batch = source.where(F.col(key).isNotNull() & F.col(effective).isNotNull()).select(key, *own, F.col(effective).alias("valid_from"))
+    both = history.select(key, *own, "valid_from", "valid_to", "is_current").withColumn("__new", F.lit(False)).unionByName(batch.withColumns({"valid_to": F.lit(None).cast("timestamp"), "is_current": F.lit(False), "__new": F.lit(True)}))
+    of_key = Window.partitionBy(key)
+    known = both.withColumn("__digest", F.xxhash64(key, *own, "valid_from"))
     if keep_late:
-        old = history.join(touched, key, "left_semi").select(key, *own, "valid_from")
-        rebuilt = _intervals(latest(old.unionByName(batch), [key, "valid_from"], "valid_from"), key, own)
-        return history.join(touched, key, "left_anti").select(rebuilt.columns).unionByName(rebuilt)
-    current = history.where("is_current")
-    newer = batch.join(current.select(F.col(key), F.col("valid_from").alias("__since")), key, "left")
-    newer = newer.where(F.col("__since").isNull() | (F.col("valid_from") > F.col("__since"))).drop("__since")
-    moved = newer.select(key).distinct()
-    reopened = _intervals(current.join(moved, key, "left_semi").select(newer.columns).unionByName(newer), key, own)
-    rest = history.join(moved.withColumn("__moved", F.lit(True)), key, "left").where(~(F.col("is_current") & F.coalesce("__moved", F.lit(False)))).drop("__moved")
-    return rest.select(reopened.columns).unionByName(reopened)
+        known = known.withColumn("__live", F.max("__new").over(of_key))
+        same = Window.partitionBy(key, "__live", "valid_from").orderBy("__digest", "__new")
+    else:
+        since = F.max(F.when(F.col("is_current"), F.col("valid_from"))).over(of_key)
+        known = known.withColumn("__since", since).where(~F.col("__new") | F.col("__since").isNull() | (F.col("valid_from") > F.col("__since"))).drop("__since")
+        known = known.withColumn("__live", F.col("__new") | F.col("is_current"))
+        same = Window.partitionBy(key, "__live", "valid_from").orderBy("__digest")
+    first = known.withColumn("__n", F.row_number().over(same)).where("not __live or __n = 1").drop("__n", "__digest")
+    order = Window.partitionBy(key, "__live").orderBy("valid_from")
+    state = F.struct(*own) if own else F.struct(F.lit(0).alias("none"))
+    marked = first.withColumn("__kept", ~F.col("__live") | (F.row_number().over(order) == 1) | ~state.eqNullSafe(F.lag(state).over(order)))
+    ended = marked.where("__kept").withColumn("__next", F.lead("valid_from").over(order))
+    closed = {"valid_to": F.when(F.col("__live"), F.col("__next")).otherwise(F.col("valid_to")), "is_current": F.when(F.col("__live"), F.col("__next").isNull()).otherwise(F.col("is_current"))}
+    return ended.withColumns(closed).select(key, *own, "valid_from", "valid_to", "is_current")
 
 
 def current(history: DataFrame) -> DataFrame:

@@ -100,6 +100,54 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: The reports once more, from views of the marts or straight from the orders.
+REPORTS: dict[str, tuple[tuple[str, ...], str]] = {
+    "kpis": (("sold_", "daily_sales"), """
+        SELECT count(DISTINCT CAST(order_date AS DATE)) AS days, count(*) AS orders, sum(total_amount) AS net_revenue, sum(discount_amount) AS discounts,
+               (SELECT round(avg(average_order_value), 2) FROM daily_sales) AS average_ticket, CAST(min(order_date) AS DATE) AS first_day, CAST(max(order_date) AS DATE) AS last_day FROM sold_"""),
+    "reconciliation": (("sold_",), "SELECT s AS gold_revenue, s AS silver_revenue, 0 AS difference FROM (SELECT sum(total_amount) AS s FROM sold_)"),
+    "best_days": (("daily_sales",), "SELECT * FROM daily_sales QUALIFY rank() OVER (ORDER BY net_revenue DESC, date) <= 10"),
+    "rfm_composition": (("customer_segments",), """
+        SELECT segment, n AS customers, round(100.0 * n / (SELECT count(*) FROM customer_segments), 1) AS pct_of_base, round(a, 2) AS average_spend, s AS total_spend, round(o, 1) AS average_orders, round(r) AS average_recency
+        FROM (SELECT segment, count(customer_id) AS n, avg(total_spend) AS a, sum(total_spend) AS s, avg(orders) AS o, avg(recency_days) AS r FROM customer_segments GROUP BY ALL)"""),
+    "revenue_concentration": (("customer_lifetime_value",), """
+        SELECT band, count(*) AS customers, sum(total_spend) AS revenue, round(100.0 * sum(total_spend) / (SELECT sum(total_spend) FROM customer_lifetime_value), 1) AS pct_of_revenue
+        FROM (SELECT total_spend, rank() OVER (ORDER BY total_spend DESC, customer_id) AS r FROM customer_lifetime_value)
+        JOIN (VALUES ('01 - top 1%', 0.00, 0.01), ('02 - top 5%', 0.01, 0.05), ('03 - top 20%', 0.05, 0.20), ('04 - top 50%', 0.20, 0.50), ('05 - rest', 0.50, 1.00)) b(band, low, high)
+          ON r > low * (SELECT count(*) FROM customer_lifetime_value) AND r <= high * (SELECT count(*) FROM customer_lifetime_value) GROUP BY band"""),
+    "value_by_country": (("customer_lifetime_value",), "SELECT country, count(*) AS customers, sum(lifetime_value) AS revenue, round(avg(average_order_value), 2) AS average_ticket FROM customer_lifetime_value GROUP BY country HAVING country IS NOT NULL"),
+    "at_risk_top": (("customer_segments",), "SELECT * FROM (FROM customer_segments WHERE segment = 'At Risk') QUALIFY rank() OVER (ORDER BY total_spend DESC, customer_id) <= 20"),
+    "funnel_steps": (("marketing_funnel",), """
+        SELECT step, sessions, place FROM (UNPIVOT (SELECT sum(page_views) AS a, sum(add_to_carts) AS b, sum(checkouts) AS c, sum(purchases) AS d FROM marketing_funnel) ON a, b, c, d INTO NAME k VALUE sessions)
+        JOIN (VALUES ('a', 'page views', 1), ('b', 'added to cart', 2), ('c', 'started checkout', 3), ('d', 'purchased', 4)) s(k, step, place) USING (k)"""),
+    "funnel_by_channel": (("marketing_funnel",), """
+        SELECT channel, v AS visits, p AS purchases, round(100.0 * a / nullif(v, 0), 1) AS pct_to_cart, round(100.0 * c / nullif(a, 0), 1) AS pct_to_checkout, round(100.0 * p / nullif(c, 0), 1) AS pct_paid, round(100.0 * p / nullif(v, 0), 2) AS conversion
+        FROM (SELECT channel, sum(page_views) AS v, sum(add_to_carts) AS a, sum(checkouts) AS c, sum(purchases) AS p FROM marketing_funnel GROUP BY ALL)"""),
+    "weekly_conversion": (("marketing_funnel",), """
+        SELECT week, v AS visits, p AS purchases, round(100.0 * p / nullif(v, 0), 2) AS conversion_pct
+        FROM (SELECT date - CAST(isodow(date) - 1 AS INTEGER) AS week, sum(page_views) AS v, sum(purchases) AS p FROM marketing_funnel GROUP BY 1) QUALIFY rank() OVER (ORDER BY week DESC) <= 20"""),
+    "funnel_losses": (("marketing_funnel",), """
+        SELECT v - a AS lost_before_cart, a - c AS lost_before_checkout, c - p AS lost_before_payment FROM (SELECT sum(page_views) AS v, sum(add_to_carts) AS a, sum(checkouts) AS c, sum(purchases) AS p FROM marketing_funnel)"""),
+    "top_products": (("product_performance",), "SELECT * REPLACE (round(margin_pct, 1) AS margin_pct), round(return_rate, 1) AS return_pct FROM (FROM product_performance QUALIFY rank() OVER (ORDER BY revenue DESC, product_id) <= 20)"),
+    "low_margin": (("product_performance",), "SELECT * REPLACE (round(margin_pct, 1) AS margin_pct) FROM (FROM product_performance WHERE units_sold > 0 QUALIFY rank() OVER (ORDER BY revenue DESC, margin_pct, product_id) <= 15)"),
+    "high_returns": (("product_performance",), "SELECT *, round(return_rate, 1) AS return_pct FROM (FROM product_performance WHERE units_sold >= 5 QUALIFY rank() OVER (ORDER BY return_rate DESC, product_id) <= 15)"),
+    "category_months": (("category_performance",), "SELECT *, CASE WHEN revenue <> 0 THEN round(100.0 * (revenue - cost) / revenue, 1) END AS margin_pct FROM category_performance"),
+    "category_growth": (("category_performance",), """
+        SELECT c.category, c.month, c.revenue, p.revenue AS previous_month, CASE WHEN p.revenue <> 0 THEN round(100.0 * (c.revenue - p.revenue) / p.revenue, 1) END AS growth_pct
+        FROM category_performance c ASOF LEFT JOIN category_performance p ON c.category IS NOT DISTINCT FROM p.category AND c.month > p.month"""),
+    "dashboard_kpis": (("sold_", "daily_sales"), "SELECT sum(total_amount) AS net_revenue, count(*) AS orders, (SELECT round(avg(average_order_value), 2) FROM daily_sales) AS average_ticket, count(DISTINCT customer_id) AS customers FROM sold_"),
+    "dashboard_daily": (("sold_",), "SELECT CAST(order_date AS DATE) AS date, sum(total_amount) AS net_revenue, count(*) AS orders, count(DISTINCT customer_id) AS customers FROM sold_ GROUP BY 1"),
+    "dashboard_country": (("sold_", "customers_"), "SELECT c.country, sum(s.total_amount) AS revenue, count(DISTINCT s.customer_id) AS customers FROM sold_ s JOIN customers_ c ON c.customer_id = s.customer_id AND c.valid_to IS NULL AND c.country IS NOT NULL GROUP BY 1"),
+    "dashboard_segments": (("customer_segments",), "SELECT DISTINCT segment, count(*) OVER w AS customers, sum(total_spend) OVER w AS revenue FROM customer_segments WINDOW w AS (PARTITION BY segment)"),
+    "dashboard_products": (("product_performance",), "SELECT * REPLACE (round(margin_pct, 1) AS margin_pct), round(return_rate, 1) AS return_pct FROM product_performance QUALIFY rank() OVER (ORDER BY revenue DESC, product_id) <= 20"),
+    "dashboard_funnel": (("marketing_funnel",), "SELECT channel, sum(page_views) AS visits, sum(add_to_carts) AS added, sum(checkouts) AS checkouts, sum(purchases) AS purchases, CASE WHEN sum(page_views) > 0 THEN round(100.0 * sum(purchases) / sum(page_views), 2) END AS conversion_pct FROM marketing_funnel GROUP BY ALL"),
+    "bench_daily_total": (("sold_",), "SELECT sum(total_amount) AS revenue, count(DISTINCT CAST(order_date AS DATE)) AS days FROM sold_"),
+    "bench_daily_window": (("sold_",), "SELECT sum(total_amount) AS revenue FROM sold_ WHERE strftime(order_date, '%Y-%m') IN ('1997-06', '1997-07', '1997-08')"),
+    "bench_orders_range": (("orders_",), "SELECT count(*) AS orders, sum(total_amount) AS amount FROM orders_ WHERE strftime(order_date, '%Y-%m') IN ('1997-06', '1997-07', '1997-08')"),
+    "bench_event_sessions": (("events_",), "SELECT event_type, count(session_id) AS sessions FROM (SELECT DISTINCT event_type, session_id FROM events_) GROUP BY 1"),
+}
+
+
 def with_views(names: tuple[str, ...], select: str) -> str:
     """The statement with the views it needs before it."""
     order: list[str] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlake.functions import cleaning
+from martlake.functions.numbering import shared_root
 from martlake.operators import churn, history, marts, quality
 from martlake.operators.upsert import replace_where, retract, update_where, upsert
 from martlake.plans import adapters as a
 from martlake.plans import reports
+from martlake.plans import oracles
 from martlake.plans.oracles import with_views
-from martlake.sources.contracts import contract
+from martlake.sources import synth
+from martlake.sources.contracts import contract, history_schema
 from martlake.sources.store import Store, version_diff
 from martlake.streaming.ingest import ingest
 
@@ -109,14 +112,13 @@ def _mart(name: str):
 def _report(name: str):
     def build(spark: SparkSession, sf: str) -> DataFrame:
         made = _marts(spark, sf)
-        return reports.run(spark, name, {v: made[v]() for v in reports.REPORTS[name][0]})
+        return reports.run(spark, name, {v: made[v]() for v in reports.REPORTS[name].needs})
 
     return build
 
 
 def _store(spark: SparkSession) -> Store:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="martlake-")
-    return Store(spark, f"{base.rstrip('/')}/store-{datetime.now().strftime('%H%M%S%f')}")
+    return Store(spark, f"{shared_root(spark)}/store-{datetime.now().strftime('%H%M%S%f')}")
 
 
 def _versioned(spark: SparkSession, sf: str):
@@ -189,6 +191,99 @@ def _churn_scores(spark: SparkSession, sf: str) -> DataFrame:
     return churn.risk_bands(churn.predict(churn.train(rows), rows))
 
 
+def _appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd orders, then even ones with a column that the table didn't have."""
+    o, t = a.orders(spark, sf).select("order_id", "status", "total_amount"), _store(spark).table("bronze", "orders")
+    odd = F.col("order_id").cast("long") % 2 == 1
+    t.append(o.where(odd).drop("total_amount"))
+    t.append(o.where(~odd), merge_schema=True)
+    return t.read()
+
+
+def _created(spark: SparkSession, sf: str) -> DataFrame:
+    """Empty tables by contract, plain and as a history, made twice."""
+    store, rows = _store(spark), []
+    for entity, schema in (("returns", contract("returns").nullable()), ("products", history_schema("products"))):
+        t = store.table("silver", entity)
+        for _ in range(2):
+            t.create(schema)
+        rows.append((entity, t.schema().simpleString(), t.read().count(), t.version()))
+    return spark.createDataFrame(rows, "entity string, columns string, rows long, version long")
+
+
+def _maintained(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers, insert, comment, compaction by a column and drop, with what each leaves."""
+    store, rows = _store(spark), []
+    store.create_layers("gold", "ops")
+    t = store.table("ops", "days")
+    t.overwrite(marts.daily_sales(a.orders(spark, sf)).select("date", "orders").repartition(5))
+    before = t.read().agg(F.sum("orders")).first()[0]
+    t.insert([(date(2030, 1, 1), 7)])
+    t.comment({"orders": "revenue orders"})
+    t.optimize("date", files=1)
+    after, d = t.read().agg(F.sum("orders")).first()[0], t.detail().first()
+    rows += [("tables", ",".join(store.tables("ops"))), ("inserted", str(after - before)), ("comment", t.schema()["orders"].metadata["comment"]), ("layout", f"{d.num_files} {','.join(d.clustering_columns)}"), ("versions", str(d.version))]
+    t.drop()
+    rows.append(("dropped", str(not t.exists())))
+    return spark.createDataFrame(rows, "step string, outcome string")
+
+
+def _pruned(change: Callable[[object, DataFrame], int]):
+    """Daily sales in files by date, after a write to a few days: the rows, and whether most files were kept."""
+
+    def build(spark: SparkSession, sf: str) -> DataFrame:
+        t, days = _store(spark).table("gold", "daily_sales"), marts.daily_sales(a.orders(spark, sf))
+        t.overwrite(days, cluster_by="date")
+        t.optimize("date", files=8)
+        change(t, days)
+        kept = json.loads(t.history().first().details)["files_kept"]
+        return t.read().withColumn("pruned", F.lit(kept >= 5))
+
+    return build
+
+
+_SPAN = "date BETWEEN DATE'1997-06-01' AND DATE'1997-06-30'"
+
+
+def _generated(spark: SparkSession, sf: str) -> DataFrame:
+    """A small batch of generated data: what landed and what its manifest says of it."""
+    root = f"{_store(spark).root}/landing"
+    made = synth.generate_batch(spark, synth.Profile("small", 100, 20, 1000, 5000), 0, root)
+    kept = synth.read_manifest(spark, root, 0)
+    rows = [(f"rows of {e}", spark.read.parquet(f"{root}/{e}/batch_000").count()) for e in ("customers", "products", "orders", "web_events")]
+    rows += [(f"anomalies: {n}", k) for n, k in kept["anomalies"].items() if n in ("duplicate_orders", "orphan_customer_id", "invalid_timestamp", "inconsistent_status")]
+    landed = spark.read.parquet(f"{root}/orders/batch_000")
+    rows += [("distinct orders", landed.select("order_id").distinct().count()), ("text columns", sum(k == "string" for _, k in landed.dtypes)), ("manifest is whole", int(kept == made and kept["rows"]["orders"] == landed.count()))]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+def _initialised(spark: SparkSession, sf: str) -> DataFrame:
+    return history.initialise(a.customer_log(spark, sf).where("updated_at < TIMESTAMP'1995-01-01'"), "updated_at")
+
+
+def _affected(spark: SparkSession, sf: str) -> DataFrame:
+    """The days that one run's raw orders may change."""
+    runs = a.orders(spark, sf).withColumn("_pipeline_run_id", F.concat(F.lit("run"), F.col("order_id").cast("long") % 2))
+    return spark.createDataFrame([marts.affected_range(runs.where(F.col("_pipeline_run_id") == "run1"))], "first date, last date")
+
+
+def _scoped_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [quality.Rule("orders", "matches", "order_id", "warn", "status = 'shipped'", {"pattern": "^[0-9]*0$"}), quality.Rule("orders", "max_value", "total_amount", "quarantine", "status <> 'shipped'", {"value": 200_000})]
+    return quality.results(spark, quality.evaluate(a.orders(spark, sf), rules)[1], "run", datetime(2026, 1, 1))
+
+
+def _last_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that the next run compares with, of two runs."""
+    rows = _outcomes(spark, sf)
+    older = rows.withColumns({"checked_at": F.col("checked_at") - F.expr("INTERVAL 1 DAY"), "rows_checked": F.lit(5).cast("long")})
+    return spark.createDataFrame(list(quality.baselines(rows.unionByName(older)).items()), "table string, rows long")
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = churn.Selection("none", None, {}, churn.evaluate(churn.baseline(_training(spark, sf))))
+    return churn.metrics_table(spark, chosen, CUTOFF, CUTOFF, datetime(2026, 1, 1))
+
+
 # The registry --------------------------------------------------------------------------------------------------------
 
 _DAILY = _kinds("date:t orders:l customers:l gross_revenue:d discounts:d net_revenue:d average_order_value:d")
@@ -237,7 +332,11 @@ QUERIES: dict[str, Query] = {
         SELECT *, concat_ws(',', CASE WHEN order_id IS NULL THEN 'order_id:not_null' END, CASE WHEN twice THEN 'order_id:unique' END, CASE WHEN customer_id IS NULL THEN 'customer_id:not_null' END,
             CASE WHEN orphan THEN 'customer_id:foreign_key' END, CASE WHEN order_date IS NULL THEN 'order_date:not_null' END,
             CASE WHEN status NOT IN ('pending', 'paid', 'shipped', 'delivered', 'cancelled', 'returned') THEN 'status:in_set' END, CASE WHEN total_amount < 0 THEN 'total_amount:min_value' END) AS errors FROM ({_DQ_SQL})"""),
-    "dq_gate": Query(_gate, _kinds("verdict:s")),
+    "dq_gate": Query(_gate, _kinds("verdict:s"), ("dq_",), "SELECT CASE WHEN count(*) > count(DISTINCT order_id) THEN 'blocked by orders.order_id:unique' ELSE 'passed' END AS verdict FROM dq_"),
+    "dq_matches_where": Query(_scoped_rules, _kinds("column:s rule:s severity:s rows_checked:l rows_failed:l passed:b"), ("orders_",), """
+        SELECT 'order_id' AS "column", 'matches' AS rule, 'warn' AS severity, count(*) AS rows_checked, count(*) FILTER (WHERE order_id NOT LIKE '%0') AS rows_failed, count(*) FILTER (WHERE order_id NOT LIKE '%0') = 0 AS passed FROM orders_ WHERE status = 'shipped'
+        UNION ALL SELECT 'total_amount', 'max_value', 'quarantine', count(*), count(*) FILTER (WHERE total_amount > 200000), count(*) FILTER (WHERE total_amount > 200000) = 0 FROM orders_ WHERE status <> 'shipped'"""),
+    "dq_baselines": Query(_last_counts, _kinds("table:s rows:l"), ("dq_",), """SELECT 'orders' AS "table", count(*) AS rows FROM dq_"""),
     # marts
     "daily_sales": Query(_mart("daily_sales"), _DAILY, ("daily_sales",), "SELECT * FROM daily_sales"),
     "daily_sales_window": Query(_window_rebuilt, _DAILY, ("daily_sales",), "SELECT * FROM daily_sales"),
@@ -254,7 +353,25 @@ QUERIES: dict[str, Query] = {
     "restore": Query(lambda s, d: _versioned(s, d).read(), _DAILY, ("daily_sales",), "SELECT * FROM daily_sales"),
     "version_diff": Query(lambda s, d: (lambda t: version_diff(t.read(0), t.read(1), "date", "net_revenue"))(_versioned(s, d)), _kinds("date:t before:d after:d"), ("daily_sales",), "SELECT date, net_revenue AS before, CAST(net_revenue * 1.15 AS DECIMAL(22,2)) AS after FROM daily_sales WHERE date >= DATE '2000-01-01' AND net_revenue <> 0"),
     "table_history": Query(lambda s, d: _versioned(s, d).history(), _kinds("version:l operation:s"), (), "SELECT * FROM (VALUES (0, 'OVERWRITE'), (1, 'UPDATE'), (2, 'RESTORE')) t(version, operation)"),
-    "table_detail": Query(lambda s, d: _versioned(s, d).detail(), _kinds("version:l num_files:l")),
+    "table_detail": Query(lambda s, d: (lambda t: (t.optimize(files=1), t.detail())[1])(_versioned(s, d)).withColumn("clustering", F.concat_ws(",", "clustering_columns")), _kinds("version:l num_files:l clustering:s"), (), "SELECT 3 AS version, 1 AS num_files, 'date' AS clustering"),
+    "append_new_columns": Query(_appended, _kinds("order_id:s status:s total_amount:d"), ("orders_",), "SELECT order_id, status, CASE WHEN CAST(order_id AS BIGINT) % 2 = 0 THEN total_amount END AS total_amount FROM orders_"),
+    "create_from_contract": Query(_created, _kinds("entity:s columns:s rows:l version:l"), (), """SELECT * FROM (VALUES
+        ('returns', 'struct<return_id:string,order_id:string,order_item_id:string,product_id:string,quantity:int,reason:string,refund_amount:decimal(12,2),return_date:timestamp>', 0, 0),
+        ('products', 'struct<product_id:string,product_name:string,category:string,subcategory:string,brand:string,price:decimal(10,2),cost:decimal(10,2),is_active:boolean,valid_from:timestamp,valid_to:timestamp,is_current:boolean>', 0, 0)) t(entity, columns, rows, version)"""),
+    "store_maintenance": Query(_maintained, _kinds("step:s outcome:s"), (), "SELECT * FROM (VALUES ('tables', 'days'), ('inserted', '7'), ('comment', 'revenue orders'), ('layout', '1 date'), ('versions', '3'), ('dropped', 'True')) t(step, outcome)"),
+    "store_replace_where": Query(_pruned(lambda t, days: t.replace_where(days.where(_SPAN).withColumn("orders", F.lit(1).cast("long")), _SPAN)), _kinds("date:t orders:l net_revenue:d pruned:b"), ("daily_sales",), "SELECT date, CASE WHEN date BETWEEN DATE '1997-06-01' AND DATE '1997-06-30' THEN 1 ELSE orders END AS orders, net_revenue, true AS pruned FROM daily_sales"),
+    "store_upsert": Query(_pruned(lambda t, days: t.upsert(days.where(_SPAN).withColumn("orders", F.col("orders") + 1000).unionByName(days.where("date = DATE'1997-07-01'").withColumn("date", F.lit(date(2040, 1, 1)))), "date", "orders")), _kinds("date:t orders:l net_revenue:d pruned:b"), ("daily_sales",), """
+        SELECT date, orders + CASE WHEN date BETWEEN DATE '1997-06-01' AND DATE '1997-06-30' THEN 1000 ELSE 0 END AS orders, net_revenue, true AS pruned FROM daily_sales
+        UNION ALL SELECT DATE '2040-01-01', orders, net_revenue, true FROM daily_sales WHERE date = DATE '1997-07-01'"""),
+    "store_delete": Query(_pruned(lambda t, days: t.delete(_SPAN)), _kinds("date:t orders:l net_revenue:d pruned:b"), ("daily_sales",), "SELECT *, true AS pruned FROM daily_sales WHERE strftime(date, '%Y-%m') <> '1997-06'"),
+    "store_delete_keys": Query(_pruned(lambda t, days: t.delete_keys(days.where(_SPAN), "date")), _kinds("date:t orders:l net_revenue:d pruned:b"), ("daily_sales",), "SELECT *, true AS pruned FROM daily_sales WHERE strftime(date, '%Y-%m') <> '1997-06'"),
+    "store_update": Query(_pruned(lambda t, days: t.update(_SPAN, {"orders": "orders * 2"})), _kinds("date:t orders:l net_revenue:d pruned:b"), ("daily_sales",), "SELECT date, CASE WHEN strftime(date, '%Y-%m') = '1997-06' THEN 2 ELSE 1 END * orders AS orders, net_revenue, true AS pruned FROM daily_sales"),
+    "contract_projection": Query(lambda s, d: cleaning.to_contract(a.returns(s, d).withColumns({"reason": F.lit("none"), "_source_file": F.lit("x")}), "returns"), _kinds("return_id:s order_id:s order_item_id:s product_id:s quantity:l reason:s refund_amount:d"), ("returns_",), "SELECT *, order_item_id AS return_id, 'none' AS reason FROM returns_"),
+    "scd2_initialise": Query(_initialised, _kinds("customer_id:s country:s city:s valid_from:u valid_to:u is_current:b"), ("customer_log_",), "SELECT *, updated_at AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, true AS is_current FROM customer_log_ WHERE updated_at = TIMESTAMP '1990-01-01'"),
+    "affected_range": Query(_affected, _kinds("first:t last:t"), ("orders_",), "SELECT CAST(min(order_date) AS DATE) - 7 AS first, CAST(max(order_date) AS DATE) AS last FROM orders_ WHERE CAST(order_id AS BIGINT) % 2 = 1"),
+    # generator
+    "generator_batch": Query(_generated, _kinds("what:s n:l"), (), """SELECT * FROM (VALUES ('rows of customers', 100), ('rows of products', 20), ('rows of orders', 1003), ('rows of web_events', 5000), ('distinct orders', 1000), ('text columns', 11), ('manifest is whole', 1),
+        ('anomalies: duplicate_orders', 3), ('anomalies: orphan_customer_id', 1), ('anomalies: invalid_timestamp', 1), ('anomalies: inconsistent_status', 20)) t(what, n)"""),
     # streaming
     "bronze_ingest": Query(_ingested, {"_batch_id": "s", "_pipeline_run_id": "s", "_rescued_data": "s", "rows": "l", "orders": "l"}, ("orders_",), """
         SELECT 'batch_00' || (CAST(order_id AS BIGINT) % 2) AS _batch_id, 'run' || (CAST(order_id AS BIGINT) % 2) AS _pipeline_run_id, '{"surprise":"x"}' AS _rescued_data, count(*) AS rows, count(DISTINCT order_id) AS orders FROM orders_ GROUP BY 1, 2"""),
@@ -268,6 +385,9 @@ QUERIES: dict[str, Query] = {
               FROM (SELECT churn_probability AS s, count(*) AS n, sum(churned) AS p FROM baseline_ GROUP BY 1))"""),
     "risk_bands": Query(lambda s, d: churn.risk_bands(churn.baseline(_training(s, d))), _kinds("customer_id:s risk_band:s"), ("baseline_",), f"SELECT customer_id, CASE WHEN r < 0.10 THEN 'alto' WHEN r < 0.30 THEN 'medio' ELSE 'bajo' END AS risk_band FROM {_RANKED}"),
     "risk_band_summary": Query(lambda s, d: churn.risk_bands(churn.baseline(_training(s, d))).groupBy("risk_band").agg(F.count(F.lit(1)).alias("customers"), F.avg("churn_probability").alias("average_probability"), F.sum("monetary").alias("monetary")), _kinds("risk_band:s customers:l average_probability:d monetary:d"), ("baseline_",), f"SELECT CASE WHEN r < 0.10 THEN 'alto' WHEN r < 0.30 THEN 'medio' ELSE 'bajo' END AS risk_band, count(*) AS customers, avg(churn_probability) AS average_probability, sum(monetary) AS monetary FROM {_RANKED} GROUP BY 1"),
+    "predictions_mart": Query(lambda s, d: churn.predictions_mart(churn.baseline(_training(s, d)), "recency", datetime(2026, 1, 1)), _kinds("customer_id:s risk_band:s model:s scored_at:u"), ("baseline_",), f"SELECT customer_id, CASE WHEN r < 0.10 THEN 'alto' WHEN r < 0.30 THEN 'medio' ELSE 'bajo' END AS risk_band, 'recency' AS model, TIMESTAMP '2026-01-01' AS scored_at FROM {_RANKED}"),
+    "churn_cutoffs": Query(lambda s, d: s.createDataFrame([churn.cutoffs(a.orders(s, d))], "training date, test date"), _kinds("training:t test:t"), ("sold_",), "SELECT m - 180 AS training, m - 90 AS test FROM (SELECT CAST(max(order_date) AS DATE) AS m FROM sold_)"),
+    "model_metrics": Query(_metrics, _kinds("model:s train_cutoff:t horizon_days:l test_rows:l positive_rate:d selected:b"), ("label_",), "SELECT 'recency_baseline' AS model, DATE '2001-02-01' AS train_cutoff, 90 AS horizon_days, count(*) AS test_rows, avg(churned) AS positive_rate, false AS selected FROM label_"),
     "churn_scores": Query(_churn_scores, _kinds("customer_id:s churned:l risk_band:s churn_probability:d")),
 }
 
@@ -301,21 +421,7 @@ _REPORT_COLUMNS = {
     "bench_orders_range": "orders:l amount:d",
     "bench_event_sessions": "event_type:s sessions:l",
 }
-#: The marts' views have the marts' names; tables that share a name with the star schema's get it by renaming.
-_RENAMED = {"orders": "orders_", "web_events": "events_"}
-
-
-def _report_sql(name: str) -> tuple[tuple[str, ...], str | None]:
-    needed, sql = reports.REPORTS[name]
-    if {"orders_raw", "quality_results"} & set(needed):
-        return (), None
-    for old, new in _RENAMED.items():
-        if old in needed:
-            sql = sql.replace(f"FROM {old}", f"FROM {new}")
-    return tuple(_RENAMED.get(v, v) for v in needed), sql
-
-
-QUERIES |= {name: Query(_report(name), _kinds(kinds), *_report_sql(name)) for name, kinds in _REPORT_COLUMNS.items()}
+QUERIES |= {name: Query(_report(name), _kinds(kinds), *oracles.REPORTS.get(name, ())) for name, kinds in _REPORT_COLUMNS.items()}
 _TRACE_ERRORS = "twice OR customer_id IS NULL OR orphan OR order_date IS NULL OR status NOT IN ('pending', 'paid', 'shipped', 'delivered', 'cancelled', 'returned') OR total_amount < 0"
 QUERIES["batch_traceability"] = Query(_report("batch_traceability"), _kinds(_REPORT_COLUMNS["batch_traceability"]), ("dq_", "customers_", "orders_"), f"SELECT (SELECT count(*) FROM dq_) AS bronze_rows, (SELECT count(DISTINCT order_id) FROM dq_) AS bronze_distinct, (SELECT count(*) FROM orders_) AS silver_valid, (SELECT count(*) FROM ({_DQ_SQL}) WHERE {_TRACE_ERRORS}) AS silver_quarantined")
 QUERIES["dashboard_quality"] = Query(_report("dashboard_quality"), _kinds(_REPORT_COLUMNS["dashboard_quality"]), QUERIES["dq_outcomes"].views, f"""SELECT 'orders' AS "table", *, round(pass_rate, 2) AS pass_pct FROM ({QUERIES['dq_outcomes'].sql}) WHERE rows_failed > 0""")

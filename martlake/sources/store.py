@@ -1,10 +1,11 @@
 """A versioned table store on Parquet: snapshots, time travel, restore, history and maintenance.
 
-A table is a folder: ``data/<id>/part-*.parquet`` and ``_versions/<n>.json``. A version lists the data folders it's made
-of, the schema, column comments, the clustering column and how it came about. A commit writes new data folders, then
+A table is a folder: ``data/<id>/part-*.parquet`` and ``_versions/<n>.json``. A version lists the data folders, or single
+files of them, that it's made of, the schema, column comments, the clustering column and how it came about. A commit writes new data folders, then
 creates the next version file, which fails if another writer was first (the data folder then stays unused). Readers
 take the highest version; nothing is changed in place, so a version can be read while the next is written, and a table
-may be rewritten from itself. Files are reached through Hadoop's file system, so the root may be in any store that Spark
+may be rewritten from itself. Upserts, deletes, updates and replaced ranges look for the files that hold affected rows
+(the clustering column's ranges let the scan skip most) and rewrite those alone. Files are reached through Hadoop's file system, so the root may be in any store that Spark
 reads; the store must create files exclusively.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,10 +117,21 @@ class Table:
 
     def read(self, version: int | None = None) -> DataFrame:
         e = self._entry(version)
-        schema = T.StructType.fromJson(e["schema"])
-        if not e["folders"]:
+        return self._frame(e["folders"], T.StructType.fromJson(e["schema"]))
+
+    def _frame(self, paths: list[str], schema: T.StructType) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in e["folders"]))
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in paths))
+
+    def _files(self, entry: dict) -> list[str]:
+        """The version's files below the table's folder."""
+        out = []
+        for f in entry["folders"]:
+            at = f"{self.path}/{f}"
+            names = [s.getPath().getName() for s in _fs(self.spark, at).listStatus(_path(self.spark, at))]
+            out += [f] if f.endswith(".parquet") else [f"{f}/{n}" for n in names if n.endswith(".parquet")]
+        return out
 
     def history(self) -> DataFrame:
         """One row for each version, the newest first."""
@@ -174,21 +186,40 @@ class Table:
         batches = [*e.get("batches", []), *([batch_id] if batch_id is not None else [])]
         return self._commit({**e, "folders": [*e["folders"], self._write(whole)], "schema": json.loads(schema.json()), "batches": batches}, "APPEND", base)
 
+    def _rewrite(self, affected: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame], operation: str, inserts: bool = False, **details) -> int:
+        """A version in which only files with affected rows are replaced, by their changed rows; the others are kept. The
+        names of affected files pass through the driver."""
+        e, base = self._base()
+        schema = T.StructType.fromJson(e["schema"])
+        found: set[str] = set()
+        if e["folders"]:
+            rows = self._frame(e["folders"], schema).withColumn("__file", F.col("_metadata.file_path"))
+            found = {"/".join(r[0].split("/")[-3:]) for r in affected(rows).select("__file").distinct().collect()}
+        files = self._files(e)
+        touched = [f for f in files if f in found]
+        kept = [f for f in files if f not in found]
+        parts = kept
+        if touched or inserts:
+            new = change(self._frame(touched, schema))
+            parts = [*kept, self._write(new.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema)), e["cluster"])]
+        return self._commit({**e, "folders": parts}, operation, base, files_kept=len(kept), files_rewritten=len(touched), **details)
+
     def replace_where(self, df: DataFrame, condition: str) -> int:
         """Replace the rows that meet a condition by those of ``df``, all of which must meet it."""
-        return self.overwrite(_upsert.replace_where(self.read(), df.select(self.read().columns), condition), "REPLACE WHERE", condition=condition)
+        own = df.select(self.schema().names)
+        return self._rewrite(lambda rows: rows.where(condition), lambda old: _upsert.replace_where(old, own, condition), "REPLACE WHERE", True, condition=condition)
 
     def upsert(self, source: DataFrame, key: str | list[str], order_by: str) -> int:
-        return self.overwrite(_upsert.upsert(self.read(), source, key, order_by), "UPSERT")
+        return self._rewrite(lambda rows: _with_keys(rows, source, key), lambda old: _upsert.upsert(old, source, key, order_by), "UPSERT", True)
 
     def delete(self, condition: str) -> int:
-        return self.overwrite(self.read().where(~F.coalesce(F.expr(condition), F.lit(False))), "DELETE", condition=condition)
+        return self._rewrite(lambda rows: rows.where(condition), lambda old: old.where(~F.coalesce(F.expr(condition), F.lit(False))), "DELETE", condition=condition)
 
     def delete_keys(self, rejected: DataFrame, key: str | list[str]) -> int:
-        return self.overwrite(_upsert.retract(self.read(), rejected, key), "DELETE")
+        return self._rewrite(lambda rows: _with_keys(rows, rejected, key), lambda old: _upsert.retract(old, rejected, key), "DELETE")
 
     def update(self, condition: str, values: dict[str, str]) -> int:
-        return self.overwrite(_upsert.update_where(self.read(), condition, values), "UPDATE", condition=condition)
+        return self._rewrite(lambda rows: rows.where(condition), lambda old: _upsert.update_where(old, condition, values), "UPDATE", condition=condition)
 
     def insert(self, rows: list[tuple]) -> int:
         return self.append(self.spark.createDataFrame(rows, self.schema()))
@@ -216,6 +247,16 @@ class Table:
         _fs(self.spark, self.path).delete(_path(self.spark, self.path), True)
 
 
+def _with_keys(rows: DataFrame, source: DataFrame, key: str | list[str]) -> DataFrame:
+    """The rows whose key the source has; null is a key like any other."""
+    keys = [key] if isinstance(key, str) else list(key)
+    wanted = source.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(wanted[f"__{k}"])
+    return rows.join(wanted, same, "left_semi")
+
+
 def version_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose value differs between two versions; keys of one side alone have no difference and are left out."""
     joined = old.select(key, F.col(value).alias("before")).join(new.select(key, F.col(value).alias("after")), key, "full_outer")

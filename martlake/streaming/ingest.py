@@ -16,6 +16,8 @@ from martlake.sources.contracts import LINEAGE, contract
 from martlake.sources.store import Store, Table
 
 RESCUED = "_rescued_data"
+#: Files that a micro-batch takes at most; their names pass through the driver.
+MAX_FILES = 10_000
 #: Fixed value: the folder of a batch.
 BATCH_PATTERN = r"/(batch_\d+)/"
 
@@ -28,7 +30,7 @@ def options(entity: str, state_path: str) -> dict[str, str]:
 
 def read_stream(spark: SparkSession, path: str, entity: str) -> DataFrame:
     """The entity's files as text columns, as they arrive."""
-    return spark.readStream.schema(contract(entity).landing()).option("recursiveFileLookup", "true").parquet(path)
+    return spark.readStream.schema(contract(entity).landing()).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", MAX_FILES).parquet(path)
 
 
 def batch_of(path: Column) -> Column:
@@ -78,7 +80,7 @@ def ingest(spark: SparkSession, landing: str, entity: str, table: Table, state_p
 
     path = f"{landing.rstrip('/')}/{entity}"
     if with_rescue:  # the stream only finds files; each batch is then read with whatever columns and types it has
-        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("__file"))
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", MAX_FILES).load(path).select(F.col("path").alias("__file"))
     else:
         files = read_stream(spark, path, entity).select("*", F.col("_metadata.file_path").alias("__file"))
     own = options(entity, state_path)

@@ -62,6 +62,17 @@ def test_join_as_of(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
 
 
+def test_batches_in_a_row_keep_the_plan_small(spark):
+    """Each batch reads the history once and deals it out once."""
+    out, sizes = h.replay(log(spark, ("1", "MX", "a", T0)), "customer_id", "updated_at"), []
+    for k in range(4):
+        out = h.apply_history(out, log(spark, ("1", f"C{k}", "a", datetime(2026, 2, k + 1))), "customer_id", "updated_at")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append((plan.count("LogicalRDD") + plan.count("LocalRelation"), plan.count("Window")))
+    assert sizes[3][0] - sizes[2][0] == sizes[1][0] - sizes[0][0] == 1 and sizes[3][1] - sizes[2][1] == sizes[1][1] - sizes[0][1]
+    assert out.count() == 5
+
+
 versions = st.lists(st.tuples(st.sampled_from("12"), st.sampled_from(["MX", "ES", None]), st.integers(1, 6)), max_size=10, unique_by=lambda v: (v[0], v[2]))
 
 

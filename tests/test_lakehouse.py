@@ -74,7 +74,7 @@ def lake(spark, landed, tmp_path_factory):
     return st.Store(spark, root), runs, root
 
 
-def test_the_run(spark, lake, landed):
+def test_the_run(spark, lake, landed, tmp_path_factory):
     store, runs, _ = lake
     assert all(r.passed for r in runs), [r.errors for r in runs]
     assert list(runs[0].status) == ["ingest_bronze", "build_silver", "quality_gate", "build_gold"]
@@ -94,7 +94,10 @@ def test_the_run(spark, lake, landed):
     assert funnel[0] > funnel[1] > funnel[2] > funnel[3]
     history = store.table("silver", "customers").read()
     assert history.where("is_current").count() == 200 and history.count() > 200
-    assert json.dumps(reports.dashboard())
+    exported, path = reports.dashboard(views), str(tmp_path_factory.mktemp("dash") / "dashboard.json")
+    assert {d["name"] for d in exported["datasets"]} >= {"kpis", "funnel", "quality"} and all(d["columns"] for d in exported["datasets"])
+    assert reports.is_stale(path, exported) and reports.export(path, exported) and not reports.export(path, exported)
+    assert reports.is_stale(path, {**exported, "title": "other"})
 
 
 def test_churn_of_the_run(spark, lake, monkeypatch):
@@ -185,6 +188,28 @@ def test_store(spark, tmp_path):
     assert not t.exists()
 
 
+def test_writes_keep_files_without_affected_rows(spark, tmp_path):
+    t = st.Store(spark, str(tmp_path)).table("gold", "n")
+    t.overwrite(spark.range(1000).selectExpr("id", "id % 7 AS v", "'x' AS s"), cluster_by="id")
+    t.optimize("id", files=5)
+    kept = lambda: json.loads(t.history().first().details)["files_kept"]
+    total = lambda: t.read().selectExpr("count(*)", "sum(v)").first()
+    before = set(t._files(t._entry()))
+    t.update("id < 10", {"v": "100"})
+    assert kept() == 4 and total()[0] == 1000 and t.read().where("v = 100").count() == 10 and len(before & set(t._files(t._entry()))) == 4
+    t.delete("id >= 990")
+    assert kept() == 4 and total()[0] == 990
+    t.delete("id > 5000")
+    assert json.loads(t.history().first().details)["files_rewritten"] == 0 and total()[0] == 990
+    t.upsert(spark.range(3, 5).selectExpr("id", "id + 500 AS v", "'y' AS s"), "id", "v")
+    assert kept() >= 4 and t.read().where("s = 'y'").count() == 2 and total()[0] == 990
+    t.upsert(spark.range(2000, 2002).selectExpr("id", "id AS v", "'z' AS s"), "id", "v")
+    assert json.loads(t.history().first().details)["files_rewritten"] == 0 and total()[0] == 992
+    t.replace_where(spark.range(4, 5).selectExpr("id", "id AS v", "'w' AS s"), "id BETWEEN 3 AND 4")
+    assert t.read().where("id BETWEEN 2 AND 5").count() == 3 and kept() >= 4
+    assert t.read(1).count() == 1000 and t.read(1).where("v = 100").count() == 0
+
+
 def test_version_diff(spark):
     a, b = (spark.createDataFrame(x, "d string, v int") for x in ([("1", 1), ("2", 2), ("3", 3)], [("1", 1), ("2", 5), ("4", 4)]))
     assert [tuple(r) for r in st.version_diff(a, b, "d", "v").collect()] == [("2", 2, 5, 3)]
