@@ -599,9 +599,9 @@ def copy_links(docs: DataFrame, rows: DataFrame, likeness: float = COPY_LIKENESS
     n = shuffle_partitions(rows.sparkSession)
     filed = distinct.mapInArrow(tidy(_file_sketches), "key long, fp long, sketch binary").repartition(n, "key").sortWithinPartitions("key")
     groups = components(filed.mapInArrow(tidy(_link_sketches(most)), "a long, b long"))
-    members = rows.where("sketch is not null").join(groups, F.col("fp") == F.col("node"))
     sketch = F.substring("sketch", 8 * COPY_TABLES + 1, COPY_BITS // 8)
-    one = members.groupBy("root", "fp", "digest").agg(F.min(F.struct("k1", "k2", sketch.alias("sketch"))).alias("k"))
+    one = rows.where("sketch is not null").groupBy("fp", "digest").agg(F.min(F.struct("k1", "k2", sketch.alias("sketch"))).alias("k"))
+    one = one.join(groups, F.col("fp") == F.col("node"))
     texts = docs.join(staged(one.select("root", "fp", "k.k1", "k.k2", "k.sketch"), "members"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     sets = texts.select("root", "fp", "sketch", "text").mapInArrow(tidy(_shingle_sets), "root long, fp long, sketch binary, shingles binary, bytes long")
     return exact_links(staged(sets, "sets"), most, likeness)
