@@ -10,6 +10,8 @@ hash (18 bits); the likeness of two is the share of equal entries among the bins
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -20,6 +22,8 @@ from martlake.llm.common import shuffle_partitions
 SHINGLE, BINS = 3, 64
 #: Ranges of ids for each shuffle partition when documents are put in order.
 RANGES = 8
+#: The bounds of the ranges are off by at most one part in this many of a range's rows.
+ACCURACY = 10
 
 
 def with_entries(df: DataFrame, text: str, name: str, shingle: int = SHINGLE) -> DataFrame:
@@ -75,19 +79,18 @@ def _ranges(docs: DataFrame, n: int) -> Column:
     """The number of the id range that a row belongs to: n ranges at most, of about as many rows each; null ids come first.
 
     The bounds are quantiles of the ids alone. They're held as two levels of about the square root of n, so that a
-    row's range takes few steps.
+    row's range takes few steps, and folded to one literal, so that the plan doesn't grow with them.
     """
-    accuracy = max(10_000, 20 * n)
-    shares = [k / n for k in range(1, n)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), accuracy).alias("q")).first() if shares else None
-    bounds = sorted(set(found.q)) if found and found.q else []
+    found = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (ACCURACY * n)) if n > 1 else []
+    bounds = sorted({int(x) for x in found})
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     fine = [bounds[k : k + step] for k in range(0, len(bounds), step)]
     below = lambda bounds: F.size(F.filter(bounds, lambda x: x <= F.col("doc_id")))
-    coarse = F.greatest(below(F.array(*(F.lit(x[0]) for x in fine))) - 1, F.lit(0))
-    table = F.array(*(F.array(*map(F.lit, x)) for x in fine))
+    table = F.from_json(F.lit(json.dumps(fine)), "array<array<bigint>>")
+    first = F.from_json(F.lit(json.dumps([x[0] for x in fine])), "array<bigint>")
+    coarse = F.greatest(below(first) - 1, F.lit(0))
     return F.when(F.col("doc_id").isNull(), 0).otherwise(coarse * step + below(F.get(table, coarse)))
 
 
