@@ -22,8 +22,6 @@ from martlake.llm.common import shuffle_partitions
 SHINGLE, BINS = 3, 64
 #: Ranges of ids for each shuffle partition when documents are put in order.
 RANGES = 8
-#: The bounds of the ranges are off by at most one part in this many of a range's rows.
-ACCURACY = 10
 
 
 def with_entries(df: DataFrame, text: str, name: str, shingle: int = SHINGLE) -> DataFrame:
@@ -81,7 +79,7 @@ def _ranges(docs: DataFrame, n: int) -> Column:
     The bounds are quantiles of the ids alone. They're held as two levels of about the square root of n, so that a
     row's range takes few steps, and folded to one literal, so that the plan doesn't grow with them.
     """
-    found = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (ACCURACY * n)) if n > 1 else []
+    found = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / max(10_000, 20 * n)) if n > 1 else []
     bounds = sorted({int(x) for x in found})
     if not bounds:
         return F.lit(0)
