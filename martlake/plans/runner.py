@@ -5,8 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def split_statements(text: str) -> list[str]:
@@ -93,3 +95,43 @@ def time_queries(spark: SparkSession, queries: Mapping[str, Callable[[], DataFra
         q().write.format("noop").mode("overwrite").save()
         out[name] = time.perf_counter() - began
     return out
+
+
+def _scans(plan):
+    """The file scans of a physical plan that has run, those below adaptive stages and in subqueries included."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from _scans(plan.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from _scans(plan.plan())
+    elif kind == "FileSourceScanExec":
+        yield plan
+    elif kind != "ReusedExchangeExec":  # that reads nothing again
+        for below in (plan.children(), plan.subqueries()):
+            for k in range(below.size()):
+                yield from _scans(below.apply(k))
+
+
+def measure_queries(spark: SparkSession, queries: Mapping[str, Callable[[], DataFrame]], phase: str, at: datetime) -> DataFrame:
+    """Run all queries in full; a row for each: phase, query, measured_at, seconds, files and bytes that were scanned.
+
+    Appended to a table, the rows are the history of measurements, which phases are compared in.
+    """
+    rows = []
+    for name, q in queries.items():
+        execution = q()._jdf.queryExecution()
+        began = time.perf_counter()
+        execution.toRdd().count()
+        seconds = time.perf_counter() - began
+        scans = [s.metrics() for s in _scans(execution.executedPlan())]
+        total = lambda m, scans=scans: sum(s.apply(m).value() for s in scans if s.contains(m))
+        rows.append((phase, name, at, seconds, total("numFiles"), total("filesSize")))
+    return spark.createDataFrame(rows, "phase string, query string, measured_at timestamp, seconds double, files_read long, bytes_read long")
+
+
+def compare_phases(measured: DataFrame, before: str, after: str) -> DataFrame:
+    """A row for each query that both phases have: the latest figures of each, and by what share they fell."""
+    last = lambda phase: measured.where(F.col("phase") == phase).groupBy("query").agg(F.max_by(F.struct("seconds", "files_read", "bytes_read"), "measured_at").alias(phase))
+    both = last(before).join(last(after), "query")
+    fell = lambda c: (1 - F.col(f"{after}.{c}") / F.nullif(F.col(f"{before}.{c}"), F.lit(0))).alias(f"{c}_saved")
+    return both.select("query", *(F.col(f"{p}.{c}").alias(f"{c}_{p}") for c in ("seconds", "files_read", "bytes_read") for p in (before, after)), *map(fell, ("seconds", "files_read", "bytes_read")))

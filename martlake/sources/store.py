@@ -1,7 +1,7 @@
 """A versioned table store on Parquet: snapshots, time travel, restore, history and maintenance.
 
 A table is a folder: ``data/<id>/part-*.parquet`` and ``_versions/<n>.json``. A version lists the data folders, or single
-files of them, that it's made of, the schema, column comments, the clustering column and how it came about. A commit writes new data folders, then
+files of them, that it's made of, the schema, column comments, the clustering columns and how it came about. A commit writes new data folders, then
 creates the next version file, which fails if another writer was first (the data folder then stays unused). Readers
 take the highest version; nothing is changed in place, so a version can be read while the next is written, and a table
 may be rewritten from itself. Upserts, deletes, updates and replaced ranges look for the files that hold affected rows
@@ -14,10 +14,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,46 @@ def _list(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
+#: Columns that a table's files are ordered by: one, or several in z-order.
+Layout = str | Sequence[str] | None
+
+
+def _names(layout: Layout) -> list[str]:
+    return [] if not layout else [layout] if isinstance(layout, str) else list(layout)
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A number that keeps a column's order: of text, its first seven bytes."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_seconds(c.cast("timestamp")).cast("double")
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(c.cast("string"), "utf-8")), 1, 14), 14, "0"), 16, 10).cast("double")
+
+
+def _reached(value: Column, bounds: list[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value))
+
+
+def z_address(df: DataFrame, names: Sequence[str], bits: int = 8) -> Column:
+    """A row's place on the z-curve over the columns: the bits of its places among each column's quantiles, interleaved.
+    Quantiles make places even whatever the values; null comes first. The bounds are one row of 2**bits numbers a column."""
+    if len(names) * bits > 62:
+        raise ValueError(f"{len(names)} columns of {bits} bits don't fit into a place on the curve")
+    shares = F.array(*(F.lit(k / (1 << bits)) for k in range(1, 1 << bits)))
+    found = df.agg(*(F.percentile_approx(_number(df, c), shares, 10_000).alias(f"q{k}") for k, c in enumerate(names))).first()
+    address = F.lit(0).cast("long")
+    for k, (c, bounds) in enumerate(zip(names, found, strict=True)):
+        if not bounds:  # nothing but nulls
+            continue
+        value = _number(df, c)
+        place = F.when(value.isNull(), 0).otherwise(_reached(value, sorted(set(bounds))))
+        for bit in range(bits):
+            address = address + F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(names) + k)
+    return address
+
+
 class Table:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -101,10 +141,14 @@ class Table:
         stream.close()
         return n
 
-    def _write(self, df: DataFrame, cluster_by: str | None = None, files: int | None = None) -> str:
-        folder = f"data/{uuid.uuid4().hex}"
-        if cluster_by:
-            df = (df.repartitionByRange(files, cluster_by) if files else df.repartitionByRange(cluster_by)).sortWithinPartitions(cluster_by)
+    def _write(self, df: DataFrame, cluster_by: Layout = None, files: int | None = None) -> str:
+        folder, names = f"data/{uuid.uuid4().hex}", _names(cluster_by)
+        if names:
+            own, order = df.columns, names[0]
+            if len(names) > 1:
+                order = max([*own, "z"], key=len) + "_"
+                df = df.withColumn(order, z_address(df, names))
+            df = (df.repartitionByRange(files, order) if files else df.repartitionByRange(order)).sortWithinPartitions(order).select(*(F.col(f"`{c}`") for c in own))
         elif files:
             df = df.coalesce(files)
         df.write.parquet(f"{self.path}/{folder}")
@@ -149,7 +193,7 @@ class Table:
             for s in _fs(self.spark, at).listStatus(_path(self.spark, at)):
                 if s.getPath().getName().endswith(".parquet"):
                     files, size = files + 1, size + s.getLen()
-        return self.spark.createDataFrame([(self.path, e["version"], files, size, [e["cluster"]] if e.get("cluster") else [])], "location string, version long, num_files long, size_bytes long, clustering_columns array<string>")
+        return self.spark.createDataFrame([(self.path, e["version"], files, size, _names(e.get("cluster")))], "location string, version long, num_files long, size_bytes long, clustering_columns array<string>")
 
     # writing
 
@@ -160,10 +204,10 @@ class Table:
     def _base(self) -> tuple[dict, int]:
         return (e := self._entry(), e["version"]) if self.exists() else ({"folders": [], "schema": None, "cluster": None}, -1)
 
-    def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", cluster_by: str | None = None, comments: Mapping[str, str] | None = None, **details) -> int:
+    def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", cluster_by: Layout = None, comments: Mapping[str, str] | None = None, **details) -> int:
         """The rows of ``df`` as the new content, with its schema. ``df`` may read this table."""
         e, base = self._base()
-        cluster = cluster_by or (e["cluster"] if e["cluster"] in df.columns else None)
+        cluster = _names(cluster_by) or [c for c in _names(e["cluster"]) if c in df.columns]
         kept = {f["name"]: f["metadata"] for f in (e["schema"] or {"fields": []})["fields"]}
         fields = [T.StructField(f.name, f.dataType, True, {**kept.get(f.name, {}), **f.metadata, **({"comment": comments[f.name]} if comments and f.name in comments else {})}) for f in df.schema]
         return self._commit({"folders": [self._write(df, cluster)], "schema": json.loads(T.StructType(fields).json()), "cluster": cluster}, operation, base, **details)
@@ -229,10 +273,11 @@ class Table:
         old = self._entry(version)
         return self._commit({k: old[k] for k in ("folders", "schema", "cluster")}, "RESTORE", self.version(), to=version)
 
-    def optimize(self, cluster_by: str | None = None, files: int | None = None, target_bytes: int = 128 << 20) -> int:
-        """Rewrite into few files, ordered by a column so that its ranges let readers skip files."""
+    def optimize(self, cluster_by: Layout = None, files: int | None = None, target_bytes: int = 128 << 20) -> int:
+        """Rewrite into few files, ordered by a column (or along a z-curve over several), so that the ranges in the files'
+        footers let readers skip them."""
         e, base = self._base()
-        cluster = cluster_by or e["cluster"]
+        cluster = _names(cluster_by) or _names(e["cluster"])
         n = files or max(1, -(-self.detail().first().size_bytes // target_bytes))
         return self._commit({**e, "folders": [self._write(self.read(), cluster, n)], "cluster": cluster}, "OPTIMIZE", base, files=n)
 

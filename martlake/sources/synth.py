@@ -45,6 +45,9 @@ IDENTIFIED = 0.28
 CYCLE = ["pending", "paid", "shipped", "delivered", "returned"]
 NEW_ORDERS, MUTATED, LATE, LATE_DAYS, MOVED, REPRICED, PRICE_FROM, PRICE_TO = 0.02, 0.03, 0.10, 5, 0.02, 0.03, 0.85, 1.25
 BAD_TIMES = ["", "N/A", "not-a-date", "0000-00-00 00:00:00", "2026-13-45 99:99:99"]
+CUSTOMER_SPREAD, PRODUCT_SPREAD = 1.1, 1.3
+#: Rows of a landed file at most.
+CHUNK_ORDERS, CHUNK_EVENTS = 250_000, 2_000_000
 MEAN_STEPS = sum(k * p for k, p in DEPTH.items())
 
 
@@ -98,6 +101,19 @@ class Draws:
     def uniform(self, stream: str, *ids: Column) -> Column:
         return F.shiftrightunsigned(self.bits(stream, *ids), 11) / F.lit(float(1 << 53))
 
+    def normal(self, stream: str, *ids: Column) -> Column:
+        """Standard normal numbers, from two uniform ones each."""
+        radius = F.sqrt(-2 * F.log(F.greatest(self.uniform(f"{stream}_a", *ids), F.lit(1e-12))))
+        return radius * F.cos(2 * 3.141592653589793 * self.uniform(f"{stream}_b", *ids))
+
+    def popular(self, n: int, spread: float, stream: str, *ids: Column) -> Column:
+        """Numbers below ``n``, each drawn in proportion to a lognormal weight; small numbers have the large weights.
+
+        If weights are exp(spread * z) for normal z, what is drawn in proportion to them has z + spread for z. So its
+        place among the weights is a value of the normal distribution function, and no table of sums is needed."""
+        place = _below(self.normal(stream, *ids) - F.lit(spread))
+        return F.least(F.floor(n * place), F.lit(max(n - 1, 0)))
+
     def integer(self, low: int, high: int, stream: str, *ids: Column) -> Column:
         """From low to high, both included."""
         return (F.floor(self.uniform(stream, *ids) * (high - low + 1)) + low).cast("int")
@@ -108,6 +124,16 @@ class Draws:
         return F.element_at(F.array(*map(F.lit, weights)), passed + 1)
 
 
+def _below(x: Column) -> Column:
+    """The normal distribution function, to seven digits (Hastings' polynomial)."""
+    t = 1 / (1 + 0.2316419 * F.abs(x))
+    sum_ = F.lit(0.0)
+    for c in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+        sum_ = (sum_ + F.lit(c)) * t
+    tail = F.exp(-x * x / 2) * 0.3989422804014327 * sum_
+    return F.when(x < 0, tail).otherwise(1 - tail)
+
+
 def _id(prefix: str, n: Column, width: int = 8) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.lpad(n.cast("string"), width, "0"))
 
@@ -153,8 +179,7 @@ def customers(spark: SparkSession, p: Profile, d: Draws, batch: int) -> DataFram
 
 def _price_cents(d: Draws, i: Column) -> Column:
     """A lognormal price from 5 to 2000."""
-    normal = F.sqrt(-2 * F.log(F.greatest(d.uniform("price_a", i), F.lit(1e-12)))) * F.cos(2 * 3.141592653589793 * d.uniform("price_b", i))
-    return F.round(100 * F.least(F.greatest(F.exp(3.8 + 0.9 * normal), F.lit(5.0)), F.lit(2000.0))).cast("long")
+    return F.round(100 * F.least(F.greatest(F.exp(3.8 + 0.9 * d.normal("price", i)), F.lit(5.0)), F.lit(2000.0))).cast("long")
 
 
 def products(spark: SparkSession, p: Profile, d: Draws, batch: int) -> DataFrame:
@@ -198,17 +223,17 @@ def _order_base(rows: DataFrame, p: Profile, d: Draws) -> DataFrame:
     return rows.select(
         "id",
         born.alias("born"),
-        F.floor(p.customers * F.pow(d.uniform("customer", i), 1.8)).alias("customer"),
+        d.popular(p.customers, CUSTOMER_SPREAD, "customer", i).alias("customer"),
         _time(day, d.integer(0, 86_399, "second", i)).alias("order_date"),
         F.when(born == 0, d.pick(STATUSES, "status", i)).otherwise(d.pick({"pending": 0.5, "paid": 0.5}, "status", i)).alias("status"),
         d.pick(METHODS, "method", i).alias("payment_method"),
-        d.pick(COUNTRIES, "country", F.floor(p.customers * F.pow(d.uniform("customer", i), 1.8))).alias("shipping_country"),
+        d.pick(COUNTRIES, "country", d.popular(p.customers, CUSTOMER_SPREAD, "customer", i)).alias("shipping_country"),
         line.alias("lines"),
     )
 
 
 def _line(p: Profile, d: Draws, i: Column, k: Column) -> Column:
-    product = F.floor(p.products * F.pow(d.uniform("product", i, k), 1.5)).cast("long")
+    product = d.popular(p.products, PRODUCT_SPREAD, "product", i, k).cast("long")
     price, units = _price_cents(d, product), d.pick(UNITS, "units", i, k)
     share = F.when(d.uniform("discounted", i, k) < DISCOUNTED, DISCOUNT_FROM + (DISCOUNT_TO - DISCOUNT_FROM) * d.uniform("discount", i, k)).otherwise(0.0)
     return F.struct(k.cast("int").alias("k"), product.alias("product"), units.cast("int").alias("units"), price.alias("price"), F.round(price * units * share).cast("long").alias("discount"))
@@ -304,10 +329,10 @@ def web_events(spark: SparkSession, p: Profile, d: Draws, batch: int) -> DataFra
     dropped = rows.select("id", "k").orderBy(F.desc("id"), F.desc("k")).limit(extra)
     rows = rows.join(dropped, ["id", "k"], "left_anti") if extra else rows
     known = d.uniform("identified", i) < IDENTIFIED
-    product = _id("PRD", F.floor(p.products * F.pow(d.uniform("seen_product", i), 1.5)), 6)
+    product = _id("PRD", d.popular(p.products, PRODUCT_SPREAD, "seen_product", i), 6)
     return rows.select(
         F.concat(_id("EVT", i, 12), F.lit("-"), k.cast("string")).alias("event_id"), F.timestamp_seconds(F.unix_timestamp("t") + (k - 1) * STEP_SECONDS).alias("event_timestamp"), _id("SES", i, 12).alias("session_id"),
-        F.when(known, _id("CUS", F.floor(p.customers * F.pow(d.uniform("visitor", i), 1.8)))).alias("customer_id"), F.element_at(F.array(*map(F.lit, STEPS)), k).alias("event_type"), F.when(k > 1, product).alias("product_id"),
+        F.when(known, _id("CUS", d.popular(p.customers, CUSTOMER_SPREAD, "visitor", i))).alias("customer_id"), F.element_at(F.array(*map(F.lit, STEPS)), k).alias("event_type"), F.when(k > 1, product).alias("product_id"),
         d.pick(DEVICES, "device", i).alias("device"), d.pick(CHANNELS, "channel", i).alias("utm_source"),
     )
 
@@ -357,17 +382,20 @@ def soil(batch: dict[str, DataFrame], d: Draws, rates: DirtRates) -> tuple[dict[
     return out, made
 
 
-def generate_batch(spark: SparkSession, scale: Profile | str, batch: int, root: str, seed: int = 42, dirt: DirtRates | None = None) -> dict:
+def generate_batch(spark: SparkSession, scale: Profile | str, batch: int, root: str, seed: int = 42, dirt: DirtRates | None = None, chunk_orders: int = CHUNK_ORDERS, chunk_events: int = CHUNK_EVENTS) -> dict:
     """Write the batch below ``root/<entity>/batch_NNN`` and its manifest at ``root/_manifests/batch_NNN``; the manifest.
 
-    The result is a function of (seed, profile, batch, rates)."""
+    The result is a function of (seed, profile, batch, rates). A file holds ``chunk_orders`` rows at most (of web
+    events ``chunk_events``): then the writer begins the next."""
+    if min(chunk_orders, chunk_events) < 1:
+        raise ValueError("a file holds at least one row")
     p = profile(scale) if isinstance(scale, str) else scale
     d, rates = Draws(seed), dirt if dirt is not None else DirtRates()
     rows, made = soil({e: as_text(df) for e, df in typed_batch(spark, p, seed, batch).items()}, d, rates)
     counts = {}
     for entity, df in rows.items():
         path = f"{root.rstrip('/')}/{entity}/batch_{batch:03d}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("maxRecordsPerFile", chunk_events if entity == "web_events" else chunk_orders).parquet(path)
         counts[entity] = spark.read.parquet(path).count()
     manifest = {"profile": asdict(p), "batch": batch, "seed": seed, "generated_for": str(_batch_day(batch)), "rates": asdict(rates), "rows": counts, "anomalies": made}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/_manifests/batch_{batch:03d}")
@@ -384,10 +412,12 @@ def main(argv: list[str] | None = None) -> dict:
     a.add_argument("--batch", type=int, default=0)
     a.add_argument("--seed", type=int, default=42)
     a.add_argument("--out", required=True)
+    a.add_argument("--chunk-orders", type=int, default=CHUNK_ORDERS, help="rows of a file at most")
+    a.add_argument("--chunk-events", type=int, default=CHUNK_EVENTS, help="web events of a file at most")
     a.add_argument("--clean", action="store_true", help="without anomalies")
     x = a.parse_args(argv)
     began = datetime.now()
-    manifest = generate_batch(SparkSession.builder.getOrCreate(), x.profile, x.batch, x.out, x.seed, DirtRates.clean() if x.clean else None)
+    manifest = generate_batch(SparkSession.builder.getOrCreate(), x.profile, x.batch, x.out, x.seed, DirtRates.clean() if x.clean else None, x.chunk_orders, x.chunk_events)
     print(json.dumps(manifest, indent=1), f"\n{datetime.now() - began}")
     return manifest
 

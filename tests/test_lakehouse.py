@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,46 @@ def test_writes_keep_files_without_affected_rows(spark, tmp_path):
     assert t.read(1).count() == 1000 and t.read(1).where("v = 100").count() == 0
 
 
+def test_z_order_over_columns(spark, tmp_path):
+    t = st.Store(spark, str(tmp_path)).table("gold", "z")
+    rows = spark.range(4096).selectExpr("id % 64 AS a", "CAST(id DIV 64 AS INT) AS b", "IF(id = 7, NULL, concat('k', lpad(CAST(id % 50 AS STRING), 2, '0'))) AS z", "DATE'2020-01-01' + CAST(id % 9 AS INT) AS d")
+    t.overwrite(rows, cluster_by="a")
+    t.optimize(["a", "b"], files=16)
+    assert list(t.detail().first().clustering_columns) == ["a", "b"] and t.read().columns == ["a", "b", "z", "d"]
+    assert t.read().exceptAll(rows).count() == 0 and t.read().count() == 4096
+    files = t.read().groupBy(F.input_file_name().alias("f")).agg(*(f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))))
+    for c in "ab":  # four of 16 tiles hold a range of either column; as bounds are sampled, a file may lie in two
+        assert 2 <= files.where(f"lo_{c} <= 3 AND hi_{c} >= 0").count() <= 8
+    t.append(rows.limit(3))
+    t.optimize(files=4)  # keeps the columns
+    assert list(t.detail().first().clustering_columns) == ["a", "b"]
+    t.optimize(["z", "d", "b"], files=4)
+    assert t.read().count() == 4099 and t.read().where("z IS NULL").count() >= 1
+    with pytest.raises(ValueError):
+        t.optimize([*"abzdabzd"])
+    t.overwrite(rows.select("b"))
+    assert list(t.detail().first().clustering_columns) == ["b"]
+
+
+def test_popularity_is_lognormal(spark):
+    d, n = synth.Draws(3), 1000
+    drawn = [r.x for r in spark.range(100_000).select(d.popular(n, 1.1, "s", F.col("id")).alias("x")).collect()]
+    assert min(drawn) == 0 and max(drawn) == n - 1
+    normal = NormalDist()
+    for share in (0.01, 0.1, 0.5, 0.9):  # the heaviest part of the weights draws what a lognormal's does
+        expected = normal.cdf(normal.inv_cdf(share) + 1.1)
+        assert sum(x < n * share for x in drawn) / len(drawn) == pytest.approx(expected, abs=0.01)
+
+
+def test_chunks_bound_the_landed_files(spark, tmp_path):
+    synth.generate_batch(spark, SMALL, 0, str(tmp_path), chunk_orders=100, chunk_events=500)
+    for entity, most in (("orders", 100), ("web_events", 500)):
+        sizes = [r[1] for r in spark.read.parquet(f"{tmp_path}/{entity}/batch_000").groupBy(F.input_file_name()).count().collect()]
+        assert max(sizes) <= most < sum(sizes)
+    with pytest.raises(ValueError):
+        synth.generate_batch(spark, SMALL, 0, str(tmp_path), chunk_orders=0)
+
+
 def test_version_diff(spark):
     a, b = (spark.createDataFrame(x, "d string, v int") for x in ([("1", 1), ("2", 2), ("3", 3)], [("1", 1), ("2", 5), ("4", 4)]))
     assert [tuple(r) for r in st.version_diff(a, b, "d", "v").collect()] == [("2", 2, 5, 3)]
@@ -229,3 +270,18 @@ def test_runner(spark, capsys):
         with pytest.raises(ValueError):
             runner.in_order(bad)
     assert runner.time_queries(spark, {"q": lambda: spark.range(3)})["q"] > 0
+
+
+def test_measured_queries(spark, tmp_path):
+    t = st.Store(spark, str(tmp_path)).table("ops", "measured")
+    paths = {n: str(tmp_path / n) for n in ("many", "few")}
+    spark.range(1000).repartition(6).write.parquet(paths["many"])
+    spark.range(1000).repartition(1).write.parquet(paths["few"])
+    read = lambda n: spark.read.parquet(paths[n])
+    for k, n in enumerate(("many", "few")):
+        t.append(runner.measure_queries(spark, {"sum": lambda n=n: read(n).agg(F.sum("id")), "joined": lambda n=n: read(n).join(read(n), "id"), "none": lambda: spark.range(3)}, n, datetime(2026, 9, 1 + k)))
+    rows = {(r.phase, r.query): r for r in t.read().collect()}
+    assert rows["many", "sum"].files_read == 6 and rows["few", "sum"].files_read == 1 and rows["few", "none"].bytes_read == 0
+    assert rows["many", "joined"].files_read in (6, 12) and all(r.seconds > 0 for r in rows.values())
+    both = {r.query: r for r in runner.compare_phases(t.read(), "many", "few").collect()}
+    assert both["sum"].files_read_saved == pytest.approx(5 / 6) and both["none"].files_read_saved is None and both["sum"].bytes_read_saved > 0
