@@ -130,6 +130,86 @@ def test_tables_grow_with_the_distinct_tokens(spark, monkeypatch):
     assert (m._unpack_counts(m._pack_counts(block)) == np.rint(block).astype(np.uint64)).all()
 
 
+def trained(texts, weights):
+    """Words, occurrences [class, token], and the tables' classes of counts."""
+    words = Words.of(pa.array(texts))
+    tables = np.zeros((2, m._offsets(m.TABLE_BITS)[-1]), np.float32)
+    m.add_counts(tables, words, weights.astype(np.float32))
+    return words, weights, m._levels(tables)
+
+
+def bits_of(model, words, weights):
+    """Each bit of each occurrence alone: the bit, both classes of counts, the gate."""
+    for kind, weight in enumerate(weights):
+        for t in np.flatnonzero(weight):
+            data, _, _, context = m.symbols(words.take(np.array([t])))
+            node = np.ones(len(data), np.uint32)
+            for b in range(7, -1, -1):
+                bit = (data >> b) & 1
+                found = m._inputs(model, m._of_class(context, kind), node, b, bit)
+                for _ in range(weight[t]):
+                    yield bit, *found
+                node = node << np.uint32(1) | bit
+
+
+def test_maps_and_sums_take_every_training_token(monkeypatch):
+    random.seed(4)
+    monkeypatch.setattr(m, "PRIOR", 4)
+    texts = sorted({"".join(random.choices("abc", k=random.randint(0, 6))) for _ in range(60)})
+    words, weights, counts = trained(texts, np.array([[random.choice([0, 1, 1, 2, 20]) for _ in texts] for _ in range(2)]))
+    maps, seen, n = m.learnt_maps(counts), np.zeros((2, m._N, m.EXACT, m.EXACT)), 0
+    rng = np.random.default_rng(1)
+    model = m.Model(counts, maps, rng.normal(0.3, 0.1, (m._GATES, m._N + 1)).astype(np.float32), m._first_refine())
+    cost, slope, hits = np.zeros(m._GATES), np.zeros((m._GATES, m._N + 1)), 0
+    for bit, zeros, ones, gate in bits_of(model, words, weights):
+        given, mixed = m._predict(model, zeros, ones, gate)
+        for j in range(len(bit)):
+            n, hits = n + 1, hits + int(bit[j])
+            cost[gate[j]] += math.log1p(math.exp(-mixed[j] if bit[j] else mixed[j]))
+            slope[gate[j]] += given[:, j] * (bit[j] - 1 / (1 + math.exp(-mixed[j])))
+            for k in range(m._N):
+                if max(zeros[k, j], ones[k, j]) < m.EXACT:
+                    seen[bit[j], k, zeros[k, j], ones[k, j]] += 1
+    first = 1 / (1 + np.exp(-m._first_maps()[:, : m.EXACT, : m.EXACT]))
+    p = (seen[1] + m.PRIOR * first) / (seen.sum(0) + m.PRIOR)
+    assert np.allclose(maps[:, : m.EXACT, : m.EXACT], np.log(p / (1 - p)), atol=1e-4) and seen.sum() > 4000
+    sums = m.Sums.empty()
+    for half in np.array_split(np.arange(len(words)), 2):  # however tokens are dealt out
+        m.add_bits(sums, model, words.take(half), weights[:, half])
+    assert np.allclose(sums.cost, cost, rtol=1e-5) and np.allclose(sums.slope, slope, rtol=1e-4, atol=1e-3)
+    assert sums.hits.sum() == pytest.approx(n) and sums.hits[:, 1].sum() == pytest.approx(hits)
+
+
+def test_weights_settle_at_the_optimum():
+    random.seed(5)
+    texts = sorted({"".join(random.choices("abcde", [9, 4, 2, 1, 1], k=random.randint(0, 6))) for _ in range(500)})
+    words, weights, counts = trained(texts, np.array([[random.choice([1, 2, 9]) for _ in texts]]))
+
+    def sums_of(model):
+        sums = m.Sums.empty()
+        m.add_bits(sums, m.replace(model, counts=counts), words, weights)
+        return sums
+
+    cost = lambda model: (s := sums_of(model)).cost.sum() + ((model.weights - 0.25) ** 2).sum() / 2
+    found = []
+    for start in (0.25, 0.0, 1.0):
+        model = m.Model(None, m.learnt_maps(counts), np.full((m._GATES, m._N + 1), start, np.float32), m._first_refine())
+        found.append(m.settle(model, sums_of))
+        assert cost(found[-1]) <= cost(model)
+    best = cost(found[0])
+    assert all(cost(x) == pytest.approx(best, rel=2 * m.SETTLED) for x in found)
+    rng = np.random.default_rng(3)
+    for _ in range(5):  # no other weights near cost less
+        near = found[0].weights + rng.normal(0, 0.05, found[0].weights.shape).astype(np.float32)
+        assert cost(m.replace(found[0], weights=near)) > best
+
+
+def test_scores_come_from_all_tokens_not_from_draws(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    few, many = ({r.doc_id: r.score for r in m.score_documents(docs, draws=n).collect()} for n in (1, 4000))
+    assert all(few[i] == pytest.approx(many[i], rel=5e-3) for i in few)
+
+
 def test_learning_uses_training_documents_only(spark):
     rows = corpus(80)
     docs = lambda change: spark.createDataFrame([(i, "other words" if change and is_held_out(i) else x, "zz" if change and is_held_out(i) else k) for i, x, k in rows], "doc_id long, text string, lang string")
