@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
@@ -171,3 +171,20 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The batch's texts, null as empty."""
     return pc.fill_null(batch.column(column), "")
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with row numbers from 1 in the given order: ranges of the order are numbered side by side.
+
+    Each row's place within its range is written; the ranges before are added from a table of a row for each range.
+    Rows that the order doesn't tell apart are told apart by where they were read, so they spread over ranges too.
+    """
+    tie, place = fresh(df, "__tie", "__place")
+    total = [*order, F.col(tie)]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(df.sparkSession), *total).sortWithinPartitions(*total)
+    written = staged(ranged.withColumn(place, F.monotonically_increasing_id()).drop(tie), "numbered")
+    span, row = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = written.groupBy(span.alias("__span")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__span", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return written.join(F.broadcast(starts), span == F.col("__span")).withColumn(name, F.col("__start") + row + 1).drop("__span", "__start", place)

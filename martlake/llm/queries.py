@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlake.llm import bpe, decontamination, language, language_model, order_minhash, pii, simhash, substrings, token_counts, token_files
+from martlake.llm import bpe, content_sort, decontamination, importance, language, language_model, order_minhash, pii, simhash, substrings, token_counts, token_files
 from martlake.llm.common import stage_path
 
 
@@ -70,6 +71,14 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.find_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
@@ -81,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_pii": op9_pii,
     "op10_language_model": op10_language_model,
+    "op12_content_sort": op12_content_sort,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 OP1_SQL = r"""
@@ -113,4 +124,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_substrings": OP3_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents
+), best AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM d WINDOW w AS (PARTITION BY k ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(k) AS text_sha256 FROM best
+"""
+
+# CRC-32 by half bytes: the table for four bits, from the polynomial
+_NIBBLES = ", ".join(str(reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 if c & 1 else 0), range(4), n)) for n in range(16))
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, true AS source FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark
+), w AS (SELECT r, doc_id, source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
+), f AS (SELECT r, source, array_to_string(w[k : k + n - 1], ' ') AS f, count(*) AS c FROM (SELECT r, source, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM w, (VALUES (1), (2), (3)) t(n) WHERE len(w) >= n) GROUP BY ALL
+), h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)
+), b AS (SELECT f, xor(list_reduce(list_transform(range(1, len(x) + 1), lambda i: CAST(strpos('0123456789ABCDEF', x[i + (i % 2) * 2 - 1]) - 1 AS BIGINT)),
+    lambda c, z: xor(c >> 4, [{_NIBBLES}][(xor(c, z) & 15) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS b FROM h
+), t AS (SELECT r, source, b, sum(c) AS c FROM f JOIN b USING (f) GROUP BY ALL
+), g AS (SELECT b, CAST(coalesce(sum(c) FILTER (WHERE source), 0) AS DOUBLE) AS s, CAST(coalesce(sum(c) FILTER (WHERE NOT source), 0) AS DOUBLE) AS t FROM t GROUP BY b
+), n AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM g
+), gain AS (SELECT b, floor(1000 * ln(((g.t + 1) * (n.s + 10000)) / ((g.s + 1) * (n.t + 10000)))) AS gain FROM g, n
+), weight AS (SELECT r, CAST(sum(c * gain) AS BIGINT) AS weight, CAST(sum(c) AS BIGINT) AS n FROM t JOIN gain USING (b) WHERE source GROUP BY r
+), scored AS (SELECT r, doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+    FROM w LEFT JOIN weight USING (r) WHERE source
+), ranked AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id NULLS LAST) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) FILTER (WHERE fit) * 5 // 100 FROM scored) THEN place END AS rank FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_importance_resampling": OP13_SQL, "op12_content_sort": OP12_SQL, "op1_decontamination": OP1_SQL, "op3_substrings": OP3_SQL}
