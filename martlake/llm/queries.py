@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlake.llm import bpe, content_sort, decontamination, importance, language, language_model, order_minhash, pii, simhash, substrings, token_counts, token_files
+from martlake.llm import bpe, content_sort, decontamination, hard_negatives, importance, language, language_model, order_minhash, pii, simhash, substrings, token_counts, token_files
 from martlake.llm.common import stage_path
 
 
@@ -71,6 +71,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), F.col("embedding").alias("vector")))
+
+
 def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.find_copies(table(spark, sf_dir, "documents"))
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_pii": op9_pii,
     "op10_language_model": op10_language_model,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_content_sort": op12_content_sort,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -124,6 +131,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
+OP11_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), p AS (SELECT r, o, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.r, p.o ORDER BY s.score DESC, s.vec_id NULLS LAST) QUALIFY row_number() OVER w <= 3
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents
 ), best AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM d WINDOW w AS (PARTITION BY k ORDER BY n DESC, doc_id NULLS LAST))
@@ -151,4 +169,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, true AS source FROM d
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) FILTER (WHERE fit) * 5 // 100 FROM scored) THEN place END AS rank FROM ranked
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_importance_resampling": OP13_SQL, "op12_content_sort": OP12_SQL, "op1_decontamination": OP1_SQL, "op3_substrings": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL, "op3_substrings": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op12_content_sort": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
+}
