@@ -168,6 +168,23 @@ def _ingested(spark: SparkSession, sf: str) -> DataFrame:
     return table.read().groupBy("_batch_id", "_pipeline_run_id", "_rescued_data").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("order_id").alias("orders"))
 
 
+def _evolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that land as text, typed with a column more, and wider with yet another: the first two meet in one micro-batch."""
+    store, o = _store(spark), a.orders(spark, sf)
+    n = F.col("order_id").cast("long")
+    landing, table = f"{store.root}/landing", store.table("bronze", "orders_raw")
+    text = o.select(*(F.col(c).cast("string").alias(c) for c in o.columns))
+    typed = o.withColumns({"order_id": n, "priority": (n % 5).cast("int")})
+    wider = o.withColumns({"total_amount": F.col("total_amount").cast("decimal(18,4)"), "priority": F.concat(F.lit("p"), n % 5), "channel": F.struct(F.lit("web").alias("kind"), (n % 5).alias("place"))})
+    for run, batches in enumerate(((text, typed), (wider,))):
+        for batch in batches:
+            b = (text, typed, wider).index(batch)
+            batch.where(n % 3 == b).write.parquet(f"{landing}/orders/batch_{b:03d}")
+        for _ in range(2):
+            ingest(spark, landing, "orders", table, f"{store.root}/_state", f"run{run}", evolve=True)
+    return table.read()
+
+
 def _training(spark: SparkSession, sf: str) -> DataFrame:
     return churn.training_set(a.orders(spark, sf), a.returns(spark, sf), CUTOFF)
 
@@ -375,6 +392,9 @@ QUERIES: dict[str, Query] = {
     # streaming
     "bronze_ingest": Query(_ingested, {"_batch_id": "s", "_pipeline_run_id": "s", "_rescued_data": "s", "rows": "l", "orders": "l"}, ("orders_",), """
         SELECT 'batch_00' || (CAST(order_id AS BIGINT) % 2) AS _batch_id, 'run' || (CAST(order_id AS BIGINT) % 2) AS _pipeline_run_id, '{"surprise":"x"}' AS _rescued_data, count(*) AS rows, count(DISTINCT order_id) AS orders FROM orders_ GROUP BY 1, 2"""),
+    "bronze_evolving": Query(_evolved, {**_ORDER, "priority": "s", "channel": "s", "_batch_id": "s", "_pipeline_run_id": "s", "_rescued_data": "s"}, ("orders_",), """
+        SELECT *, CASE n % 3 WHEN 1 THEN CAST(n % 5 AS VARCHAR) WHEN 2 THEN 'p' || (n % 5) END AS priority, CASE WHEN n % 3 = 2 THEN '{"kind":"web","place":' || (n % 5) || '}' END AS channel,
+            'batch_00' || (n % 3) AS _batch_id, 'run' || CASE WHEN n % 3 = 2 THEN 1 ELSE 0 END AS _pipeline_run_id, NULL AS _rescued_data FROM (SELECT *, CAST(order_id AS BIGINT) AS n FROM orders_)"""),
     # churn
     "churn_features": Query(lambda s, d: churn.features(a.orders(s, d), a.returns(s, d), CUTOFF), _FEATURES, ("features_",), "SELECT * FROM features_"),
     "churn_training_set": Query(_training, {**_FEATURES, "churned": "l"}, ("features_", "label_"), "SELECT * FROM features_ JOIN label_ USING (customer_id)"),
