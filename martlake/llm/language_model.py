@@ -17,8 +17,8 @@ before, in this document or in others, comes again (:mod:`martlake.llm.phrases`)
 more; if not, they're spelled.
 
 All that's learnt comes from all training tokens, each predicted by the counts without itself. Counts are sums, so tasks
-add them up side by side, and contexts across tokens are joined by their hashes. The byte predictors' maps follow from
-the tables of counts. Given the maps, the weights of a gate are a logistic regression, whose one optimum Newton's method
+add them up side by side, and contexts across tokens are joined by their hashes. The byte predictors' maps, those of
+large counts as well, follow from the exact sums before these are stored by classes. Given the maps, the weights of a gate are a logistic regression, whose one optimum Newton's method
 finds from sums over all tokens; the last map is learnt from the sums at the optimum. Given the class, a token's spelling depends on the token alone, so each distinct token is scored once, and shared
 beginnings of tokens once; the most frequent tokens reach the documents by broadcast and the others by a join.
 """
@@ -217,36 +217,71 @@ def _count_tables(bits: tuple[int, ...]):
     return run
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def evidence_of(counts: np.ndarray) -> np.ndarray:
+    """What followed each pair of classes of counts [bit, class of zeros, class of ones], of the counts [bit, slot] of a table.
 
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            block = _unpack_counts(r["counts"])
-            if r["block"] not in sums:
-                sums[r["block"]] = np.zeros(block.shape)
-            sums[r["block"]] += block
-    for k, x in sums.items():
-        levels = zstandard.ZstdCompressor(level=1).compress(_levels(x).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels], pa.binary())], ["block", "counts"])
-
-
-def count_tables(tokens: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
-    """Classes of the counts [bit, slot], of tokens (token, c0, c1, ...) with their occurrences, and the tables' bits: two
-    bytes for each slot. Tasks add up tables of their own; the tables are added block by block."""
+    An occurrence is predicted by its slot's counts without itself. So a slot with z zeros and o ones is z zeros that
+    came after (z - 1, o), and o ones that came after (z, o - 1), whatever the size of z and o.
+    """
+    zeros, ones = counts
+    out = np.zeros((2, LEVELS * LEVELS))
+    for bit, before, n in ((0, (zeros - 1, ones), zeros), (1, (zeros, ones - 1), ones)):
+        used = n > 0
+        pair = _levels(before[0][used]).astype(np.int64) * LEVELS + _levels(before[1][used])
+        out[bit] += np.bincount(pair, n[used], LEVELS * LEVELS)
+    return out.reshape(2, LEVELS, LEVELS)
+
+
+def _add_blocks(bits: tuple[int, ...]):
+    offsets = _offsets(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                block = _unpack_counts(r["counts"])
+                if r["block"] not in sums:
+                    sums[r["block"]] = np.zeros(block.shape)
+                sums[r["block"]] += block
+        evidence = np.zeros((_N, 2, LEVELS, LEVELS))
+        for k, x in sums.items():
+            inside = np.clip(offsets - k * BLOCK_SLOTS, 0, x.shape[1])
+            for table, (begin, end) in enumerate(zip(inside, inside[1:], strict=False)):
+                if begin < end:
+                    evidence[table] += evidence_of(x[:, begin:end])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(_levels(x).tobytes())], pa.binary())], ["block", "counts"])
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(evidence.tobytes())], pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def count_tables(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
+    """Of tokens (token, c0, c1, ...) with their occurrences: classes of the counts [bit, slot], two bytes for each slot;
+    what followed each pair of classes [context, bit, class of zeros, class of ones]; the tables' bits.
+
+    Tasks add up tables of their own; the tables are added block by block. A task's sums are 32-bit floats: of a count
+    beyond 2^24 its TASK_TOKENS additions lose 1.5 % at most, in a class of counts that's 30 % wide.
+    """
     import zstandard
 
     distinct = tokens.count()
     bits = table_bits(distinct)
     size = int(_offsets(bits)[-1])
     blocks = tokens.coalesce(max(1, -(-distinct // TASK_TOKENS))).mapInArrow(tidy(_count_tables(bits)), "block int, counts binary")
-    summed = blocks.repartition(min(shuffle_partitions(tokens.sparkSession), size // BLOCK_SLOTS + 1), "block").mapInArrow(tidy(_add_blocks), "block int, counts binary")
-    out = np.zeros((2, size), np.uint8)
+    summed = blocks.repartition(min(shuffle_partitions(tokens.sparkSession), size // BLOCK_SLOTS + 1), "block").mapInArrow(tidy(_add_blocks(bits)), "block int, counts binary")
+    out, evidence = np.zeros((2, size), np.uint8), np.zeros((_N, 2, LEVELS, LEVELS))
     for r in summed.collect():  # the tables' size
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint8).reshape(2, -1)
-        out[:, r["block"] * BLOCK_SLOTS :][:, : raw.shape[1]] = raw
-    return out, bits
+        raw = zstandard.ZstdDecompressor().decompress(r["counts"])
+        if r["block"] < 0:
+            evidence += np.frombuffer(raw).reshape(evidence.shape)
+        else:
+            levels = np.frombuffer(raw, np.uint8).reshape(2, -1)
+            out[:, r["block"] * BLOCK_SLOTS :][:, : levels.shape[1]] = levels
+    return out, evidence, bits
 
 
 # The model -----------------------------------------------------------------------------------------------------------
@@ -351,30 +386,16 @@ def _first_of_beginning(data: np.ndarray, token: np.ndarray, place: np.ndarray)
     return order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][np.argsort(order, kind="stable")]
 
 
-def learnt_maps(counts: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
-    """The maps, with what followed pairs of small counts over all training tokens.
+def learnt_maps(evidence: np.ndarray) -> np.ndarray:
+    """The maps, from what followed pairs of classes [context, bit, class of zeros, class of ones] over all training tokens."""
+    maps = _first_maps()
+    first = 1 / (1 + np.exp(-maps.astype(np.float64)))
+    return _odds((evidence[:, 1] + PRIOR * first) / (evidence.sum(1) + PRIOR)).astype(np.float32)
 
-    An occurrence is predicted by its slot's counts without itself. So a slot with z zeros and o ones is z zeros that
-    came after (z - 1, o), and o ones that came after (z, o - 1).
-    """
-    maps, offsets, seen = _first_maps(), _offsets(bits), np.zeros((2, _N, EXACT, EXACT))
-    for k in range(_N):
-        slots = np.zeros(EXACT * EXACT, np.int64)
-        for at in range(offsets[k], offsets[k + 1], BLOCK_SLOTS):
-            zeros, ones = counts[:, at : min(at + BLOCK_SLOTS, offsets[k + 1])]
-            small = (zeros < EXACT) & (ones < EXACT)
-            slots += np.bincount(zeros[small] * np.uint8(EXACT) + ones[small], minlength=len(slots))
-        slots = slots.reshape(EXACT, EXACT)
-        seen[0, k, :-1] = (slots * np.arange(EXACT)[:, None])[1:]
-        seen[1, k, :, :-1] = (slots * np.arange(EXACT))[:, 1:]
-    first = 1 / (1 + np.exp(-maps[:, :EXACT, :EXACT]))
-    maps[:, :EXACT, :EXACT] = _odds((seen[1] + PRIOR * first) / (seen.sum(0) + PRIOR))
-    return maps
-
-
-def learn(counts: np.ndarray, words: Words, draws: np.ndarray, batch: int = 256, bits: tuple[int, ...] = TABLE_BITS) -> Model:
-    """The maps, and a start of the weights: online on drawn tokens [class, token], each without its own occurrence."""
-    model = Model(counts, learnt_maps(counts, bits), np.full((_GATES, _N + 1), _FIRST_WEIGHT, np.float32), _first_refine(), bits)
+
+def learn(counts: np.ndarray, maps: np.ndarray, words: Words, draws: np.ndarray, batch: int = 256, bits: tuple[int, ...] = TABLE_BITS) -> Model:
+    """A model with these maps, and a start of the weights: online on drawn tokens [class, token], each without its own occurrence."""
+    model = Model(counts, maps, np.full((_GATES, _N + 1), _FIRST_WEIGHT, np.float32), _first_refine(), bits)
     kinds, picked = np.nonzero(draws)
     order = np.random.default_rng(10).permutation(np.repeat(np.arange(len(kinds)), draws[kinds, picked]))
     if not len(order):
@@ -545,13 +566,13 @@ def train(tokens: DataFrame, total: int, classes: int, draws: int = DRAWS) -> tu
     """
     columns = [f"c{k}" for k in range(classes)]
     known = tokens.where(_sum(columns) > 0)
-    counts, bits = count_tables(known)
+    counts, evidence, bits = count_tables(known)
     shared = tokens.sparkSession.sparkContext.broadcast(counts)  # tables of bounded size
     share = lambda c: F.pmod(F.xxhash64("token", F.lit(c)), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.select("token", *(F.floor(F.col(c) * (draws / max(total, 1)) + share(c)).cast("long").alias(c) for c in columns))
     drawn = drawn.where(_sum(columns) > 0).toArrow().sort_by("token").combine_chunks()  # about as many rows as draws at most
     token = drawn.column("token")
-    start = learn(counts, Words.of(token.chunk(0) if token.num_chunks else pa.array([], pa.string())), _counts(drawn), bits=bits)
+    start = learn(counts, learnt_maps(evidence), Words.of(token.chunk(0) if token.num_chunks else pa.array([], pa.string())), _counts(drawn), bits=bits)
 
     def sums_of(model: Model) -> Sums:
         sums = Sums.empty()

@@ -72,7 +72,7 @@ def test_probabilities_add_up():
     tables = np.zeros((2, m._offsets(m.TABLE_BITS)[-1]), np.float32)
     draws = np.stack([np.arange(len(words)) % 3 + 1, np.arange(len(words)) % 2])
     m.add_counts(tables, words, draws.astype(np.float32))
-    model = m.learn(m._levels(tables), words, draws)
+    model = m.learn(m._levels(tables), m.learnt_maps(evidence_in(tables)), words, draws)
     # all next symbols after a beginning: the chain of bits makes a distribution
     for start in ("", "a", "bab", "q"):
         ends = []
@@ -121,21 +121,28 @@ def test_tables_grow_with_the_distinct_tokens(spark, monkeypatch):
     df = spark.createDataFrame([(w, int(a), int(b)) for w, a, b in zip(words, *weights, strict=True)], "token string, c0 long, c1 long")
     for slots, bits in ((2, 22), (4096, 24)):  # the workers get the size from the driver
         monkeypatch.setattr(m, "TOKEN_SLOTS", slots)
-        counts, own = m.count_tables(df.repartition(3))
+        counts, evidence, own = m.count_tables(df.repartition(3))
         assert own[-1] == bits and counts.shape == (2, m._offsets(own)[-1])
         tables = np.zeros(counts.shape, np.float32)
         m.add_counts(tables, Words.of(pa.array(words)), weights.astype(np.float32), own)
         assert (counts == m._levels(tables)).all() and counts.max() > m.EXACT
+        assert np.allclose(evidence, evidence_in(tables, own))
     block = np.array([[0, 1, 255, 256], [3e9, 7e12, 0, 1]], np.float32)
     assert (m._unpack_counts(m._pack_counts(block)) == np.rint(block).astype(np.uint64)).all()
 
 
+def evidence_in(tables, bits=m.TABLE_BITS):
+    """What followed each pair of classes, table by table."""
+    ends = m._offsets(bits)
+    return np.stack([m.evidence_of(tables[:, a:b]) for a, b in zip(ends, ends[1:], strict=False)])
+
+
 def trained(texts, weights):
-    """Words, occurrences [class, token], and the tables' classes of counts."""
+    """Words, occurrences [class, token], and the tables' counts."""
     words = Words.of(pa.array(texts))
     tables = np.zeros((2, m._offsets(m.TABLE_BITS)[-1]), np.float32)
     m.add_counts(tables, words, weights.astype(np.float32))
-    return words, weights, m._levels(tables)
+    return words, weights, tables
 
 
 def bits_of(model, words, weights):
@@ -152,14 +159,48 @@ def bits_of(model, words, weights):
                 node = node << np.uint32(1) | bit
 
 
-def test_maps_and_sums_take_every_training_token(monkeypatch):
-    random.seed(4)
+def test_maps_are_what_was_observed(monkeypatch):
+    """Each occurrence's bits meet the exact counts of all other occurrences; maps are the frequencies by their classes,
+    those of 15, of 16 and of larger counts as well."""
+    random.seed(7)
     monkeypatch.setattr(m, "PRIOR", 4)
+    texts = sorted({"".join(random.choices("abc", k=random.randint(0, 5))) for _ in range(60)})
+    words, weights, tables = trained(texts, np.array([[random.choice([0, 1, 5, 15, 16, 17, 60]) for _ in texts] for _ in range(2)]))
+    seen, offsets = np.zeros((m._N, 2, m.LEVELS, m.LEVELS)), m._offsets(m.TABLE_BITS)
+    for kind, weight in enumerate(weights):
+        for t in np.flatnonzero(weight):
+            data, _, _, context = m.symbols(words.take(np.array([t])))
+            context, node = m._of_class(context, kind), np.ones(len(data), np.uint32)
+            for b in range(7, -1, -1):
+                bit = (data >> b) & 1
+                for k in range(m._N):
+                    slot = m.slots_of(context[k], node, m.TABLE_BITS[k]) + offsets[k]
+                    zeros, ones = tables[0][slot] - (bit == 0), tables[1][slot] - (bit == 1)
+                    np.add.at(seen[k], (bit, m._levels(zeros), m._levels(ones)), weight[t])
+                node = node << np.uint32(1) | bit
+    evidence = evidence_in(tables)
+    assert np.allclose(evidence, seen) and seen[:, :, m.EXACT - 1].sum() > 100 and seen[:, :, m.EXACT :].sum() > 1000
+    first = 1 / (1 + np.exp(-m._first_maps()))
+    p = (seen[:, 1] + 4 * first) / (seen.sum(1) + 4)
+    assert np.allclose(m.learnt_maps(evidence), np.log(p / (1 - p)), atol=1e-3)
+
+
+def test_maps_rise_evenly_over_the_last_exact_count(spark):
+    """After 15 zeros and no one a one is about as rare as after 14 and 16."""
+    rng = np.random.default_rng(3)
+    chance = rng.beta(0.05, 3, 200_000)
+    tables = np.stack([(n := rng.integers(10, 25, len(chance))) - (o := rng.binomial(n, chance)), o]).astype(np.float64)
+    one = 1 / (1 + np.exp(-m.learnt_maps(np.stack([m.evidence_of(tables)] * m._N))[0, :, 0]))
+    assert one[14] * 1.1 > one[15] > one[16] * 0.9 and one[14] < 0.02
+
+
+def test_sums_take_every_training_token():
+    random.seed(4)
     texts = sorted({"".join(random.choices("abc", k=random.randint(0, 6))) for _ in range(60)})
-    words, weights, counts = trained(texts, np.array([[random.choice([0, 1, 1, 2, 20]) for _ in texts] for _ in range(2)]))
-    maps, seen, n = m.learnt_maps(counts), np.zeros((2, m._N, m.EXACT, m.EXACT)), 0
+    words, weights, tables = trained(texts, np.array([[random.choice([0, 1, 1, 2, 20]) for _ in texts] for _ in range(2)]))
+    maps, n = m.learnt_maps(evidence_in(tables)), 0
     rng = np.random.default_rng(1)
-    model = m.Model(counts, maps, rng.normal(0.3, 0.1, (m._GATES, m._N + 1)).astype(np.float32), m._first_refine())
+    model = m.Model(m._levels(tables), maps, rng.normal(0.3, 0.1, (m._GATES, m._N + 1)).astype(np.float32), m._first_refine())
     cost, slope, hits = np.zeros(m._GATES), np.zeros((m._GATES, m._N + 1)), 0
     for bit, zeros, ones, gate in bits_of(model, words, weights):
         given, mixed = m._predict(model, zeros, ones, gate)
@@ -167,12 +208,6 @@ def test_maps_and_sums_take_every_training_token(monkeypatch):
             n, hits = n + 1, hits + int(bit[j])
             cost[gate[j]] += math.log1p(math.exp(-mixed[j] if bit[j] else mixed[j]))
             slope[gate[j]] += given[:, j] * (bit[j] - 1 / (1 + math.exp(-mixed[j])))
-            for k in range(m._N):
-                if max(zeros[k, j], ones[k, j]) < m.EXACT:
-                    seen[bit[j], k, zeros[k, j], ones[k, j]] += 1
-    first = 1 / (1 + np.exp(-m._first_maps()[:, : m.EXACT, : m.EXACT]))
-    p = (seen[1] + m.PRIOR * first) / (seen.sum(0) + m.PRIOR)
-    assert np.allclose(maps[:, : m.EXACT, : m.EXACT], np.log(p / (1 - p)), atol=1e-4) and seen.sum() > 4000
     sums = m.Sums.empty()
     for half in np.array_split(np.arange(len(words)), 2):  # however tokens are dealt out
         m.add_bits(sums, model, words.take(half), weights[:, half])
@@ -183,7 +218,8 @@ def test_maps_and_sums_take_every_training_token(monkeypatch):
 def test_weights_settle_at_the_optimum():
     random.seed(5)
     texts = sorted({"".join(random.choices("abcde", [9, 4, 2, 1, 1], k=random.randint(0, 6))) for _ in range(500)})
-    words, weights, counts = trained(texts, np.array([[random.choice([1, 2, 9]) for _ in texts]]))
+    words, weights, tables = trained(texts, np.array([[random.choice([1, 2, 9]) for _ in texts]]))
+    counts, maps = m._levels(tables), m.learnt_maps(evidence_in(tables))
 
     def sums_of(model):
         sums = m.Sums.empty()
@@ -193,7 +229,7 @@ def test_weights_settle_at_the_optimum():
     cost = lambda model: (s := sums_of(model)).cost.sum() + ((model.weights - 0.25) ** 2).sum() / 2
     found = []
     for start in (0.25, 0.0, 1.0):
-        model = m.Model(None, m.learnt_maps(counts), np.full((m._GATES, m._N + 1), start, np.float32), m._first_refine())
+        model = m.Model(None, maps, np.full((m._GATES, m._N + 1), start, np.float32), m._first_refine())
         found.append(m.settle(model, sums_of))
         assert cost(found[-1]) <= cost(model)
     best = cost(found[0])
