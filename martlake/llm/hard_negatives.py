@@ -30,8 +30,8 @@ from martlake.llm.common import bounded_batches, map_batches, shuffle_partitions
 
 #: Pivots are the means of a clustering of a bounded sample of about so many rows.
 PIVOTS, SAMPLE, ROUNDS = 32, 4096, 5
-#: Rows of a block; intervals that the index has at most, besides one for each pivot and partition.
-BLOCK_ROWS, INTERVALS = 4096, 8192
+#: Rows of a block (at most UID_STEP, by which rows are named); intervals that the index has at most, besides one for each pivot and partition.
+BLOCK_ROWS, UID_STEP, INTERVALS = 4096, 4096, 8192
 #: Queries that are scored against a block at a time, and those for which intervals are chosen at a time.
 TILE, ROUTED = 512, 256
 #: Intervals of the first round; each further round takes so many times as many.
@@ -186,7 +186,7 @@ def rows_of(index: DataFrame, shape: Shape, every: int) -> DataFrame:
         width = np.dtype(shape.dtype).itemsize * shape.dims
         for r in batch.to_pylist():
             labels = np.frombuffer(r["labels"], "<i8")
-            out += [(r["block"] * BLOCK_ROWS + k, v, int(labels[k]), r["vectors"][k * width : (k + 1) * width]) for k, v in enumerate(r["vec_ids"]) if v is not None and v % every == 0]
+            out += [(r["block"] * UID_STEP + k, v, int(labels[k]), r["vectors"][k * width : (k + 1) * width]) for k, v in enumerate(r["vec_ids"]) if v is not None and v % every == 0]
         columns = zip(*out, strict=True) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["uid", "vec_id", "label", "vector"])
 
@@ -259,20 +259,20 @@ _PACK_NAMES = ["interval", "uids", "q_labels", "q_vectors", "floors", "caps"]
 _PACK_ARROW = pa.schema([("interval", pa.int64()), *((c, pa.binary()) for c in _PACK_NAMES[1:])])
 
 
-def _best_of(pack: dict, dtype: np.dtype, exact: type, k: int, same_label: bool) -> Iterator[list[np.ndarray]]:
+def _best_of(pack: dict, dtype: np.dtype, exact: type, k: int, same_label: bool, tile: int) -> Iterator[list[np.ndarray]]:
     """uid, slot, score, column of the best rows of a block, at most ``k`` for each query of a pack and slot of the query."""
     uids, q_labels = np.frombuffer(pack["uids"], "<i8"), np.frombuffer(pack["q_labels"], "<i8")
     n, labels = len(uids), np.frombuffer(pack["labels"], "<i8")
     q, x = (np.frombuffer(pack[c], dtype).reshape(m, -1).astype(exact) for c, m in (("q_vectors", n), ("vectors", len(labels))))
     floors, caps = (np.frombuffer(pack[c], "<i8").reshape(n, -1) for c in ("floors", "caps"))
-    for at in range(0, n, TILE):
-        part = slice(at, at + TILE)
+    for at in range(0, n, tile):
+        part = slice(at, at + tile)
         scores = q[part] @ x.T
         f, c = floors[part], caps[part]
         wanted = (q_labels[part, None] == labels) == same_label
         wanted &= scores >= f.min(axis=1, keepdims=True).astype(exact)
         wanted &= scores <= c.max(axis=1, keepdims=True).astype(exact)
-        own = uids[part] - pack["block"] * BLOCK_ROWS  # a row isn't its own neighbour
+        own = uids[part] - pack["block"] * UID_STEP  # a row isn't its own neighbour
         mine = np.nonzero((own >= 0) & (own < len(labels)))[0]
         wanted[mine, own[mine]] = False
         row, column = np.nonzero(wanted)
@@ -297,8 +297,8 @@ def scan_blocks(packs: DataFrame, index: DataFrame, shape: Shape, k: int, same_l
         for i in range(batch.num_rows):
             pack = {c: batch.column(c)[i].as_py() for c in ("uids", "q_labels", "q_vectors", "floors", "caps", "labels", "vectors", "block")}
             ids = batch.column("vec_ids")[i].values
-            for uid, slot, score, column in _best_of(pack, dtype, exact, k, same_label):
-                out.append([pa.array(uid), pa.array(slot, pa.int32()), pa.array(score), ids.take(pa.array(column)), pa.array(pack["block"] * BLOCK_ROWS + column)])
+            for uid, slot, score, column in _best_of(pack, dtype, exact, k, same_label, TILE):
+                out.append([pa.array(uid), pa.array(slot, pa.int32()), pa.array(score), ids.take(pa.array(column)), pa.array(pack["block"] * UID_STEP + column)])
         columns = [pa.concat_arrays(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["uid", "slot", "score", "vec_id", "other"])
 
