@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def task_for_each_file(spark: SparkSession) -> Iterator[None]:
+    """While this holds, a small staged table is read by about as many tasks as wrote it, instead of by few that take many
+    files: for tables whose rows are few bytes but much work."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(shuffle_partitions(spark)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """Only the id, the text and named further columns, so that clashing extra columns can't interfere."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from martlake.llm import phrases
 from martlake.llm.chunked import Words, spread
-from martlake.llm.common import bounded_batches, release, shuffle_partitions, staged, tidy
+from martlake.llm.common import bounded_batches, release, shuffle_partitions, staged, task_for_each_file, tidy
 from martlake.llm.substrings import _power, hash_words, split_words
 
 #: Bits of the tables: token position, last one, two, three and four bytes, whole beginning. The last two are the least
@@ -789,9 +789,10 @@ def score_documents(docs: DataFrame, class_column: str | None = "lang", draws: i
     tokens = token_counts(plain, len(shares))
     c_all = _sum([f"c{k}" for k in classes])
     size = tokens.agg(F.coalesce(F.sum(c_all), F.lit(0)).alias("n"), F.count(F.when(c_all > 0, 1)).alias("v")).first()
-    counts, model = train(tokens, size.n, len(shares), draws)
     columns = [f"p{k}" for k in classes]
-    scored = staged(tokens.mapInArrow(tidy(_score_tokens(counts, model, len(shares))), "h long, c long, " + ", ".join(f"{x} double" for x in columns)), "scores")
+    with task_for_each_file(spark):
+        counts, model = train(tokens, size.n, len(shares), draws)
+        scored = staged(tokens.mapInArrow(tidy(_score_tokens(counts, model, len(shares))), "h long, c long, " + ", ".join(f"{x} double" for x in columns)), "scores")
     release(tokens)
 
     # the most frequent tokens, by classes of counts, as many as may be broadcast
