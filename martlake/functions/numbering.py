@@ -1,31 +1,20 @@
 """Global row numbers, ntile and percent_rank without a task that sees all rows.
 
-Spark runs a window without partitions in one task. Here rows are dealt out by ranges of the order, numbered inside
-their range, and shifted by the rows of the ranges before, of which there's a small table.
+Spark runs a window without partitions in one task. For row numbers, rows are dealt out by ranges of the order, numbered
+inside their range, and shifted by the rows of the ranges before, of which there's a small table. Where a few ranks or
+tiles are all that's wanted, :mod:`martlake.functions.order_statistics` finds them without a sort.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlake.functions.order_statistics import By, prefix_sums
+from martlake.functions.staging import fixed
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where one machine is all there is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (base or "file://" + tempfile.mkdtemp(prefix="martlake-")).rstrip("/")
-
-
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint()
+#: Pieces that the rows of scores are dealt into for each partition when they meet their ranks.
+PIECES = 16
 
 
 def with_row_number(df: DataFrame, name: str, *order: Column) -> DataFrame:
@@ -53,10 +42,27 @@ def ntile(df: DataFrame, tiles: int, name: str, *order: Column) -> DataFrame:
     return whole.withColumn(name, tile.cast("int")).drop("__n", "__total")
 
 
+def hot_values(counts: DataFrame, parts: int) -> DataFrame:
+    """value, pieces: of values with their rows ``n``, those with more than a piece's share, at most ``PIECES * parts``."""
+    share = counts.agg(F.greatest(F.lit(1), F.sum("n") / (PIECES * parts)).alias("share"))  # one row
+    return counts.crossJoin(F.broadcast(share)).where("n > share").select("value", F.ceil(F.col("n") / F.col("share")).cast("int").alias("pieces"))
+
+
 def percent_rank(df: DataFrame, name: str, value: str, descending: bool = False) -> DataFrame:
-    """``df`` with SQL's percent_rank of a column over all rows: ties share the rank of their first."""
-    order = F.desc(value) if descending else F.asc(value)
-    whole = _with_total(with_row_number(df, "__n", order))
-    first = whole.groupBy(F.col(value).alias("__value")).agg(F.min("__n").alias("__first"))  # ties meet as partial minima only
-    rank = F.when(F.col("__total") > 1, (F.col("__first") - 1) / (F.col("__total") - 1)).otherwise(0.0)
-    return whole.join(first, F.col(value).eqNullSafe(F.col("__value"))).withColumn(name, rank).drop("__n", "__total", "__value", "__first")
+    """``df`` with SQL's percent_rank of a column over all rows: ties share the rank of their first.
+
+    Rows aren't sorted: they're counted by value, ranks are prefix sums over the distinct values, and rows meet the rank
+    of their value by a join. The rows of a value with many ties are dealt into pieces, each with a copy of the rank, so
+    no task gets all of them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("__total"))  # one row
+    ranks = prefix_sums(counts, By("value", descending), ["n"]).crossJoin(F.broadcast(total))
+    rank = F.when(F.col("__total") > 1, F.col("before_n") / (F.col("__total") - 1)).otherwise(0.0)
+    hot = hot_values(counts, parts)
+    copies = ranks.join(F.broadcast(hot.withColumnRenamed("value", "__hot")), F.col("value").eqNullSafe(F.col("__hot")), "left")
+    copies = copies.select(F.col("value").alias("__value"), rank.alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("__copy"))
+    dealt = df.join(F.broadcast(hot.select(F.col("value").alias("__hot"), "pieces")), F.col(value).eqNullSafe(F.col("__hot")), "left")
+    dealt = dealt.withColumn("__piece", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("pieces")), F.lit(0)).cast("int")).drop("__hot", "pieces")
+    return dealt.join(copies, F.col(value).eqNullSafe(F.col("__value")) & (F.col("__piece") == F.col("__copy"))).drop("__value", "__copy", "__piece")

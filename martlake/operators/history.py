@@ -3,6 +3,11 @@
 A history has the entity's attributes, ``valid_from``, ``valid_to`` (null while open) and ``is_current``. It's made from
 a log of versions by one window over the key: runs of equal attributes collapse to their first version, and each kept
 version ends where the next one begins. There is no loop over versions, so cost doesn't follow their number.
+
+The time line of a key that has too many versions for a task is cut into slices (:mod:`martlake.functions.timelines`):
+each slice is scanned on its own, its first version is compared with the attributes carried in from the slice before,
+and its last kept version ends where the first kept one after the slice begins. Point-in-time joins of keys with many
+versions merge facts and versions in the order of time and carry the last version forward, across slices as well.
 """
 
 from __future__ import annotations
@@ -12,7 +17,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlake.operators.upsert import latest
+from martlake.functions import timelines
+from martlake.operators.upsert import greatest_row, latest
+
+#: Versions of a key up to which a fact may be compared with each of them.
+FEW_VERSIONS = 64
 
 
 def _attributes(df: DataFrame, key: str, effective: str, attributes: list[str] | None) -> list[str]:
@@ -31,27 +40,54 @@ def replay(log: DataFrame, key: str, effective: str, attributes: list[str] | Non
     return _intervals(log.withColumnRenamed(effective, "valid_from"), key, own)
 
 
+def _state(attributes: list[str]) -> Column:
+    return F.struct(*attributes) if attributes else F.struct(F.lit(0).alias("none"))
+
+
 def _intervals(log: DataFrame, key: str, attributes: list[str]) -> DataFrame:
+    """The intervals of a log without two versions of a key at one time."""
+    cuts = timelines.hot_cuts(log, key, "valid_from")
+    if cuts is not None:
+        return _sliced_intervals(log, key, attributes, cuts)
     order = Window.partitionBy(key).orderBy("valid_from")
-    state = F.struct(*attributes) if attributes else F.struct(F.lit(0).alias("none"))
-    before = F.lag(state).over(order)
-    marked = log.withColumn("__kept", (F.row_number().over(order) == 1) | ~state.eqNullSafe(before))
+    state = _state(attributes)
+    marked = log.withColumn("__kept", (F.row_number().over(order) == 1) | ~state.eqNullSafe(F.lag(state).over(order)))
     kept = marked.where("__kept").drop("__kept")
     closed = kept.withColumn("valid_to", F.lead("valid_from").over(order))
     return closed.withColumn("is_current", F.col("valid_to").isNull())
 
 
+def _sliced_intervals(log: DataFrame, key: str, attributes: list[str], cuts: DataFrame) -> DataFrame:
+    """As :func:`_intervals`, with the slices of hot keys side by side."""
+    names, state = log.columns, timelines.when_present(_state(attributes))
+    sliced = timelines.with_slices(log, cuts, key, "valid_from").withColumn("__state", state)
+    order = Window.partitionBy(key, "__slice").orderBy("valid_from")
+    ends = timelines.of_hot(sliced, cuts, key).groupBy(key, "__slice").agg(F.max_by("__state", "valid_from").alias("__before"))
+    before = timelines.carried(ends, cuts, key, "__before")  # a row for each slice
+    known = sliced.join(F.broadcast(before), [key, "__slice"], "left")
+    # in a slice the version before, else what the slices before ended with; the first of all has neither
+    last = F.coalesce(F.lag("__state").over(order), F.col("__before"))
+    kept = known.withColumn("__kept", last.isNull() | ~F.col("__state").eqNullSafe(last)).where("__kept")
+    starts = timelines.of_hot(kept, cuts, key).groupBy(key, "__slice").agg(F.min("valid_from").alias("__after"))
+    after = timelines.carried(starts, cuts, key, "__after", backwards=True)
+    closed = kept.join(F.broadcast(after), [key, "__slice"], "left").withColumn("valid_to", F.coalesce(F.lead("valid_from").over(order), F.col("__after")))
+    return closed.select(*names, "valid_to", F.col("valid_to").isNull().alias("is_current"))
+
+
 def apply_history(history: DataFrame, source: DataFrame, key: str, effective: str, attributes: list[str] | None = None, keep_late: bool = False) -> DataFrame:
     """The history after a batch of versions.
 
     A version that isn't newer than the key's current one is ignored, so a second run changes nothing. With
     ``keep_late`` it's put in its place instead, as a replay of everything would. Only keys of the batch are rebuilt;
     closed versions pass through otherwise. History and batch are read once and dealt out once, by the key; the plan of
-    many batches in a row grows by a constant for each.
+    many batches in a row grows by a constant for each. Where a key has too many versions for a task, what is rebuilt is
+    told apart by joins instead, and the slices of its time line are rebuilt side by side.
     """
     own = _attributes(source, key, effective, attributes)
     batch = source.where(F.col(key).isNotNull() & F.col(effective).isNotNull()).select(key, *own, F.col(effective).alias("valid_from"))
     both = history.select(key, *own, "valid_from", "valid_to", "is_current").withColumn("__new", F.lit(False)).unionByName(batch.withColumns({"valid_to": F.lit(None).cast("timestamp"), "is_current": F.lit(False), "__new": F.lit(True)}))
+    if timelines.hot_cuts(both, key, "valid_from") is not None:
+        return _apply_to_hot(history.select(key, *own, "valid_from", "valid_to", "is_current"), batch, key, own, keep_late)
     of_key = Window.partitionBy(key)
     known = both.withColumn("__digest", F.xxhash64(key, *own, "valid_from"))
     if keep_late:
@@ -71,6 +107,20 @@ def apply_history(history: DataFrame, source: DataFrame, key: str, effective: st
     return ended.withColumns(closed).select(key, *own, "valid_from", "valid_to", "is_current")
 
 
+def _apply_to_hot(history: DataFrame, batch: DataFrame, key: str, own: list[str], keep_late: bool) -> DataFrame:
+    """As :func:`apply_history`: the versions that stay as they are, and the intervals of the others."""
+    if keep_late:
+        touched = batch.select(key).distinct()
+        stay, again, new = history.join(touched, key, "left_anti"), history.join(touched, key, "left_semi"), batch
+    else:
+        since = history.where("is_current").groupBy(key).agg(F.max("valid_from").alias("__since"))
+        stay, again = history.where("not is_current"), history.where("is_current")
+        new = batch.join(since, key, "left").where("__since IS NULL OR valid_from > __since").drop("__since")
+    live = again.select(key, *own, "valid_from").withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+    first = greatest_row(live, [key, "valid_from"], [key, *own, "valid_from"], F.bitwise_not(F.xxhash64(key, *own, "valid_from")), ~F.col("__new"))
+    return stay.unionByName(_intervals(first, key, own)).select(key, *own, "valid_from", "valid_to", "is_current")
+
+
 def current(history: DataFrame) -> DataFrame:
     return history.where("is_current")
 
@@ -81,12 +131,50 @@ def as_of(history: DataFrame, moment: datetime | str | Column) -> DataFrame:
     return history.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-def join_as_of(facts: DataFrame, history: DataFrame, key: str, moment: str) -> DataFrame:
+def join_as_of(facts: DataFrame, history: DataFrame, key: str, moment: str, method: str = "join") -> DataFrame:
     """Each fact with the attributes that held for its key at its moment; none of them where no version held.
 
-    An equi-join on the key with the interval as residual: a hash or merge join, never a nested loop. Intervals of a
-    key don't overlap, so facts are never multiplied.
+    ``join``: an equi-join on the key with the interval as residual: a hash or merge join, never a nested loop; a fact
+    is compared with all versions of its key. ``stream``: facts and versions in one order of time, of which each fact
+    takes the last version before it. ``auto``: ``stream`` if some key has more than ``FEW_VERSIONS`` versions, which is
+    measured. Intervals of a key don't overlap, so facts are never multiplied.
     """
+    if method not in ("join", "stream", "auto"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "auto":
+        most = history.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        method = "stream" if most > FEW_VERSIONS else "join"
+    if method == "stream":
+        return _stream_as_of(facts, history, key, moment)
     dimension = history.select(F.col(key).alias("__key"), *(c for c in history.columns if c not in (key, "is_current")))
     held = (facts[key] == F.col("__key")) & (F.col("valid_from") <= facts[moment]) & (F.col("valid_to").isNull() | (F.col("valid_to") > facts[moment]))
     return facts.join(dimension, held, "left").drop("__key", "valid_from", "valid_to")
+
+
+def _stream_as_of(facts: DataFrame, history: DataFrame, key: str, moment: str) -> DataFrame:
+    """Facts and versions sorted as one stream, the last version carried forward.
+
+    Hot keys are cut by time, with the version at each cut carried in. Facts without key or moment find nothing; they
+    are dealt out, not gathered.
+    """
+    own = [c for c in history.columns if c not in (key, "valid_from", "valid_to", "is_current")]
+    cuts = timelines.hot_cuts(facts, key, moment)
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    version = F.struct(F.col("valid_from"), F.col("valid_to"), _state(own).alias("attributes"))
+    versions = history.where(F.col(key).isNotNull() & F.col("valid_from").isNotNull())
+    if cuts is None:
+        f, v = facts.withColumn("__slice", F.lit(0)), versions.withColumn("__slice", F.lit(0))
+    else:
+        f, v = timelines.with_slices(facts, cuts, key, moment, spread=True), timelines.with_slices(versions, cuts, key, "valid_from")
+    lost = F.col(key).isNull() | F.col(moment).isNull()
+    f = f.withColumn("__slice", F.when(lost, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(16 * parts)).cast("int")).otherwise(F.col("__slice")))
+    v = v.select(F.col(key).alias("__key"), "__slice", F.col("valid_from").cast("timestamp").alias("__time"), F.lit(0).alias("__kind"), version.alias("__version"))
+    f = f.select(F.col(key).alias("__key"), "__slice", F.col(moment).cast("timestamp").alias("__time"), F.lit(1).alias("__kind"), F.struct(*facts.columns).alias("__fact"))
+    order = Window.partitionBy("__key", "__slice").orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = f.unionByName(v, allowMissingColumns=True).withColumn("__last", F.last("__version", ignorenulls=True).over(order)).where("__kind = 1")
+    if cuts is not None:
+        ends = v.join(F.broadcast(cuts.select(F.col("__cut_key").alias("__key"))), "__key", "left_semi").groupBy("__key", "__slice").agg(F.max_by("__version", "__time").alias("__before"))
+        found = found.join(F.broadcast(timelines.carried(ends, cuts, "__key", "__before")), ["__key", "__slice"], "left").withColumn("__last", F.coalesce("__last", "__before"))
+    last = F.col("__last")
+    holds = (F.col("__slice") >= 0) & (last["valid_to"].isNull() | (last["valid_to"] > F.col("__time")))
+    return found.select("__fact.*", *(F.when(holds, last["attributes"][c]).alias(c) for c in own))

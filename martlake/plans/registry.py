@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlake.functions import cleaning
-from martlake.functions.numbering import shared_root
+from martlake.functions.staging import temporary
 from martlake.operators import churn, history, marts, quality
 from martlake.operators.upsert import replace_where, retract, update_where, upsert
 from martlake.plans import adapters as a
@@ -118,7 +118,7 @@ def _report(name: str):
 
 
 def _store(spark: SparkSession) -> Store:
-    return Store(spark, f"{shared_root(spark)}/store-{datetime.now().strftime('%H%M%S%f')}")
+    return Store(spark, temporary(spark, "store"))
 
 
 def _versioned(spark: SparkSession, sf: str):

@@ -16,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martlake.functions.numbering import with_row_number
+from martlake.functions.order_statistics import By, select_ranks, within
 from martlake.operators.marts import FUNNEL, revenue_orders
 
 #: Shares of customers, by spend from the top, that a concentration band ends with.
@@ -123,12 +123,15 @@ def rfm_composition(segments: DataFrame) -> DataFrame:
 
 @_reads("customer_lifetime_value")
 def revenue_concentration(customers: DataFrame) -> DataFrame:
-    """How much of the revenue the best customers make: places by ranges of spend, compared with shares of their number."""
-    placed = with_row_number(customers.select("customer_id", "total_spend"), "place", F.desc("total_spend"), F.col("customer_id"))
-    whole = F.broadcast(customers.agg(_rows("n"), F.sum("total_spend").alias("all")))  # one row
-    bounds = [F.when(F.col("place") <= F.col("n") * F.lit(Decimal(share)), F.lit(name)) for name, share in CONCENTRATION.items()]
-    bands = placed.crossJoin(whole).groupBy(F.coalesce(*bounds, F.lit(LAST_CONCENTRATION)).alias("band"))
-    return bands.agg(_rows("customers"), F.sum("total_spend").alias("revenue"), _pct(F.sum("total_spend"), F.first("all"), 1).alias("pct_of_revenue")).orderBy("band")
+    """How much of the revenue the best customers make: spend compared with that of the last customer of each share."""
+    order = [By("total_spend", True), By("customer_id")]
+    last = lambda n: [int(n * Decimal(share)) for share in CONCENTRATION.values()]
+    n, found = select_ranks(customers, {"spend": order}, last)
+    ends = {name: found["spend"][k] for name, k in zip(CONCENTRATION, last(n), strict=True) if k}
+    bands = customers.groupBy(within(list(ends.values()), order, list(ends), LAST_CONCENTRATION).alias("band"))
+    sums = bands.agg(_rows("customers"), F.sum("total_spend").alias("revenue"))
+    whole = F.broadcast(sums.agg(F.sum("revenue").alias("all")))  # one row
+    return sums.crossJoin(whole).select("band", "customers", "revenue", _pct(F.col("revenue"), F.col("all"), 1).alias("pct_of_revenue")).orderBy("band")
 
 
 def _by_country(customers: DataFrame, *more: Column) -> DataFrame:
