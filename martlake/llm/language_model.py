@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -273,7 +274,8 @@ def count_tables(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int,
     size = int(_offsets(bits)[-1])
     blocks = tokens.coalesce(max(1, -(-distinct // TASK_TOKENS))).mapInArrow(tidy(_count_tables(bits)), "block int, counts binary")
     summed = blocks.repartition(min(shuffle_partitions(tokens.sparkSession), size // BLOCK_SLOTS + 1), "block").mapInArrow(tidy(_add_blocks(bits)), "block int, counts binary")
-    out, evidence = np.zeros((2, size), np.uint8), np.zeros((_N, 2, LEVELS, LEVELS))
+    # both counts of a slot are neighbours in memory
+    out, evidence = np.zeros((size, 2), np.uint8).T, np.zeros((_N, 2, LEVELS, LEVELS))
     for r in summed.collect():  # the tables' size
         raw = zstandard.ZstdDecompressor().decompress(r["counts"])
         if r["block"] < 0:
@@ -295,6 +297,18 @@ class Model:
     refine: np.ndarray  # float32 [gate, bucket]: log odds of a one
     bits: tuple[int, ...] = TABLE_BITS
 
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """The classes of a slot's counts side by side, zeros + 256 * ones, so that both are one access to memory."""
+        return np.ascontiguousarray(self.counts.T).view("<u2")[:, 0]
+
+    @cached_property
+    def odds_of_pairs(self) -> np.ndarray:
+        """The maps by pairs [context, zeros + 256 * ones]."""
+        out = np.zeros((_N, 256, 256), np.float32)
+        out[:, :LEVELS, :LEVELS] = self.maps.transpose(0, 2, 1)
+        return out.reshape(_N, -1)
+
 
 def _odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
@@ -311,21 +325,24 @@ def _first_refine() -> np.ndarray:
     return np.repeat(np.linspace(-_LIMIT, _LIMIT, _BUCKETS + 1)[None], _GATES, 0).astype(np.float32)
 
 
-def _inputs(model: Model, context: np.ndarray, node: np.ndarray, b: int, without: np.ndarray | None = None):
-    """Classes of both counts for each context, and the gate. without: bits whose own occurrence is taken off."""
-    zeros, ones = np.empty((_N, len(node)), np.uint8), np.empty((_N, len(node)), np.uint8)
-    gate, offsets = np.zeros(len(node), np.int64), _offsets(model.bits)
+def _inputs(model: Model, context: np.ndarray, node: np.ndarray, b: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of both counts for each context, as zeros + 256 * ones, and the gate. without: bits whose own occurrence is
+    taken off."""
+    pairs, table, offsets = np.empty((_N, len(node)), np.uint16), model.pairs, _offsets(model.bits)
+    gate = np.zeros(len(node), np.int64)
+    if without is not None:
+        one, unit = without == 1, np.where(without == 1, 256, 1).astype(np.uint16)
     for k in range(_N):
-        slot = slots_of(context[k], node, model.bits[k]) + offsets[k]
-        zeros[k], ones[k] = model.counts[0][slot], model.counts[1][slot]
+        pair = table[offsets[k] : offsets[k + 1]][slots_of(context[k], node, model.bits[k])]
         if without is not None:
-            zeros[k] -= (without == 0) & (zeros[k] > 0) & (zeros[k] < EXACT)
-            ones[k] -= (without == 1) & (ones[k] > 0) & (ones[k] < EXACT)
+            own = np.where(one, pair >> 8, pair & 255)
+            pair -= unit * ((own > 0) & (own < EXACT))
+        pairs[k] = pair
         if k < _N - 1:
-            gate[(zeros[k] | ones[k]) > 0] = k
-    seen = zeros[-1].astype(np.int64) + ones[-1]
+            np.maximum(gate, (pair > 0) * k, out=gate)
+    seen = (pairs[-1] & 255) + (pairs[-1] >> 8)
     gate = np.where(seen > 0, _N - 1 + np.searchsorted(_SEEN, seen, "right"), gate)
-    return zeros, ones, gate * 8 + b
+    return pairs, gate * 8 + b
 
 
 def _refined(model: Model, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,13 +353,15 @@ def _refined(model: Model, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndar
     return model.refine[gate, low] * (1 - share) + model.refine[gate, low + 1] * share, low, share
 
 
-def _predict(model: Model, zeros: np.ndarray, ones: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _predict(model: Model, pairs: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and mixed log odds."""
-    given = np.empty((_N + 1, len(gate)), np.float32)
+    given, odds = np.empty((_N + 1, len(gate)), np.float32), model.odds_of_pairs
     for k in range(_N):
-        given[k] = model.maps[k][zeros[k], ones[k]]
+        np.take(odds[k], pairs[k], out=given[k])
     given[_N] = 0.3
-    mixed = np.einsum("kn,nk->n", given, model.weights[gate])
+    mixed = np.zeros(len(gate), np.float32)
+    for k in range(_N + 1):
+        mixed += given[k] * model.weights[:, k][gate]
     return given, mixed
 
 
@@ -362,8 +381,8 @@ def log_probabilities(model: Model, words: Words, classes: int = 1) -> np.ndarra
             node, bits = np.ones(len(data), np.uint32), np.zeros(len(data))
             for b in range(7, -1, -1):
                 bit = (data >> b) & 1
-                zeros, ones, gate = _inputs(model, salted, node, b)
-                _, mixed = _predict(model, zeros, ones, gate)
+                pairs, gate = _inputs(model, salted, node, b)
+                _, mixed = _predict(model, pairs, gate)
                 refined, _, _ = _refined(model, gate, mixed)
                 odds = (np.clip(mixed, -_LIMIT, _LIMIT) + refined) / 2
                 bits -= np.log1p(np.exp(np.where(bit == 1, -odds, odds)))
@@ -408,8 +427,8 @@ def learn(counts: np.ndarray, maps: np.ndarray, words: Words, draws: np.ndarray,
         context, node = _of_class(context, kinds[own][token]), np.ones(len(data), np.uint32)
         for b in range(7, -1, -1):
             bit = (data >> b) & 1
-            zeros, ones, gate = _inputs(model, context, node, b, bit)
-            given, mixed = _predict(model, zeros, ones, gate)
+            pairs, gate = _inputs(model, context, node, b, bit)
+            given, mixed = _predict(model, pairs, gate)
             error = bit - 1 / (1 + np.exp(-np.clip(mixed, -_LIMIT, _LIMIT)))
             for k in range(_N + 1):
                 slope = np.bincount(gate, error * given[k], _GATES)
@@ -452,9 +471,9 @@ def add_bits(sums: Sums, model: Model, words: Words, weights: np.ndarray) -> Non
         node = np.ones(len(data), np.uint32)
         for b in range(7, -1, -1):
             bit = (data >> b) & 1
-            zeros, ones, gate = _inputs(model, context, node, b, bit)
+            pairs, gate = _inputs(model, context, node, b, bit)
             node = node << np.uint32(1) | bit
-            given, mixed = _predict(model, zeros, ones, gate)
+            given, mixed = _predict(model, pairs, gate)
             _, low, share = _refined(model, gate, mixed)
             given, mixed = given.astype(np.float64), mixed.astype(np.float64)
             small = np.exp(-np.abs(mixed))

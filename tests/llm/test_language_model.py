@@ -90,8 +90,8 @@ def _symbol(model, symbols, place, kind):
     salted, node, out = m._of_class(context, kind)[:, place : place + 1], np.ones(1, np.uint32), 0.0
     for b in range(7, -1, -1):
         bit = (data[place : place + 1] >> b) & 1
-        zeros, ones, gate = m._inputs(model, salted, node, b)
-        _, mixed = m._predict(model, zeros, ones, gate)
+        pairs, gate = m._inputs(model, salted, node, b)
+        _, mixed = m._predict(model, pairs, gate)
         refined, _, _ = m._refined(model, gate, mixed)
         odds = (np.clip(mixed, -m._LIMIT, m._LIMIT) + refined) / 2
         out -= float(np.log1p(np.exp(np.where(bit == 1, -odds, odds)))[0])
@@ -146,7 +146,7 @@ def trained(texts, weights):
 
 
 def bits_of(model, words, weights):
-    """Each bit of each occurrence alone: the bit, both classes of counts, the gate."""
+    """Each bit of each occurrence alone: the bit, the pairs of classes of counts, the gate."""
     for kind, weight in enumerate(weights):
         for t in np.flatnonzero(weight):
             data, _, _, context = m.symbols(words.take(np.array([t])))
@@ -202,8 +202,8 @@ def test_sums_take_every_training_token():
     rng = np.random.default_rng(1)
     model = m.Model(m._levels(tables), maps, rng.normal(0.3, 0.1, (m._GATES, m._N + 1)).astype(np.float32), m._first_refine())
     cost, slope, hits = np.zeros(m._GATES), np.zeros((m._GATES, m._N + 1)), 0
-    for bit, zeros, ones, gate in bits_of(model, words, weights):
-        given, mixed = m._predict(model, zeros, ones, gate)
+    for bit, pairs, gate in bits_of(model, words, weights):
+        given, mixed = m._predict(model, pairs, gate)
         for j in range(len(bit)):
             n, hits = n + 1, hits + int(bit[j])
             cost[gate[j]] += math.log1p(math.exp(-mixed[j] if bit[j] else mixed[j]))
