@@ -180,7 +180,7 @@ def test_maps_are_what_was_observed(monkeypatch):
                 node = node << np.uint32(1) | bit
     evidence = evidence_in(tables)
     assert np.allclose(evidence, seen) and seen[:, :, m.EXACT - 1].sum() > 100 and seen[:, :, m.EXACT :].sum() > 1000
-    first = 1 / (1 + np.exp(-m._first_maps()))
+    first = 1 / (1 + np.exp(-m._first_maps().astype(np.float64)))
     p = (seen[:, 1] + 4 * first) / (seen.sum(1) + 4)
     assert np.allclose(m.learnt_maps(evidence), np.log(p / (1 - p)), atol=1e-3)
 
