@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from martlake.functions import cleaning
 from martlake.functions.staging import temporary
-from martlake.operators import churn, history, marts, quality
+from martlake.operators import churn, deltas, history, marts, quality
+from martlake.operators.differences import unreconciled_days
+from martlake.operators.distinct_counts import DistinctCounts, counted
 from martlake.operators.upsert import replace_where, retract, update_where, upsert
 from martlake.plans import adapters as a
 from martlake.plans import reports
@@ -147,6 +149,56 @@ def _scd2_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def _hot_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Events at the price of their product, half of all on one product whose price changes nearly every day."""
+    product = lambda n: F.when(n % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), n % 1000)).alias("product_id")
+    n = F.col("order_id").cast("long")
+    log = a.orders(spark, sf).groupBy(product(n), F.col("order_date").alias("valid_at")).agg(F.min(n).alias("price"))
+    moment = F.expr("timestamp'1991-06-01' + make_dt_interval(int(event_id * 37 % 4000))").alias("moment")
+    facts = a.table(spark, sf, "events").select("event_id", product(F.col("event_id")), moment)
+    return history.join_as_of(facts, history.replay(log, "product_id", "valid_at"), "product_id", "moment", method="auto")
+
+
+def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored bitmaps of sessions, added in two batches of which the second comes twice."""
+    events, stored = a.web_events(spark, sf), DistinctCounts(_store(spark), "gold", "sessions", ["channel", "event_type"])
+    for part in (0, 1, 1):
+        stored.add(marts.session_values(events.where(F.col("event_id").cast("long") % 2 == part)))
+    return stored.read()
+
+
+def _weekly_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return counted(_sessions(spark, sf).withColumn("week", F.trunc("date", "week")), ["week"], "sessions")
+
+
+def _daily_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct customers by month from the days' bitmaps, of which a window was spoiled and rebuilt from its own days."""
+    values = lambda orders: marts.revenue_orders(orders).select(F.to_date("order_date").alias("date"), F.col("customer_id").alias("value"))
+    o, span = a.orders(spark, sf), (date(1997, 6, 1), date(1997, 8, 31))
+    stored = DistinctCounts(_store(spark), "gold", "customers", [])
+    stored.add(values(o))
+    stored.add(values(o).where(F.col("date").between(*span)).withColumn("value", F.concat("value", F.lit("x"))))
+    stored.rebuild(values(marts.day_range(o, *span)), *span)
+    days = stored.read().withColumn("month", F.trunc("date", "month"))
+    return counted(days, ["month"], "customers")
+
+
+def _by_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily sales kept up to date by a batch of new, moved, late and retracted orders."""
+    n = F.col("order_id").cast("long")
+    o = a.orders(spark, sf).withColumn("updated_at", F.col("order_date"))
+    stored, later = o.where(n % 10 != 9), F.expr("INTERVAL 1 DAY")
+    moved = o.where(n % 10 == 1).withColumns({"order_date": F.col("order_date") + later, "updated_at": F.col("updated_at") + later, "total_amount": (F.col("total_amount") + 10).cast("decimal(12,2)")})
+    late = o.where(n % 10 == 2).withColumns({"updated_at": F.col("updated_at") - later, "total_amount": F.lit(0).cast("decimal(12,2)")})
+    void, new = deltas.replaced(stored, o.where(n % 10 == 9).unionByName(moved).unionByName(late), "order_id", "updated_at", o.where(n % 10 == 3))
+    return deltas.apply_to_daily_sales(marts.daily_sales(stored), marts.customer_days(stored), deltas.changes(void, new))
+
+
+def _unreconciled(spark: SparkSession, sf: str) -> DataFrame:
+    o = a.orders(spark, sf)
+    return unreconciled_days(update_where(marts.daily_sales(o), "year(date) = 1997 AND day(date) = 13", {"net_revenue": "net_revenue + 5"}), o)
+
+
 def _window_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     """Daily sales of three months, rebuilt and put in place of themselves scaled down."""
     o, span = a.orders(spark, sf), (date(1997, 6, 1), date(1997, 8, 31))
@@ -362,7 +414,21 @@ QUERIES: dict[str, Query] = {
     "customer_lifetime_value": Query(_mart("customer_lifetime_value"), _kinds("customer_id:s orders:l total_spend:d first_order:t last_order:t country:s average_order_value:d active_days:l lifetime_value:d"), ("customer_lifetime_value",), "SELECT * FROM customer_lifetime_value"),
     "customer_segments": Query(_mart("customer_segments"), _kinds("customer_id:s orders:l total_spend:d recency_days:l r_score:l f_score:l m_score:l segment:s"), ("customer_segments",), "SELECT * FROM customer_segments"),
     "marketing_funnel": Query(_mart("marketing_funnel"), _kinds("date:t channel:s sessions:l page_views:l add_to_carts:l checkouts:l purchases:l cart_rate:d checkout_rate:d payment_rate:d conversion_rate:d"), ("marketing_funnel",), "SELECT * FROM marketing_funnel"),
+    "funnel_from_bitmaps": Query(lambda s, d: marts.funnel_from_bitmaps(_sessions(s, d)), _kinds("date:t channel:s sessions:l page_views:l add_to_carts:l checkouts:l purchases:l cart_rate:d checkout_rate:d payment_rate:d conversion_rate:d"), ("marketing_funnel",), "SELECT * FROM marketing_funnel"),
+    "weekly_sessions": Query(_weekly_sessions, _kinds("week:t sessions:l"), ("events_",), "SELECT CAST(date_trunc('week', event_timestamp) AS DATE) AS week, count(DISTINCT session_id) AS sessions FROM events_ WHERE event_timestamp IS NOT NULL GROUP BY 1"),
+    "event_sessions_from_bitmaps": Query(lambda s, d: counted(_sessions(s, d), ["event_type"], "sessions"), _kinds("event_type:s sessions:l"), ("events_",), "SELECT event_type, count(DISTINCT session_id) AS sessions FROM events_ WHERE event_timestamp IS NOT NULL GROUP BY 1"),
+    "monthly_customers": Query(_daily_customers, _kinds("month:t customers:l"), ("sold_",), "SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, count(DISTINCT customer_id) AS customers FROM sold_ GROUP BY 1"),
+    "daily_sales_by_deltas": Query(_by_deltas, _DAILY, ("orders_",), """
+        SELECT CAST(order_date AS DATE) AS date, count(*) AS orders, count(DISTINCT customer_id) AS customers, sum(gross_amount) AS gross_revenue, sum(discount_amount) AS discounts, sum(total_amount) AS net_revenue,
+            (CAST(sum(total_amount) * 100 AS BIGINT) * 2 + count(*)) // (2 * count(*)) / 100.0 AS average_order_value
+        FROM (SELECT customer_id, gross_amount, discount_amount, CASE WHEN n % 10 = 1 THEN order_date + INTERVAL 1 DAY ELSE order_date END AS order_date, total_amount + CASE WHEN n % 10 = 1 THEN 10 ELSE 0 END AS total_amount
+              FROM (SELECT *, CAST(order_id AS BIGINT) AS n FROM orders_) WHERE n % 10 <> 3 AND status IN ('paid', 'shipped', 'delivered') AND order_date IS NOT NULL) GROUP BY 1"""),
+    "unreconciled_days": Query(_unreconciled, _kinds("date:t gold:d silver:d difference:d"), ("daily_sales",), "SELECT date, net_revenue + 5 AS gold, net_revenue AS silver, 5 AS difference FROM daily_sales WHERE strftime(date, '%Y-%d') = '1997-13'"),
     # joins
+    "asof_join_hot_key": Query(_hot_as_of, _kinds("event_id:l product_id:s moment:u price:l"), ("orders_",), """
+        SELECT e.*, v.price FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE 'p' || (event_id % 1000) END AS product_id, TIMESTAMP '1991-06-01' + to_days(CAST(event_id * 37 % 4000 AS INTEGER)) AS moment FROM events) e
+        ASOF LEFT JOIN (SELECT CASE WHEN CAST(order_id AS BIGINT) % 2 = 0 THEN 'hot' ELSE 'p' || (CAST(order_id AS BIGINT) % 1000) END AS product_id, order_date, min(CAST(order_id AS BIGINT)) AS price FROM orders_ GROUP BY ALL) v
+        ON e.product_id = v.product_id AND e.moment >= v.order_date"""),
     "returns_by_product": Query(lambda s, d: a.returns(s, d).groupBy("product_id").agg(F.sum("quantity").alias("returned_units"), F.sum("refund_amount").alias("refunded_amount")), _kinds("product_id:s returned_units:l refunded_amount:d"), ("returns_",), "SELECT product_id, sum(quantity) AS returned_units, sum(refund_amount) AS refunded_amount FROM returns_ GROUP BY 1"),
     "churn_label": Query(lambda s, d: churn.labels(a.orders(s, d), CUTOFF), _kinds("customer_id:s churned:l"), ("label_",), "SELECT * FROM label_"),
     # store

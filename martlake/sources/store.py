@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlake.operators import upsert as _upsert
+from martlake.operators.differences import differing_rows
 
 
 class ConflictError(RuntimeError):
@@ -269,9 +270,9 @@ class Table:
         return self.append(self.spark.createDataFrame(rows, self.schema()))
 
     def restore(self, version: int) -> int:
-        """A new version with the content of an old one; the history stays."""
+        """A new version with the content of an old one, and its batches: what was appended since may be appended again."""
         old = self._entry(version)
-        return self._commit({k: old[k] for k in ("folders", "schema", "cluster")}, "RESTORE", self.version(), to=version)
+        return self._commit({k: old[k] for k in ("folders", "schema", "cluster", "batches") if k in old}, "RESTORE", self.version(), to=version)
 
     def optimize(self, cluster_by: Layout = None, files: int | None = None, target_bytes: int = 128 << 20) -> int:
         """Rewrite into few files, ordered by a column (or along a z-curve over several), so that the ranges in the files'
@@ -303,6 +304,8 @@ def _with_keys(rows: DataFrame, source: DataFrame, key: str | list[str]) -> Data
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys whose value differs between two versions; keys of one side alone have no difference and are left out."""
-    joined = old.select(key, F.col(value).alias("before")).join(new.select(key, F.col(value).alias("after")), key, "full_outer")
+    """Keys whose value differs between two versions; keys of one side alone have no difference and are left out. Only
+    ranges of keys that digests show to differ are joined."""
+    before, after, _ = differing_rows(old, new, key, [value])
+    joined = before.select(key, F.col(value).alias("before")).join(after.select(key, F.col(value).alias("after")), key, "full_outer")
     return joined.withColumn("difference", F.col("after") - F.col("before")).where("difference <> 0").orderBy(key)
