@@ -56,7 +56,7 @@ def percent_rank(df: DataFrame, name: str, value: str, descending: bool = False)
     no task gets all of them.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = fixed(df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n").alias("__total"))  # one row
     ranks = prefix_sums(counts, By("value", descending), ["n"]).crossJoin(F.broadcast(total))
     rank = F.when(F.col("__total") > 1, F.col("before_n") / (F.col("__total") - 1)).otherwise(0.0)

@@ -17,12 +17,13 @@ The order is that of Spark's sort: null first if ascending and last if descendin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pivots of a pass for each span of rows in question, rows of a span that are read at last, and ranges of prefix sums.
 PIVOTS, FEW, RANGES = 32, 2048, 128
@@ -42,47 +43,69 @@ class By:
 Key = tuple  # the values of the key's columns
 
 
-def _same(a: Key, b: Key) -> bool:
-    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+def _literal(value: object, kind: T.DataType) -> str:
+    """A value as SQL. Conditions on many keys are built as text, which is one call to the JVM instead of many."""
+    if value is None:
+        return f"CAST(NULL AS {kind.simpleString()})"
+    if isinstance(value, str):
+        return f"CAST(X'{value.encode().hex()}' AS STRING)"
+    if isinstance(value, datetime):
+        whole = value.replace(microsecond=0) if value.tzinfo else value.replace(microsecond=0).astimezone()
+        if isinstance(kind, T.TimestampNTZType):
+            return f"TIMESTAMP_NTZ'{value.isoformat(' ')}'"
+        return f"timestamp_micros({int(whole.timestamp()) * 1_000_000 + value.microsecond})"
+    if isinstance(value, date):
+        return f"DATE'{value.isoformat()}'"
+    return f"CAST('{value}' AS {kind.simpleString()})"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _compared(by: Sequence[By], key: Sequence[str], pivot: Sequence[str]) -> tuple[str, str]:
+    """As SQL: whether a key comes before another one, and whether it's the same."""
+    before, equal = "false", "true"
+    for k, a, b in reversed(list(zip(by, key, pivot, strict=True))):
+        low, high = (b, a) if k.descending else (a, b)
+        less = f"CASE WHEN {low} IS NULL THEN {high} IS NOT NULL ELSE coalesce({low} < {high}, false) END"
+        before, equal = f"({less} OR ({a} <=> {b} AND {before}))", f"({a} <=> {b} AND {equal})"
+    return before, equal
 
 
-def _compared(by: Sequence[By], pivot: Key) -> tuple[Column, Column]:
-    """Whether a row's key comes before the pivot, and whether it's the same."""
-    before, equal = F.lit(False), F.lit(True)
-    for key, value in reversed(list(zip(by, pivot, strict=True))):
-        c = F.col(key.column)
-        if value is None:
-            less, same = (c.isNotNull() if key.descending else F.lit(False)), c.isNull()
-        else:
-            less = F.coalesce(c > F.lit(value), F.lit(False)) if key.descending else F.coalesce(c < F.lit(value), F.lit(True))
-            same = F.coalesce(c == F.lit(value), F.lit(False))
-        before, equal = less | (same & before), same & equal
-    return before, equal
+def _to_pivot(by: Sequence[By], pivot: Key, schema: T.StructType) -> tuple[str, str]:
+    """As SQL: whether a row's key comes before the pivot, and whether it's the same."""
+    return _compared(by, [_quoted(k.column) for k in by], [_literal(v, schema[k.column].dataType) for k, v in zip(by, pivot, strict=True)])
 
 
-def place_among(by: Sequence[By], pivots: Sequence[Key]) -> Column:
+def place_among(by: Sequence[By], pivots: Sequence[Key], schema: T.StructType) -> Column:
     """A row's place among pivots, which are in order: 2k + 1 if its key is that of pivots[k], else twice the number of
-    pivots before it. A search by halves."""
+    pivots before it. The pivots are one constant, so the plan stays small."""
+    if not pivots:
+        return F.lit(0)
+    rows = ", ".join("named_struct(" + ", ".join(f"'c{i}', {_literal(v, schema[k.column].dataType)}" for i, (k, v) in enumerate(zip(by, p, strict=True))) + ")" for p in pivots)
+    before, equal = _compared(by, [f"__pivot.c{i}" for i in range(len(by))], [_quoted(k.column) for k in by])
+    return F.expr(f"aggregate(array({rows}), 0, (__place, __pivot) -> __place + CASE WHEN {before} THEN 2 WHEN {equal} THEN 1 ELSE 0 END)")
+
+
+def in_order(keys: Iterable[Key], by: Sequence[By]) -> list[Key]:
+    """Keys in Spark's order: null least, NaN greatest, text by its bytes."""
+    out = list(keys)
+    for i, k in reversed(list(enumerate(by))):
+        out.sort(key=lambda x: (x[i] is not None, x[i] != x[i], 0 if x[i] is None or x[i] != x[i] else x[i]), reverse=k.descending)  # noqa: B023
+    return out
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(2 * low)
-        middle = (low + high) // 2
-        before, equal = _compared(by, pivots[middle])
-        return F.when(before, search(low, middle)).when(equal, F.lit(2 * middle + 1)).otherwise(search(middle + 1, high))
 
-    return search(0, len(pivots))
+def _distinct(keys: Sequence[Key]) -> list[Key]:
+    same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+    return [x for k, x in enumerate(keys) if not k or not same(keys[k - 1], x)]
 
 
 def sample(df: DataFrame, by: Sequence[By], rows: int) -> list[Key]:
     """The distinct keys of at most so many rows, those of least hash, in order."""
     columns = [k.column for k in by]
-    drawn = df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(rows).orderBy(*(k.order() for k in by))
-    out: list[Key] = []
-    for r in drawn.collect():
-        if not out or not _same(out[-1], tuple(r)):
-            out.append(tuple(r))
-    return out
+    drawn = df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(rows).collect()
+    return _distinct(in_order(map(tuple, drawn), by))
 
 
 @dataclass(frozen=True)
@@ -94,12 +117,14 @@ class _Span:
     below: int
     upto: int
 
-    def holds(self, by: Sequence[By]) -> Column:
-        out = F.lit(True)
+    def holds(self, by: Sequence[By], schema: T.StructType) -> str:
+        out = []
         if self.low is not None:
-            before, equal = _compared(by, self.low)
-            out = out & ~before & ~equal
-        return out if self.high is None else out & _compared(by, self.high)[0]
+            before, equal = _to_pivot(by, self.low, schema)
+            out.append(f"NOT {before} AND NOT {equal}")
+        if self.high is not None:
+            out.append(_to_pivot(by, self.high, schema)[0])
+        return " AND ".join(out) or "true"
 
 
 class _Search:
@@ -115,8 +140,8 @@ class _Search:
         own = {s.below: s for s in self.open.values() if not few or s.upto - s.below <= FEW}
         return [own[k] for k in sorted(own)]
 
-    def rows(self, df: DataFrame, few: bool = False) -> DataFrame:
-        return df.where(reduce(lambda a, b: a | b, (s.holds(self.by) for s in self.spans(few))))
+    def inside(self, schema: T.StructType, few: bool = False) -> Column:
+        return F.expr(" OR ".join(f"({s.holds(self.by, schema)})" for s in self.spans(few)) or "false")
 
     def narrow(self, pivots: Sequence[Key], sizes: Mapping[int, int]) -> None:
         """Take in pivots and the number of rows at each place among them."""
@@ -136,15 +161,11 @@ class _Search:
             else:
                 self.open[rank] = span
 
-    def read(self, df: DataFrame) -> None:
-        """Read the spans of few rows, and find the ranks among them."""
-        spans = self.spans(few=True)
-        if not spans:
-            return
-        keys = [tuple(r) for r in self.rows(df, few=True).select(*(k.column for k in self.by)).orderBy(*(k.order() for k in self.by)).collect()]
-        start = 0
-        for span in spans:
-            own = keys[start : start + span.upto - span.below]
+    def take(self, keys: Sequence[Key]) -> None:
+        """Take in all keys of the spans of few rows, and find the ranks among them."""
+        start, ordered = 0, in_order(keys, self.by)
+        for span in self.spans(few=True):
+            own = ordered[start : start + span.upto - span.below]
             start += len(own)
             for rank in [r for r, s in self.open.items() if s == span]:
                 self.found[rank] = own[rank - span.below - 1]
@@ -158,21 +179,33 @@ def select_ranks(df: DataFrame, orders: Mapping[str, Sequence[By]], ranks: Calla
     The columns of the keys are held (in memory, beyond that on the executors' disks) while this runs, so that ``df``
     is computed once for it; if an executor is lost its part is computed again.
     """
-    held = df.select(*sorted({k.column for by in orders.values() for k in by})).persist()
+    columns = sorted({k.column for by in orders.values() for k in by})
+    held = df.select(*columns).persist()
     try:
-        total = held.count()
+        total, schema = held.count(), held.schema
         searches = {name: _Search(by, ranks(total), total) for name, by in orders.items()}
         while True:
-            for s in searches.values():
-                s.read(held)
+            near = [s for s in searches.values() if s.spans(few=True)]
+            if near:  # one read for all orders: a flag for each says whether the row is in its spans
+                flags = [s.inside(schema, few=True).alias(f"__in{k}") for k, s in enumerate(near)]
+                read = held.select("*", *flags).where(" OR ".join(f"__in{k}" for k in range(len(near)))).collect()
+                for k, s in enumerate(near):
+                    s.take([tuple(r[x.column] for x in s.by) for r in read if r[f"__in{k}"]])
             wide = [s for s in searches.values() if s.open]
             if not wide:
                 return total, {name: s.found for name, s in searches.items()}
-            pivots = [sample(s.rows(held), s.by, PIVOTS * len(s.spans())) for s in wide]
-            places = [F.struct(F.lit(k).alias("order"), place_among(s.by, p).alias("place")) for k, (s, p) in enumerate(zip(wide, pivots, strict=True))]
+            if all(x == _Span(None, None, 0, total) for s in wide for x in s.spans()):  # the first pass: one sample for all
+                drawn = held.orderBy(F.xxhash64(*columns), *columns).limit(PIVOTS).collect()
+                pivots = [_distinct(in_order([tuple(r[x.column] for x in s.by) for r in drawn], s.by)) for s in wide]
+            else:
+                pivots = [sample(held.where(s.inside(schema)), s.by, PIVOTS * len(s.spans())) for s in wide]
+            places = [F.struct(F.lit(k).alias("order"), place_among(s.by, p, schema).alias("place")) for k, (s, p) in enumerate(zip(wide, pivots, strict=True))]
             counted = held.select(F.explode(F.array(*places)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows for each pivot
+            before = [dict(s.open) for s in wide]
             for k, (s, p) in enumerate(zip(wide, pivots, strict=True)):
                 s.narrow(p, {r.p.place: r.n for r in counted if r.p.order == k})
+            if before == [s.open for s in wide]:
+                raise RuntimeError("no pass narrows the search; are the keys' columns the same each time they're computed?")
     finally:
         held.unpersist()
 
@@ -191,21 +224,21 @@ def with_tiles(df: DataFrame, tiles: int, orders: Mapping[str, Sequence[By]]) ->
     total, found = select_ranks(df, orders, lambda n: tile_ends(n, tiles))
 
     def tile(name: str, by: Sequence[By]) -> Column:
-        return within([found[name][e] for e in tile_ends(total, tiles) if e in found[name]], by, range(1, tiles), tiles).cast("int")
+        return within([found[name][e] for e in tile_ends(total, tiles) if e in found[name]], by, range(1, tiles), tiles, df.schema).cast("int")
 
     return df.withColumns({name: tile(name, by) for name, by in orders.items()})
 
 
-def within(ends: Sequence[Key], by: Sequence[By], names: Sequence, last) -> Column:
+def within(ends: Sequence[Key], by: Sequence[By], names: Sequence, last, schema: T.StructType) -> Column:
     """The name of the first of some bands, which end with these keys, that a row's key is in; ``last`` beyond all."""
-    own = [F.when(before | equal, F.lit(name)) for name, (before, equal) in zip(names, (_compared(by, e) for e in ends), strict=False)]
+    own = [F.when(F.expr(" OR ".join(_to_pivot(by, e, schema))), F.lit(name)) for e, name in zip(ends, names, strict=False)]
     return F.coalesce(*own, F.lit(last))
 
 
 def prefix_sums(counts: DataFrame, by: By, sums: Sequence[str]) -> DataFrame:
     """``counts``, which has each value of a column once, with ``before_x`` for each named column x: its sum over the
-    values that come before."""
-    ranged = counts.withColumn("__range", place_among([by], sample(counts, [by], RANGES)))
+    values that come before. ``counts`` is read twice, so it should be stored."""
+    ranged = counts.withColumn("__range", place_among([by], sample(counts, [by], RANGES), counts.schema))
     before = Window.partitionBy("__range").orderBy(by.order()).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy("__range").agg(*(F.sum(x).alias(f"__{x}") for x in sums))
     of_ranges = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

@@ -61,7 +61,7 @@ def differing_spans(old: DataFrame, new: DataFrame, key: str, measures: Sequence
         pivots = sample(rows, [By("k")], CUTS * len(wide))
         # neighbours that both differ stay apart if they were, as a range ends between any two of them
         ends = sorted({(s.last,) for s in wide} | set(pivots))
-        smaller = unequal(rows, place_among([By("k")], ends))
+        smaller = unequal(rows, place_among([By("k")], ends, rows.schema))
         if len(smaller) == len(wide) and [(s.first, s.last) for s in smaller] == [(s.first, s.last) for s in wide]:
             break
         spans = sorted([s for s in spans if s not in wide] + smaller, key=lambda s: s.first)

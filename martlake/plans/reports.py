@@ -128,7 +128,7 @@ def revenue_concentration(customers: DataFrame) -> DataFrame:
     last = lambda n: [int(n * Decimal(share)) for share in CONCENTRATION.values()]
     n, found = select_ranks(customers, {"spend": order}, last)
     ends = {name: found["spend"][k] for name, k in zip(CONCENTRATION, last(n), strict=True) if k}
-    bands = customers.groupBy(within(list(ends.values()), order, list(ends), LAST_CONCENTRATION).alias("band"))
+    bands = customers.groupBy(within(list(ends.values()), order, list(ends), LAST_CONCENTRATION, customers.schema).alias("band"))
     sums = bands.agg(_rows("customers"), F.sum("total_spend").alias("revenue"))
     whole = F.broadcast(sums.agg(F.sum("revenue").alias("all")))  # one row
     return sums.crossJoin(whole).select("band", "customers", "revenue", _pct(F.col("revenue"), F.col("all"), 1).alias("pct_of_revenue")).orderBy("band")
