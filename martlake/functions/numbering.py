@@ -51,11 +51,12 @@ def hot_values(counts: DataFrame, parts: int) -> DataFrame:
 def percent_rank(df: DataFrame, name: str, value: str, descending: bool = False) -> DataFrame:
     """``df`` with SQL's percent_rank of a column over all rows: ties share the rank of their first.
 
-    Rows aren't sorted: they're counted by value, ranks are prefix sums over the distinct values, and rows meet the rank
+    Rows are stored once, as they're read twice, but not sorted: they're counted by value, ranks are prefix sums over the distinct values, and rows meet the rank
     of their value by a join. The rows of a value with many ties are dealt into pieces, each with a copy of the rank, so
     no task gets all of them.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = fixed(df)
     counts = fixed(df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n").alias("__total"))  # one row
     ranks = prefix_sums(counts, By("value", descending), ["n"]).crossJoin(F.broadcast(total))

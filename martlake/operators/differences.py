@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from martlake.functions.order_statistics import By, place_among, sample
 
 #: Ranges that a differing range is cut into, rows (of both sides) of a range that isn't cut any more, ranges at most.
-CUTS, FEW, MOST = 32, 1000, 256
+CUTS, FEW, MOST = 32, 1000, 64
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,11 @@ class Span:
 
 
 def in_spans(df: DataFrame, key: str, spans: Sequence[Span]) -> DataFrame:
-    """The rows in the ranges; none if there are none."""
-    return df.where(reduce(lambda a, b: a | b, (s.holds(key) for s in spans))) if spans else df.where(F.lit(False))
+    """The rows in the ranges; none if there are none. Of more than ``MOST`` ranges neighbours are taken together, with
+    what is between them."""
+    each = -(-len(spans) // MOST)
+    wider = [Span(own[0].first, own[-1].last, 0) for k in range(0, len(spans), each or 1) if (own := spans[k : k + each])]
+    return df.where(reduce(lambda a, b: a | b, (s.holds(key) for s in wider))) if spans else df.where(F.lit(False))
 
 
 def differing_spans(old: DataFrame, new: DataFrame, key: str, measures: Sequence[str]) -> list[Span]:
