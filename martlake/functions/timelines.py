@@ -23,9 +23,9 @@ _SHARES = 1024
 
 def hot_cuts(df: DataFrame, key: str, time: str) -> DataFrame | None:
     """__cut_key, __cuts: the hot keys and the times (microseconds, in order) that their time lines are cut at; None if
-    no key is hot. Rows without key or time don't count. What the optimiser takes for smaller than ``HOT_ROWS`` keys and
-    times isn't counted."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 8 * HOT_ROWS:
+    no key is hot. Rows without key or time don't count. What the optimiser takes for smaller than ``HOT_ROWS`` rows of 32
+    bytes isn't counted."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 32 * HOT_ROWS:
         return None
     spark, parts = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     timed = df.select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")

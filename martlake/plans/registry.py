@@ -156,7 +156,8 @@ def _hot_as_of(spark: SparkSession, sf: str) -> DataFrame:
     log = a.orders(spark, sf).groupBy(product(n), F.col("order_date").alias("valid_at")).agg(F.min(n).alias("price"))
     moment = F.expr("timestamp'1991-06-01' + make_dt_interval(int(event_id * 37 % 4000))").alias("moment")
     facts = a.table(spark, sf, "events").select("event_id", product(F.col("event_id")), moment)
-    return history.join_as_of(facts, history.replay(log, "product_id", "valid_at"), "product_id", "moment", method="auto")
+    priced = history.join_as_of(facts, history.replay(log, "product_id", "valid_at"), "product_id", "moment", method="auto")
+    return priced.withColumn("price", F.coalesce("price", F.lit(-1)))
 
 
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,7 +427,7 @@ QUERIES: dict[str, Query] = {
     "unreconciled_days": Query(_unreconciled, _kinds("date:t gold:d silver:d difference:d"), ("daily_sales",), "SELECT date, net_revenue + 5 AS gold, net_revenue AS silver, 5 AS difference FROM daily_sales WHERE strftime(date, '%Y-%d') = '1997-13'"),
     # joins
     "asof_join_hot_key": Query(_hot_as_of, _kinds("event_id:l product_id:s moment:u price:l"), ("orders_",), """
-        SELECT e.*, v.price FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE 'p' || (event_id % 1000) END AS product_id, TIMESTAMP '1991-06-01' + to_days(CAST(event_id * 37 % 4000 AS INTEGER)) AS moment FROM events) e
+        SELECT e.*, coalesce(v.price, -1) AS price FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE 'p' || (event_id % 1000) END AS product_id, TIMESTAMP '1991-06-01' + to_days(CAST(event_id * 37 % 4000 AS INTEGER)) AS moment FROM events) e
         ASOF LEFT JOIN (SELECT CASE WHEN CAST(order_id AS BIGINT) % 2 = 0 THEN 'hot' ELSE 'p' || (CAST(order_id AS BIGINT) % 1000) END AS product_id, order_date, min(CAST(order_id AS BIGINT)) AS price FROM orders_ GROUP BY ALL) v
         ON e.product_id = v.product_id AND e.moment >= v.order_date"""),
     "returns_by_product": Query(lambda s, d: a.returns(s, d).groupBy("product_id").agg(F.sum("quantity").alias("returned_units"), F.sum("refund_amount").alias("refunded_amount")), _kinds("product_id:s returned_units:l refunded_amount:d"), ("returns_",), "SELECT product_id, sum(quantity) AS returned_units, sum(refund_amount) AS refunded_amount FROM returns_ GROUP BY 1"),
