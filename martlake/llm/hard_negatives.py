@@ -11,7 +11,9 @@ before, and only those that may still hold a row for the answer; a query is cert
 distance of its last wanted row is below what the remaining intervals allow. All scores are exact integers.
 
 Queries are packed for each interval that they scan and joined to its blocks, so that work is dealt out by interval and
-a product of two matrices gives the scores. The list of intervals is bounded (``INTERVALS``): they grow with the table.
+a product of two matrices gives the scores. The number of intervals is bounded (``INTERVALS``): they grow with the table,
+so that what packs hold in all grows with the queries, not with queries times blocks. Joins of queries and results are
+sort-merge joins by a hint, as Spark takes the size of a file for that of its rows and would broadcast them.
 On vectors without any structure bounds don't exclude much, and nearly all intervals are scanned, still exactly.
 """
 
@@ -30,10 +32,12 @@ from martlake.llm.common import bounded_batches, map_batches, shuffle_partitions
 
 #: Pivots are the means of a clustering of a bounded sample of about so many rows.
 PIVOTS, SAMPLE, ROUNDS = 32, 4096, 5
-#: Rows of a block (at most UID_STEP, by which rows are named); intervals that the index has at most, besides one for each pivot and partition.
-BLOCK_ROWS, UID_STEP, INTERVALS = 4096, 4096, 8192
+#: Rows of a block (at most UID_STEP, by which rows are named); intervals that the index has at most, besides one for each pivot and for each partition (of which there are no more).
+BLOCK_ROWS, UID_STEP, INTERVALS = 4096, 4096, 128
 #: Queries that are scored against a block at a time, and those for which intervals are chosen at a time.
 TILE, ROUTED = 512, 256
+#: Bytes of packs that are handed over at a time, about.
+PACK_BYTES = 8 << 20
 #: Intervals of the first round; each further round takes so many times as many.
 GROWTH = 8
 
@@ -168,7 +172,7 @@ def build_index(rows: DataFrame, shape: Shape, pivots: np.ndarray, scale: float)
 
     keyed = map_batches(rows.select("vec_id", "label", "vector"), key, _KEYED)
     order = ["pivot", "distance", "vec_id"]
-    ranged = keyed.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange(min(shuffle_partitions(rows.sparkSession), INTERVALS), *order).sortWithinPartitions(*order)
     return staged(ranged.mapInArrow(tidy(pack), _BLOCKS), "distance-index")
 
 
@@ -206,7 +210,7 @@ class Directory:
 
     @classmethod
     def of(cls, index: DataFrame, pivots: np.ndarray, shape: Shape) -> Directory:
-        found = index.groupBy("interval").agg(F.first("pivot"), F.min("low"), F.max("high")).toArrow()  # at most INTERVALS and some
+        found = index.groupBy("interval").agg(F.first("pivot"), F.min("low"), F.max("high")).toArrow()  # at most twice INTERVALS and some
         columns = [found.column(k).to_numpy() for k in range(4)]
         order = np.argsort(columns[0])
         return cls(*(c[order] for c in columns), pivots, float(shape.longest))
@@ -221,19 +225,28 @@ class Directory:
         plane = np.where(between > 0, planes, 0.0).max(axis=2)
         own = d[:, self.pivot]
         least = np.maximum.reduce([own - self.high, self.low - own, plane[:, self.pivot], np.zeros_like(own)])
+        return least, *self._scores(q, own, least, self.high)
+
+    def _scores(self, q: np.ndarray, own: np.ndarray, least: np.ndarray, high: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
         whole = self.longest + (q * q).sum(axis=1)[:, None]
         slack = 1e-6 * whole + 1e-3
-        return least, (whole - (own + self.high) ** 2) / 2 - slack, (whole - least**2) / 2 + slack
+        return (whole - (own + high) ** 2) / 2 - slack, (whole - least**2) / 2 + slack
+
+    def asks(self, q: np.ndarray, floors: np.ndarray, caps: np.ndarray, pivot: int, low: float, high: float) -> np.ndarray:
+        """Which queries a block may hold a row for, by the annulus around its pivot, which is thinner than its interval's."""
+        own = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), self.pivots[pivot][None])
+        worst, best = self._scores(q, own, np.maximum(np.maximum(own - high, low - own), 0.0), high)
+        return ((best >= floors) & (worst <= caps)).any(axis=1)
 
 
 def route(queries: DataFrame, directory: Directory, shape: Shape, first: int, last: int) -> DataFrame:
     """Packs of the queries that must scan an interval, of those from the first to the last in order of distance."""
     dtype = np.dtype(shape.dtype)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[dict] = []
-        for at in range(0, batch.num_rows, ROUTED):
-            part = batch.slice(at, ROUTED)
+        size = 0
+        for part in (batch.slice(at, ROUTED) for batch in batches for at in range(0, batch.num_rows, ROUTED)):
             n = part.num_rows
             q = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype).reshape(n, -1)
             floors, caps = (np.array(part.column(c).to_pylist(), np.int64).reshape(n, -1) for c in ("floors", "caps"))
@@ -250,22 +263,29 @@ def route(queries: DataFrame, directory: Directory, shape: Shape, first: int, la
                 w = wanted[:, s]
                 arrays = (uids[w], labels[w], q[w], floors[w], caps[w])
                 packs.append(dict(zip(_PACK_NAMES, [int(directory.interval[s]), *(np.ascontiguousarray(x).tobytes() for x in arrays)], strict=True)))
-        return pa.RecordBatch.from_pylist(packs, _PACK_ARROW)
+                size += sum(x.nbytes for x in arrays)
+                if size >= PACK_BYTES:
+                    yield pa.RecordBatch.from_pylist(packs, _PACK_ARROW)
+                    packs, size = [], 0
+        yield pa.RecordBatch.from_pylist(packs, _PACK_ARROW)
 
-    return map_batches(queries.select("uid", "label", "vector", "floors", "caps"), run, _PACKS)
+    bounded_batches(queries.sparkSession)
+    return queries.select("uid", "label", "vector", "floors", "caps").mapInArrow(tidy(run), _PACKS)
 
 
 _PACK_NAMES = ["interval", "uids", "q_labels", "q_vectors", "floors", "caps"]
 _PACK_ARROW = pa.schema([("interval", pa.int64()), *((c, pa.binary()) for c in _PACK_NAMES[1:])])
 
 
-def _best_of(pack: dict, dtype: np.dtype, exact: type, k: int, same_label: bool, tile: int) -> Iterator[list[np.ndarray]]:
+def _best_of(pack: dict, directory: Directory, dtype: np.dtype, exact: type, k: int, same_label: bool, tile: int) -> Iterator[list[np.ndarray]]:
     """uid, slot, score, column of the best rows of a block, at most ``k`` for each query of a pack and slot of the query."""
     uids, q_labels = np.frombuffer(pack["uids"], "<i8"), np.frombuffer(pack["q_labels"], "<i8")
     n, labels = len(uids), np.frombuffer(pack["labels"], "<i8")
     q, x = (np.frombuffer(pack[c], dtype).reshape(m, -1).astype(exact) for c, m in (("q_vectors", n), ("vectors", len(labels))))
     floors, caps = (np.frombuffer(pack[c], "<i8").reshape(n, -1) for c in ("floors", "caps"))
-    for at in range(0, n, tile):
+    asks = directory.asks(q.astype(np.float64), floors, caps, pack["pivot"], pack["low"], pack["high"])
+    uids, q_labels, q, floors, caps = (x[asks] for x in (uids, q_labels, q, floors, caps))
+    for at in range(0, len(uids), tile):
         part = slice(at, at + tile)
         scores = q[part] @ x.T
         f, c = floors[part], caps[part]
@@ -288,22 +308,22 @@ def _best_of(pack: dict, dtype: np.dtype, exact: type, k: int, same_label: bool,
                 yield [uids[part][r[top]], np.full(top.sum(), j), score[fits][top], column[fits][top]]
 
 
-def scan_blocks(packs: DataFrame, index: DataFrame, shape: Shape, k: int, same_label: bool) -> DataFrame:
+def scan_blocks(packs: DataFrame, index: DataFrame, directory: Directory, shape: Shape, k: int, same_label: bool) -> DataFrame:
     """Candidates from the blocks of the intervals that the packs ask for: uid, slot, score, vec_id, other (the row's uid)."""
     dtype, exact = np.dtype(shape.dtype), shape.exact
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[pa.Array]] = []
         for i in range(batch.num_rows):
-            pack = {c: batch.column(c)[i].as_py() for c in ("uids", "q_labels", "q_vectors", "floors", "caps", "labels", "vectors", "block")}
+            pack = {c: batch.column(c)[i].as_py() for c in ("uids", "q_labels", "q_vectors", "floors", "caps", "labels", "vectors", "block", "pivot", "low", "high")}
             ids = batch.column("vec_ids")[i].values
-            for uid, slot, score, column in _best_of(pack, dtype, exact, k, same_label, TILE):
+            for uid, slot, score, column in _best_of(pack, directory, dtype, exact, k, same_label, TILE):
                 out.append([pa.array(uid), pa.array(slot, pa.int32()), pa.array(score), ids.take(pa.array(column)), pa.array(pack["block"] * UID_STEP + column)])
         columns = [pa.concat_arrays(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["uid", "slot", "score", "vec_id", "other"])
 
-    blocks = index.select("interval", "block", "vec_ids", "labels", "vectors")
-    return map_batches(packs.join(blocks, "interval"), run, _BEST)
+    blocks = index.select("interval", "block", "pivot", "low", "high", "vec_ids", "labels", "vectors")
+    return map_batches(packs.join(blocks.hint("merge"), "interval"), run, _BEST)
 
 
 def search(index: DataFrame, queries: DataFrame, directory: Directory, shape: Shape, k: int, same_label: bool) -> DataFrame:
@@ -320,8 +340,8 @@ def search(index: DataFrame, queries: DataFrame, directory: Directory, shape: Sh
             full = best.groupBy("uid", "slot").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
             reached = full.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("slot", "kth"))).alias("reached"))  # few slots
             floor = F.transform("floors", lambda x, j: F.greatest(x, F.coalesce(F.try_element_at("reached", j), x)))
-            asked = queries.join(reached, "uid", "left").withColumn("floors", floor)
-        found = scan_blocks(route(asked, directory, shape, first, last), index, shape, k, same_label)
+            asked = queries.join(reached.hint("merge"), "uid", "left").withColumn("floors", floor)
+        found = scan_blocks(route(asked, directory, shape, first, last), index, directory, shape, k, same_label)
         both = found if best is None else found.unionByName(best)
         best = staged(both.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k).drop("n"), "nearest")
         first, last = last, last * (GROWTH + 1)
@@ -366,11 +386,11 @@ def mine(
     slots = F.array(*(F.lit(j) for j in range(positives)))
     floors = F.transform(slots, lambda j: F.coalesce(F.try_element_at("spans", j)["floor"], F.lit(_MOST)))
     caps = F.transform(slots, lambda j: F.coalesce(F.try_element_at("spans", j)["cap"], F.lit(_LEAST)))
-    asked = staged(anchors.join(spans, "uid").select("uid", "label", "vector", floors.alias("floors"), caps.alias("caps")), "spans")
+    asked = staged(anchors.join(spans.hint("merge"), "uid").select("uid", "label", "vector", floors.alias("floors"), caps.alias("caps")), "spans")
     hard = search(index, asked, directory, shape, negatives, False)
     ranked = hard.withColumn("rank", F.row_number().over(Window.partitionBy("uid", "slot").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "other")))
     named = anchors.select("uid", F.col("vec_id").alias("anchor_id"))
     return (
-        ranked.join(chosen, ["uid", "slot"]).join(named, "uid")
+        ranked.join(chosen.hint("merge"), ["uid", "slot"]).join(named.hint("merge"), "uid")
         .select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
     )

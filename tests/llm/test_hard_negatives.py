@@ -96,3 +96,29 @@ def test_bounds_hold_and_exclude(spark, monkeypatch):
     kth = np.sort(np.concatenate(order, axis=1), axis=1)[:, -5]
     assert (best >= kth[:, None]).mean() < 0.3
     assert index.agg({"n": "sum"}).first()[0] == 4000
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    """No join is planned as a broadcast (files are smaller than their rows, so Spark's estimate would let queries and
+    results grow on the driver), and intervals are bounded whatever the number of partitions."""
+    plans, intervals = [], []
+    write, of = h.staged, h.Directory.of
+    monkeypatch.setattr(h, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    monkeypatch.setattr(h.Directory, "of", lambda *a: intervals.append(len((d := of(*a)).interval)) or d)
+    monkeypatch.setattr(h, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(h, "INTERVALS", 3)
+    monkeypatch.setattr(h, "PIVOTS", 2)
+    monkeypatch.setattr(h, "PACK_BYTES", 1)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    rows = odd_rows()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        found = h.mine(spark.createDataFrame([(i, y, v, 1, "x") for i, y, v in rows], SCHEMA).repartition(3))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert sorted(str(tuple(r)) for r in found.collect()) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum("SortMergeJoin" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
+    assert intervals[0] <= 2 * 3 + 2
