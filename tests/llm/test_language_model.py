@@ -240,6 +240,54 @@ def test_weights_settle_at_the_optimum():
         assert cost(m.replace(found[0], weights=near)) > best
 
 
+def test_a_near_start_saves_rounds():
+    """Newton's method on the drawn tokens leaves fewer rounds over all tokens, and the same optimum."""
+    random.seed(8)
+    texts = sorted({"".join(random.choices("abcde", [9, 4, 2, 1, 1], k=random.randint(0, 6))) for _ in range(900)})
+    words, weights, tables = trained(texts, np.array([[random.choice([1, 2, 9]) for _ in texts]]))
+    counts, maps = m._levels(tables), m.learnt_maps(evidence_in(tables))
+    calls = [0]
+
+    def sums_of(model):
+        calls[0] += 1
+        sums = m.Sums.empty()
+        m.add_bits(sums, m.replace(model, counts=counts), words, weights)
+        return sums
+
+    draws = (weights + 1) // 2
+    start = m.learn(counts, maps, words, draws)
+    near = m.nearer(start, words, draws)
+    assert (near.refine == start.refine).all()  # of draws only the weights' start is taken
+    rounds, cost = [], []
+    for x in (start, near):
+        calls[0] = 0
+        settled = m.settle(m.replace(x, counts=None), sums_of)
+        rounds.append(calls[0])
+        cost.append(sums_of(settled).cost.sum() + ((settled.weights - 0.25) ** 2).sum() / 2)
+    assert rounds[1] < rounds[0] and cost[1] == pytest.approx(cost[0], rel=2 * m.SETTLED)
+    assert m.nearer(start, words, draws * 0) is start
+
+
+def test_counts_without_the_own_occurrence_and_gates():
+    """For every pair of classes: what's taken off, and the gate, against the plain rules."""
+    zeros, ones = (x.ravel().astype(np.uint8) for x in np.meshgrid(np.arange(m.LEVELS), np.arange(m.LEVELS)))
+    bits = (14,) * m._N
+    counts = np.zeros((m._N << 14, 2), np.uint8)
+    slots = m.slots_of(np.zeros(1, np.uint32), np.arange(1, 40_000, dtype=np.uint32), 14)
+    place, first = np.unique(slots, return_index=True)
+    node, place = (first[: len(zeros)] + 1).astype(np.uint32), place[: len(zeros)]
+    zeros, ones = zeros[: len(node)], ones[: len(node)]
+    for k in range(m._N):
+        counts[(k << 14) + place] = np.stack([zeros, ones], axis=1)
+    model = m.Model(counts.T, m._first_maps(), np.zeros((m._GATES, m._N + 1), np.float32), m._first_refine(), bits)
+    assert len(node) > 10_000
+    for bit in (0, 1, None):
+        pairs, gate = m._inputs(model, np.zeros((m._N, len(node)), np.uint32), node, 3, None if bit is None else np.full(len(node), bit, np.uint8))
+        z, o = (x - ((x > 0) & (x < m.EXACT)) if bit == k else x for k, x in enumerate((zeros.astype(int), ones.astype(int))))
+        assert (pairs == z + 256 * o).all()
+        assert (gate == 3 + 8 * np.where(z + o > 0, m._N - 1 + np.searchsorted(m._SEEN, z + o, "right"), 0)).all()
+
+
 def test_scores_come_from_all_tokens_not_from_draws(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     few, many = ({r.doc_id: r.score for r in m.score_documents(docs, draws=n).collect()} for n in (1, 4000))
