@@ -278,12 +278,15 @@ _PACK_ARROW = pa.schema([("interval", pa.int64()), *((c, pa.binary()) for c in _
 
 
 def _best_of(pack: dict, directory: Directory, dtype: np.dtype, exact: type, k: int, same_label: bool, tile: int) -> Iterator[list[np.ndarray]]:
-    """uid, slot, score, column of the best rows of a block, at most ``k`` for each query of a pack and slot of the query."""
+    """uid, slot, score, column of the best rows of a block, at most ``k`` for each query of a pack and slot of the query.
+
+    The pack's floors, an array, rise to the last of ``k`` rows that a slot got: lesser rows of further blocks don't count.
+    """
     uids, q_labels = np.frombuffer(pack["uids"], "<i8"), np.frombuffer(pack["q_labels"], "<i8")
     n, labels = len(uids), np.frombuffer(pack["labels"], "<i8")
     q, x = (np.frombuffer(pack[c], dtype).reshape(m, -1).astype(exact) for c, m in (("q_vectors", n), ("vectors", len(labels))))
-    floors, caps = (np.frombuffer(pack[c], "<i8").reshape(n, -1) for c in ("floors", "caps"))
-    asks = directory.asks(q.astype(np.float64), floors, caps, pack["pivot"], pack["low"], pack["high"])
+    floors, caps = pack["floors"], np.frombuffer(pack["caps"], "<i8").reshape(n, -1)
+    asks = np.flatnonzero(directory.asks(q.astype(np.float64), floors, caps, pack["pivot"], pack["low"], pack["high"]))
     uids, q_labels, q, floors, caps = (x[asks] for x in (uids, q_labels, q, floors, caps))
     for at in range(0, len(uids), tile):
         part = slice(at, at + tile)
@@ -305,6 +308,8 @@ def _best_of(pack: dict, directory: Directory, dtype: np.dtype, exact: type, k:
             place = np.arange(len(r)) - np.searchsorted(r, r)
             top = place < k
             if top.any():
+                full = place == k - 1
+                pack["floors"][asks[part][r[full]], j] = score[fits][full]
                 yield [uids[part][r[top]], np.full(top.sum(), j), score[fits][top], column[fits][top]]
 
 
@@ -312,18 +317,23 @@ def scan_blocks(packs: DataFrame, index: DataFrame, directory: Directory, shape:
     """Candidates from the blocks of the intervals that the packs ask for: uid, slot, score, vec_id, other (the row's uid)."""
     dtype, exact = np.dtype(shape.dtype), shape.exact
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[pa.Array]] = []
-        for i in range(batch.num_rows):
-            pack = {c: batch.column(c)[i].as_py() for c in ("uids", "q_labels", "q_vectors", "floors", "caps", "labels", "vectors", "block", "pivot", "low", "high")}
-            ids = batch.column("vec_ids")[i].values
-            for uid, slot, score, column in _best_of(pack, directory, dtype, exact, k, same_label, TILE):
-                out.append([pa.array(uid), pa.array(slot, pa.int32()), pa.array(score), ids.take(pa.array(column)), pa.array(pack["block"] * UID_STEP + column)])
-        columns = [pa.concat_arrays(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["uid", "slot", "score", "vec_id", "other"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids, floors = b"", np.zeros((0, 1), np.int64)
+        for batch in batches:
+            out: list[list[pa.Array]] = []
+            for i in range(batch.num_rows):
+                pack = {c: batch.column(c)[i].as_py() for c in ("uids", "q_labels", "q_vectors", "floors", "caps", "labels", "vectors", "block", "pivot", "low", "high")}
+                if pack["uids"] != uids:  # else the next block of an interval
+                    uids, floors = pack["uids"], np.frombuffer(pack["floors"], "<i8").reshape(len(pack["uids"]) // 8, -1).copy()
+                pack["floors"], ids = floors, batch.column("vec_ids")[i].values
+                for uid, slot, score, column in _best_of(pack, directory, dtype, exact, k, same_label, TILE):
+                    out.append([pa.array(uid), pa.array(slot, pa.int32()), pa.array(score), ids.take(pa.array(column)), pa.array(pack["block"] * UID_STEP + column)])
+            columns = [pa.concat_arrays(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "slot", "score", "vec_id", "other"])
+
+    bounded_batches(index.sparkSession)
     blocks = index.select("interval", "block", "pivot", "low", "high", "vec_ids", "labels", "vectors")
-    return map_batches(packs.join(blocks.hint("merge"), "interval"), run, _BEST)
+    return packs.join(blocks.hint("merge"), "interval").mapInArrow(tidy(run), _BEST)
 
 
 def search(index: DataFrame, queries: DataFrame, directory: Directory, shape: Shape, k: int, same_label: bool) -> DataFrame:

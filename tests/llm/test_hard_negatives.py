@@ -122,3 +122,18 @@ def test_large_tables_are_not_broadcast(spark, monkeypatch):
             spark.conf.set(k, v)
     assert sum("SortMergeJoin" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
     assert intervals[0] <= 2 * 3 + 2
+
+
+def test_floors_rise_from_block_to_block():
+    """What a block gave ``k`` rows of bounds the rows that the interval's next block may add."""
+    none = np.zeros(0)
+    directory = h.Directory(none, none, none, none, np.zeros((1, 2)), 100.0)
+    x = np.arange(1, 9, dtype="<i2")
+    pack = {
+        "uids": np.array([h.UID_STEP * 5], "<i8").tobytes(), "q_labels": np.array([1], "<i8").tobytes(), "q_vectors": np.array([1], "<i2").tobytes(), "caps": np.array([[1 << 62, 6]], "<i8").tobytes(),
+        "floors": np.full((1, 2), -(1 << 62)), "labels": np.full(8, 2, "<i8").tobytes(), "vectors": x.tobytes(), "block": 0, "pivot": 0, "low": 0.0, "high": 100.0,
+    }
+    run = lambda: {int(slot[0]): score.tolist() for _, slot, score, _ in h._best_of(pack, directory, np.dtype("<i2"), np.float64, 3, False, 4)}
+    assert run() == {0: [8, 7, 6], 1: [6, 5, 4]} and pack["floors"].tolist() == [[6, 4]]
+    pack["vectors"] = (x - 2).tobytes()  # scores from -1 to 6
+    assert run() == {0: [6], 1: [6, 5, 4]}  # ties count
